@@ -97,3 +97,48 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"), min_bytes=1000).drop("url")
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .quality import fit, held_out, score_documents
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(documents, fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(
+    rf"""
+WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '{_ITEM_WORD}') AS w FROM benchmark),
+wanted AS (
+  SELECT item_id, least(5, len(w)) AS k, unnest(list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS s
+  FROM items WHERE len(w) > 0),
+sizes AS (SELECT item_id, count(*) AS n FROM wanted GROUP BY item_id),
+texts AS (SELECT doc_id, regexp_extract_all(lower(text), '{_ITEM_WORD}') AS w FROM documents),
+held AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM texts, (SELECT DISTINCT k FROM wanted) AS lengths WHERE len(w) >= k)
+SELECT item_id, doc_id, n AS n_shingles, count(*) AS n_found, count(*)::DOUBLE / n AS containment
+FROM wanted JOIN held USING (k, s) JOIN sizes USING (item_id) GROUP BY item_id, doc_id, n HAVING 100 * count(*) >= 80 * n
+"""
+)
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_contained
+
+    return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.array_join("sentences", ",").alias("sentences"), F.size("sentences").alias("n_sentences"))

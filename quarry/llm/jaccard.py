@@ -1,7 +1,7 @@
 """Exact Jaccard self-join over word shingles, by set relations and position-blocked index lists.
 
-Plan: equal sets are collapsed first (their answers are one answer). Prefix filtering with
-``EXTRA`` more tokens finds candidates: two sets that link share at least ``EXTRA`` tokens (or all
+Plan: equal sets are collapsed first (their answers are one answer). Prefix filtering with e(n)
+= ``EXTRA + n / EXTRA_PER`` more tokens finds candidates: two sets that link share at least the lesser of their e(n) (or all
 they must share) among their first ones in any fixed order, here rare tokens first. Short index
 lists are paired and pairs with too few common tokens go; long lists only tie their members to
 the list's smallest one. Components of this candidate graph hold every link; each is cut
@@ -20,24 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ints, shingle_sets, split_batches, texts, written
 from .components import connected_components
 
-#: Common prefix tokens that a pair in short lists must have.
-EXTRA = 4
+#: Prefix tokens that a pair must have in common: so many, and one more for each so many tokens of the smaller set.
+EXTRA, EXTRA_PER = 4, 50
 #: Index lists up to this length are paired member by member.
-SHORT_LIST = 32
+SHORT_LIST = 256
 #: Sets in a block of a candidate component.
 BLOCK = 512
 #: Positions in a block of an index list.
 LIST_BLOCK = 64
 #: Documents in the sample that orders tokens by frequency. Any order gives the same links; this one only makes lists short.
-ORDER_SAMPLE = 5000
+ORDER_SAMPLE = 20_000
 #: Tokens found in so many sampled documents count as frequent; at most so many are kept for the order.
-ORDER_LEAST, ORDER_MOST = 5, 200_000
+ORDER_LEAST, ORDER_MOST = 3, 500_000
 #: Ids up to which a side is broadcast; with more it is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -86,7 +86,7 @@ def _signatures(documents: DataFrame, k: int, percent: int) -> DataFrame:
             else:
                 freq = np.zeros(len(hashes), np.int64)
             order = np.lexsort((hashes, freq, rows))
-            want = np.minimum(size, size + (-percent * size // 100) + EXTRA)  # n - ceil(percent * n / 100) + EXTRA
+            want = np.minimum(size, size + (-percent * size // 100) + EXTRA + size // EXTRA_PER)  # n - ceil(percent * n / 100) + e(n)
             place = np.arange(len(hashes)) - np.repeat(offsets[:-1], size)
             prefix = hashes[order][place < np.repeat(want, size)].view(np.int64)
             digests = [hashlib.blake2b(hashes[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest() for i in range(len(size))]
@@ -96,10 +96,30 @@ def _signatures(documents: DataFrame, k: int, percent: int) -> DataFrame:
     return texts(documents).mapInArrow(run, "doc_id long, n int, digest binary, prefix array<long>")
 
 
+def _extra(n: Column) -> Column:
+    return F.lit(EXTRA) + F.floor(n / F.lit(EXTRA_PER))
+
+
+def _pruned(listed: DataFrame, percent: int) -> DataFrame:
+    """``listed`` without the sets whose tokens in lists are too few for any link, and without lists that this leaves with one member.
+
+    The smaller set of a link shares e(n) prefix tokens with its partner, or all of the at least ``percent`` % of its own that it
+    must share; the larger one at least e(percent % of n).
+    """
+    own = F.count(F.lit(1)).over(Window.partitionBy("doc"))  # as many rows as a set's prefix has tokens
+    smaller = F.ceil(F.col("n") * F.lit(percent) / F.lit(100) - F.lit(1e-9))  # of any partner, at least
+    least = F.least(_extra(smaller), smaller)
+    able = listed.select("token", "doc", "n").withColumn("own", own).where(F.col("own") >= least).drop("own")
+    counts = able.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("hub")).where("m > 1")
+    return able.join(counts, "token")
+
+
 def _candidate_edges(postings: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every link, from ``postings(token, doc, n)``."""
-    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("hub")).where("m > 1")
-    listed = written(postings.join(counts, "token"))
+    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    listed = written(postings.join(counts.select("token"), "token", "left_semi"))
+    for _ in range(2):
+        listed = written(_pruned(listed, percent))
     one = F.col("one")
     short = listed.where(F.col("m") <= SHORT_LIST).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc", "n"))).alias("one"))
     pairs = (
@@ -108,7 +128,7 @@ def _candidate_edges(postings: DataFrame, percent: int) -> DataFrame:
         .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     )
     must = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
-    near = pairs.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= F.least(F.lit(EXTRA), must)).select("a", "b")
+    near = pairs.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= F.least(_extra(F.least("na", "nb")), must)).select("a", "b")
     long = listed.where(F.col("m") > SHORT_LIST).select(F.col("hub").alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
     return near.unionByName(long)
 
@@ -218,7 +238,9 @@ def _verified_edges(documents: DataFrame, members: DataFrame, k: int, percent: i
         edges = _forest(ids, link_block(sets, percent, None if i == j else mine == i))
         return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
 
-    return dealt.join(sets, "doc_id").select("component", "i", "j", "mine", "doc_id", "tokens").groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
+    if dealt.count() <= BROADCAST_IDS:
+        dealt = F.broadcast(dealt)
+    return sets.join(dealt, "doc_id").select("component", "i", "j", "mine", "doc_id", "tokens").groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -226,15 +248,18 @@ def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     A set holds a text's distinct ``k``-word shingles (all words as one shingle if fewer); two documents link when
     ``100 * intersection >= percent * union``. A document without words, null and empty texts included, links with
-    nothing and is a class of its own. Rows with equal ids count as one more text under that id, each giving a row. Other
-    columns are not read. The table may be empty.
+    nothing and is a class of its own. Ids are to be unique; null ids take no part and are not returned. Other columns
+    are not read. The table may be empty.
     """
+    documents = documents.where("doc_id IS NOT NULL")
     found = written(_signatures(documents, k, percent))
-    sets = found.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("s"))
-    postings = sets.select(F.explode("s.prefix").alias("token"), F.col("s.doc_id").alias("doc"), F.col("s.n").alias("n"))
+    first = written(found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    ids = first.select("doc_id")
+    sets = found.where("n > 0").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    postings = sets.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n")
     members = written(connected_components(_candidate_edges(postings, percent)))
     classes = written(connected_components(_verified_edges(documents, members, k, percent)))
-    owner = found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("owner"))
+    owner = first.withColumnRenamed("doc_id", "owner")
     return (
         found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(owner, "digest", "left")
         .withColumn("owner", F.coalesce("owner", "doc_id"))

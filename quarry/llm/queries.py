@@ -163,3 +163,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("v"))
     return top_inner_products(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query()
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50, columns=("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))

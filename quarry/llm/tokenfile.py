@@ -15,32 +15,52 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, shuffle_partitions, split_batches, texts, written
+from .common import shared_folder, shuffle_partitions, split_batches, text_offsets, texts, written
 from .files import create, mapped
 
+#: Bytes of text that are encoded at once; a piece is looked up once in them.
+BATCH_BYTES = 8 << 20
 #: Pieces of text whose ids a worker remembers; when there are more, it forgets all and begins anew.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 _SHORT = 100
 _GRAPH = "!-~¡-ɏ"
-#: A space that stands otherwise than singly between two visible Latin characters.
-_ODD_SPACE = re.compile(f"(?<![{_GRAPH}]) | (?![{_GRAPH}])")
-_PLAIN_SPACE = re.compile(f"(?<=[{_GRAPH}])(?= [{_GRAPH}])")
+_PLAIN = re.compile(f"(?<=[{_GRAPH}]) (?=[{_GRAPH}])|(?<=[{_GRAPH}])(?=\\n[{_GRAPH}])")
+_ENDS = frozenset(".,")
+_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha())
+# by byte in UTF-8: ASCII beyond the space; the first of a two-byte Latin letter; a following one
+_VISIBLE, _LEAD, _REST, _GAP = np.zeros((4, 256), bool)
+_VISIBLE[0x21:0x7F] = _LEAD[0xC3:0xC9] = _REST[0x80:0xC0] = _GAP[[0x0A, 0x20]] = True
+
+
+def odd_rows(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each row, whether a space or line break may stand otherwise than singly between two visible Latin characters."""
+    n = len(offsets) - 1
+    at = np.flatnonzero(_GAP[buf])
+    row = np.searchsorted(offsets, at, "right") - 1
+    inner = (at > offsets[row]) & (at + 1 < offsets[row + 1])
+    before, after = buf[np.maximum(at - 1, 0)], buf[np.minimum(at + 1, len(buf) - 1)]
+    two = _REST[before] & _LEAD[buf[np.maximum(at - 2, 0)]] & (at - 2 >= offsets[row])
+    out = np.zeros(n, bool)
+    out[row[~(inner & (_VISIBLE[after] | _LEAD[after]) & (_VISIBLE[before] | two))]] = True
+    return out
 
 
 class Encoder:
     """Ids by the ``tokenizers`` library, without special tokens, as bytes of unsigned integers.
 
-    A single space between two visible characters always begins a match of the byte-level pre-tokenizer, so the pieces between
-    such spaces are encoded apart, and pieces seen before are looked up. Special tokens' strings in a text are ordinary text.
+    A single space or line break between two visible characters always begins a match of the byte-level pre-tokenizer, and so
+    does a mark after a letter. So the pieces between them encode apart, and a piece seen before is looked up. New pieces
+    go to the library many at a time, as one text, and its ids are dealt out by the bytes that they stand
+    for. Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -48,28 +68,83 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        top = max(self.library.get_vocab(with_added_tokens=True).values(), default=0)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        top = max(vocabulary.values(), default=0)
         self.dtype = "<u2" if top < 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
-            return _PLAIN_SPACE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(x) if x else [] for x in texts]
+        self.width = np.zeros(top + 1, np.int64)  # bytes of text that an id stands for: the vocabulary has a character for each
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self.known: dict[str, bytes] = {}  # by a piece without the space before it, or with its line break
+        self.mark = {x: self._raw([x])[0].tobytes() for x in _ENDS}
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str], known: dict[str, bytes]) -> dict[str, bytes]:
+        """Ids of each piece. All are visible at both ends but for a first line break, so their concatenation splits into them."""
+        stems = {p: p[:-1] for p in pieces if p[-1] in _ENDS and len(p) > 1 and p[-2] in _LETTERS}
+        whole = list((pieces - stems.keys()) | (set(stems.values()) - known.keys()))
+        out: dict[str, bytes] = {}
+        step = 4096
+        for at in range(0, len(whole), step):
+            some = whole[at : at + step]
+            spaced = [p if p[0] == "\n" else " " + p for p in some]
+            ids = self._raw(["".join(spaced)])[0]
+            cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in spaced]), "left") + 1
+            data, size = ids.tobytes(), ids.itemsize
+            first = 0
+            for p, last in zip(some, (cuts * size).tolist(), strict=True):
+                out[p] = data[first:last]
+                first = last
+        for p, stem in stems.items():
+            out[p] = (out.get(stem) or known[stem]) + self.mark[p[-1]]
+        return out
+
+    def _table(self, words: list[str]) -> dict[str, bytes]:
+        """Something to look all ``words`` up in."""
+        missing = {w for w in words if w not in self.known}
+        long = {w for w in missing if len(w) > _SHORT}
+        self.known.update(self._learn(missing - long, self.known))
+        return self.known | self._learn(long, self.known) if long else self.known
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string column; null counts as empty."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        missing = list({p for x in cut for p in x if p not in self.known})
-        code = "H" if self.dtype == "<u2" else "I"
-        long = {}
-        for p, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            (self.known if len(p) <= _SHORT else long)[p] = array(code, e.ids).tobytes()
-        if long:
-            return [b"".join([self.known.get(p) or long.get(p, b"") for p in x]) for x in cut]
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
+        texts = texts.fill_null("")
+        odd = odd_rows(*text_offsets(texts))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            first, *rest = _PLAIN.split(texts[i].as_py())
+            table = self._table(rest)
+            out[i] = np.concatenate([self._raw([first])[0], np.frombuffer(b"".join([table[w] for w in rest]), self.dtype)])
+        even = np.flatnonzero(~odd)
+        if len(even):
+            # split and number the pieces without making a Python string of each
+            split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(even)), "\n", " \n"), " ")
+            ends = split.offsets.to_numpy().astype(np.int64)
+            ends -= ends[0]
+            numbered = split.flatten().dictionary_encode()
+            number = numbered.indices.to_numpy().astype(np.int64)
+            words = numbered.dictionary.to_pylist()
+            # a text's first piece has no space before it
+            firsts = [words[k] for k in number[ends[:-1]].tolist()]
+            number[ends[:-1]] = len(words) + np.arange(len(even))
+            inner = np.zeros(len(words), bool)
+            inner[number[number < len(words)]] = True
+            words = [w if used else None for w, used in zip(words, inner.tolist(), strict=True)]
+            table = self._table([w for w in words if w is not None])
+            blobs = [b"" if w is None else table[w] for w in words] + [x.tobytes() for x in self._raw(firsts)]
+            ids = np.frombuffer(b"".join(blobs), self.dtype)
+            size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // ids.itemsize
+            start = np.cumsum(size) - size
+            own = size[number]
+            total = np.cumsum(own)
+            ids = ids[np.repeat(start[number] - (total - own), own) + np.arange(int(total[-1]))]
+            cuts = np.append(0, total)[ends]
+            for i, a, b in zip(even.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                out[i] = ids[a:b]
+        return out
 
 
 @lru_cache(2)
@@ -91,18 +166,17 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        end = np.array([] if end_id is None else [end_id], e.dtype).tobytes()
-        width = np.dtype(e.dtype).itemsize
+        end = np.array([] if end_id is None else [end_id], e.dtype)
         name = f"{folder}/{uuid.uuid4().hex}"
         files, n, total, low = [], 0, 0, None
-        for batch in split_batches(batches):
+        for batch in split_batches(batches, limit=BATCH_BYTES):
             if not files:
                 files = [create(f"{name}.{x}") for x in ("ids", "ends", "docs")]
                 files[1].write(np.zeros(1, "<i8").tobytes())
                 low = batch.column(0)[0].as_py()
-            ids = [x + end for x in e.encode([x or "" for x in batch.column(1).to_pylist()])]
-            ends = total + np.cumsum([len(x) // width for x in ids])
-            files[0].write(b"".join(ids))
+            ids = e.encode(batch.column(1))
+            ends = total + np.cumsum([len(x) + len(end) for x in ids])
+            files[0].write(np.concatenate([y for x in ids for y in (x, end)]).tobytes())
             files[1].write(ends.astype("<i8").tobytes())
             files[2].write(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             n, total = n + len(ids), int(ends[-1])

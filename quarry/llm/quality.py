@@ -121,11 +121,16 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in split_batches(batches):
             found = list(_counted(batch, 1))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f.tolist() for f, _ in found], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in found], pa.list_(pa.float32()))], ["doc_id", "label", "features", "weights"])
-
-    rows = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, features array<int>, weights array<float>").toArrow()
-    rows = rows.sort_by("doc_id").to_pydict() if rows.num_rows else {"label": [], "features": [], "weights": []}
-    return train([(y, np.array(f, np.int32), np.array(w, np.float32)) for y, f, w in zip(rows["label"], rows["features"], rows["weights"], strict=True)])
+            ends = pa.array(np.cumsum([0, *(len(f) for f, _ in found)]), pa.int32())
+            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]))) for k in (0, 1))], ["doc_id", "label", "features", "weights"])
+
+    found = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, features array<int>, weights array<float>").toArrow()
+    found = found.sort_by("doc_id").combine_chunks()
+    if not found.num_rows:
+        return train([])
+    features, weights = (found.column(x).chunk(0) for x in ("features", "weights"))
+    ends, bucket, weight = features.offsets.to_numpy(), features.values.to_numpy(), weights.values.to_numpy()
+    return train([(y, bucket[a:b], weight[a:b]) for y, a, b in zip(found.column("label").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
 
 
 def score_documents(documents: DataFrame, model: Classifier) -> DataFrame:

@@ -6,6 +6,8 @@ hashed in a few passes over one buffer and nothing is done per word in Python.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,6 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     if "://" not in root and not root.startswith("file:"):

@@ -83,12 +83,16 @@ def check_request(query: str, limit: int) -> None:
 
 
 def nearest(corpus: DataFrame, vector: list[float], k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """The ``k`` nearest rows with ``distance``, ordered by distance and id: a top-k in each task and one merge.
+    """The ``k`` nearest rows with ``distance``, ordered by distance and id.
 
-    Rank on (id, vector) and join records back where they are wide.
+    The ranking reads ids and vectors only; the records of the ``k`` found are joined back, so wide ones are read for them alone. A
+    filter put on the result sees these rows, however far it is pushed down.
     """
-    query = F.array(*(F.lit(float(x)) for x in vector))
-    return corpus.withColumn("distance", V.distance(F.col(vector_col), query, metric)).orderBy("distance", id_col).limit(k)
+    spark = corpus.sparkSession
+    query = spark.createDataFrame([(0, [float(x) for x in vector])], "query_id int, vector array<double>")
+    near = knn_join(query, corpus.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), k, metric)
+    near = near.select(F.col("id").alias(id_col), "distance")
+    return corpus.join(F.broadcast(near), id_col).orderBy("distance", id_col)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

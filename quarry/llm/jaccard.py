@@ -3,8 +3,8 @@
 Plan: equal sets are collapsed first (their answers are one answer). Prefix filtering with e(n)
 = ``EXTRA + n / EXTRA_PER`` more tokens finds candidates: two sets that link share at least the lesser of their e(n) (or all
 they must share) among their first ones in any fixed order, here rare tokens first. Short index
-lists are paired and pairs with too few common tokens go; long lists only tie their members to
-the list's smallest one. Components of this candidate graph hold every link; each is cut
+lists are paired and pairs with too few common tokens go; lists of middle length do so by groups that share their smallest
+member; long lists only tie their members to that. Components of this candidate graph hold every link; each is cut
 into blocks, and every pair of blocks is joined by one task.
 
 Within a task, index lists are ascending by set size and cut into position blocks, so blocks of
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ints, shingle_sets, split_batches, texts, written
+from .common import ints, shingle_sets, shuffle_partitions, split_batches, texts, written
 from .components import connected_components
 
 #: Prefix tokens that a pair must have in common: so many, and one more for each so many tokens of the smaller set.
 EXTRA, EXTRA_PER = 4, 50
-#: Index lists up to this length are paired member by member.
-SHORT_LIST = 256
+#: Index lists up to the first length are paired member by member, up to the second with others of the same smallest member; in longer ones all are tied to that.
+SHORT_LIST, LONG_LIST = 32, 256
 #: Sets in a block of a candidate component.
 BLOCK = 512
 #: Positions in a block of an index list.
@@ -121,16 +121,85 @@ def _candidate_edges(postings: DataFrame, percent: int) -> DataFrame:
     for _ in range(2):
         listed = written(_pruned(listed, percent))
     one = F.col("one")
-    short = listed.where(F.col("m") <= SHORT_LIST).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc", "n"))).alias("one"))
-    pairs = (
-        short.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size(one) - 1), lambda i: F.transform(F.slice(one, i + 1, F.size(one)), lambda y: F.struct(F.element_at(one, i).alias("x"), y.alias("y")))))).alias("p"))
-        .select(F.col("p.x.doc").alias("a"), F.col("p.y.doc").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"))
-        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    )
+    members = F.array_sort(F.collect_list(F.struct("doc", "n")))
+    alike = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    short = listed.where(F.col("m") <= SHORT_LIST).groupBy("token").agg(members.alias("one"))
+    paired = F.flatten(F.transform(F.sequence(F.lit(1), F.size(one) - 1), lambda i: F.transform(F.filter(F.slice(one, i + 1, F.size(one)), lambda y: alike(F.element_at(one, i), y)), lambda y: F.struct(F.element_at(one, i).alias("x"), y.alias("y")))))
+    pairs = short.select(F.explode(paired).alias("p")).select(F.col("p.x.doc").alias("a"), F.col("p.y.doc").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"), F.lit(1).alias("shared"))
+
+    middle = listed.where((F.col("m") > SHORT_LIST) & (F.col("m") <= LONG_LIST)).repartition(shuffle_partitions(listed.sparkSession), "hub")
+    counted = written(middle.groupBy("hub", "token").agg(members.alias("one")).sortWithinPartitions("hub").select("hub", "one").mapInArrow(lambda batches: _middle_pairs(batches, percent), "a long, b long, na int, nb int, shared int, sure boolean"))
+    pairs = pairs.unionByName(counted.where("NOT sure").drop("sure"))
     must = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
-    near = pairs.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= F.least(_extra(F.least("na", "nb")), must)).select("a", "b")
-    long = listed.where(F.col("m") > SHORT_LIST).select(F.col("hub").alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
-    return near.unionByName(long)
+    near = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= F.least(_extra(F.least("na", "nb")), must)).select("a", "b")
+    long = listed.where(F.col("m") > LONG_LIST).select(F.col("hub").alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
+    return near.unionByName(counted.where("sure").select("a", "b")).unionByName(long)
+
+
+def _middle_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, shared, sure) from lists of middle length that come by their smallest member.
+
+    The lists of a group of near copies come together. Their common tokens are counted for some lists at a time: pairs
+    that already share enough are tied, by a forest, and for them nothing more is counted; only for others do counts go on.
+    """
+    for batch in batches:
+        hubs = batch.column(0).to_numpy(zero_copy_only=False)
+        one = batch.column(1)
+        ends = one.offsets.to_numpy().astype(np.int64)
+        docs, sizes = (one.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        up: dict[int, int] = {}
+
+        def root(x: int, up=up) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = up[x]
+            return x
+
+        out: list[np.ndarray] = []
+        tied: list[tuple[int, int]] = []
+        at = 0
+        while at < len(hubs):
+            # some lists of one hub whose members are at most BLOCK, or one list
+            seen, to = set(docs[ends[at] : ends[at + 1]].tolist()), at + 1
+            while to < len(hubs) and hubs[to] == hubs[at]:
+                more = seen.union(docs[ends[to] : ends[to + 1]].tolist())
+                if len(more) > BLOCK:
+                    break
+                seen, to = more, to + 1
+            part = slice(int(ends[at]), int(ends[to]))
+            length, at = np.diff(ends[at : to + 1]), to
+            if len({root(x) for x in seen}) == 1:
+                continue
+            own, first, where = np.unique(docs[part], return_index=True, return_inverse=True)
+            n = sizes[part][first]
+            has = np.zeros((len(own), len(length)), np.float32)
+            has[where, np.repeat(np.arange(len(length)), length)] = 1
+            shared = (has @ has.T).astype(np.int64)
+            low, high = np.minimum.outer(n, n), np.maximum.outer(n, n)
+            ok = np.triu((shared > 0) & (100 * low >= percent * high), 1)
+            need = np.minimum(EXTRA + low // EXTRA_PER, -(-percent * (low + high) // (100 + percent)))
+            for i, j in np.argwhere(ok & (shared >= need)).tolist():
+                x, y = root(int(own[i])), root(int(own[j]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    tied.append((int(own[i]), int(own[j])))
+            group = np.array([root(x) for x in own.tolist()])
+            i, j = np.nonzero(ok & (group[:, None] != group[None, :]))
+            out.append(np.stack((own[i], own[j], n[i], n[j], shared[i, j]), 1))
+        names = ["a", "b", "na", "nb", "shared", "sure"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        if tied:
+            t = np.array(tied)
+            zero = pa.array(np.zeros(len(t), np.int32))
+            yield pa.record_batch([pa.array(t[:, 0]), pa.array(t[:, 1]), zero, zero, zero, pa.array(np.ones(len(t), bool))], names)
+        if out:
+            rows = np.concatenate(out)
+            codes, back, _ = np.unique(rows[:, :2], axis=0, return_inverse=True, return_counts=True) if len(rows) else (rows[:, :2], np.zeros(0, np.int64), None)
+            total = np.bincount(back.ravel(), rows[:, 4], len(codes)).astype(np.int64)
+            first = np.full(len(codes), len(rows))
+            np.minimum.at(first, back.ravel(), np.arange(len(rows)))
+            kept = np.concatenate((rows[first, :4], total[:, None]), 1) if len(codes) else rows
+            yield pa.record_batch([*(pa.array(kept[:, c]).cast(t) for c, t in enumerate(kinds)), pa.array(np.zeros(len(kept), bool))], names)
 
 
 def link_block(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:

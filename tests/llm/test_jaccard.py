@@ -46,9 +46,10 @@ def corpus(seed):
     return [*rows, (5000, None), (5001, ""), (5002, " \n\t"), (5003, "é"), (5004, "É"), (5005, "x y"), (5006, "X\ty")]
 
 
-@pytest.mark.parametrize(("seed", "k", "percent", "short", "block"), [(1, 4, 85, 32, 512), (2, 5, 80, 3, 7)])
-def test_classes(spark, monkeypatch, seed, k, percent, short, block):
+@pytest.mark.parametrize(("seed", "k", "percent", "short", "long", "block"), [(1, 4, 85, 32, 256, 512), (2, 5, 80, 3, 5, 7), (3, 4, 85, 2, 400, 30)])
+def test_classes(spark, monkeypatch, seed, k, percent, short, long, block):
     monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+    monkeypatch.setattr(jaccard, "LONG_LIST", long)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")

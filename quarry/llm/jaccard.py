@@ -30,8 +30,8 @@ from .components import connected_components
 EXTRA, EXTRA_PER = 4, 50
 #: Index lists up to the first length are paired member by member, up to the second with others of the same smallest member; in longer ones all are tied to that.
 SHORT_LIST, LONG_LIST = 32, 256
-#: Sets in a block of a candidate component.
-BLOCK = 512
+#: Sets in a block of a candidate component, and tokens in it, about.
+BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: Positions in a block of an index list.
 LIST_BLOCK = 64
 #: Documents in the sample that orders tokens by frequency. Any order gives the same links; this one only makes lists short.
@@ -280,15 +280,15 @@ def _forest(ids: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> list[tu
 
 
 def _verified_edges(documents: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Spanning forests of the links inside each candidate component of ``members(node, component)``."""
+    """Spanning forests of the links inside each candidate component of ``members(node, component, n)``."""
     spark = documents.sparkSession
     n_members = members.count()
     chosen = members.select(F.col("node").alias("doc_id"))
     if n_members <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
     sets = _sets(texts(documents).join(chosen, "doc_id", "left_semi"), k)
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
+    blocks = F.least(F.col("size"), F.ceil(F.greatest(F.col("size") / BLOCK, F.col("tokens") / BLOCK_TOKENS))).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
         members.join(sizes, "component").withColumn("blocks", blocks).withColumn("mine", mine)
@@ -326,7 +326,8 @@ def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     ids = first.select("doc_id")
     sets = found.where("n > 0").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     postings = sets.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n")
-    members = written(connected_components(_candidate_edges(postings, percent)))
+    members = connected_components(_candidate_edges(postings, percent))
+    members = written(members.join(found.select(F.col("doc_id").alias("node"), "n"), "node"))
     classes = written(connected_components(_verified_edges(documents, members, k, percent)))
     owner = first.withColumnRenamed("doc_id", "owner")
     return (

@@ -51,6 +51,7 @@ def test_classes(spark, monkeypatch, seed, k, percent, short, long, block):
     monkeypatch.setattr(jaccard, "SHORT_LIST", short)
     monkeypatch.setattr(jaccard, "LONG_LIST", long)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block * 100)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df, k, percent).collect()}

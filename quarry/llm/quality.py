@@ -76,7 +76,8 @@ class Classifier:
         total = np.full(len(offsets) - 1, float(self.bias[1] - self.bias[0]))
         for k, (bucket, first, last) in enumerate(_features(buf, offsets)):
             sums = np.concatenate(([0.0], np.cumsum(value[k][bucket])))
-            total += (sums[last] - sums[first]) / np.maximum(last - first, 1)
+            # rows without features at the end of the text begin beyond the last one
+            total += (sums[np.minimum(last, len(bucket))] - sums[np.minimum(first, len(bucket))]) / np.maximum(last - first, 1)
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 

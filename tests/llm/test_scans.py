@@ -6,12 +6,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm.decontam import find_contained, without_contaminated
 from quarry.llm.licenses import match_rules, recognise, scan
 from quarry.llm.linedup import dedup_lines
-from quarry.llm.quality import fit, held_out, score_documents, train
+from quarry.llm.quality import _counted, fit, held_out, score_documents, train
 
 
 def _key(line):
@@ -61,6 +62,15 @@ def test_classifier(spark):
     assert {x.score for x in score_documents(docs, fit(empty, labels)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("end", [[None], [""], ["a"], ["ab"], ["abc"], ["ok", None, ""], ["..."], [" . "]])
+def test_classifier_batches_end_without_features(end):
+    model = train([])
+    model.out[:, 1] = 1
+    column = pa.array(["some good words", "", "x", "more of them", *end])
+    assert model.score(column).tolist() == pytest.approx([model.score(pa.array([x, "words after"], pa.string()))[0] for x in column.to_pylist()])
+    assert len(list(_counted(pa.record_batch([column], ["text"]), 0))) == len(column)
+
+
 def _contained(doc, item, k=5):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())
     d, w = words(doc), words(item)

@@ -45,12 +45,13 @@ def frequent_keys(documents: DataFrame, min_docs: int, min_chars: int = 1) -> Da
     return counted.repartitionByRange(shuffle_partitions(spark), "h1", "h2").sortWithinPartitions("h1", "h2", "first_doc")
 
 
-def drop_bitmaps(documents: DataFrame, min_docs: int, min_chars: int = 1, keep: str = "none") -> DataFrame:
+def drop_bitmaps(documents: DataFrame, min_docs: int, min_chars: int = 1, keep: str = "none", counted: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_dropped, words): for each document that loses lines, the bitmap of them as a map from word number to 64 bits.
 
     ``keep='none'`` drops every line with a frequent key; ``keep='first'`` leaves the first one, by document and position.
+    Keys are counted, and their first documents found, in ``counted`` in place of ``documents`` where it is given.
     """
-    frequent = written(frequent_keys(documents, min_docs, min_chars))
+    frequent = written(frequent_keys(documents if counted is None else counted, min_docs, min_chars))
     if frequent.count() <= BROADCAST_KEYS:
         frequent = F.broadcast(frequent)
     lines = documents.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
@@ -75,14 +76,14 @@ def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
+def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", counted: DataFrame | None = None) -> DataFrame:
     """Every row of ``documents(doc_id, text, ...)`` with ``text`` without its repeated lines, ``n_lines`` and ``n_dropped``.
 
     A line's key is the line without ASCII white space at both ends and with A-Z lowered. Keys of at least ``min_chars``
     code points that at least ``min_docs`` rows hold lose their lines: all of them, or all but the first in order of
-    ``doc_id`` and position (``keep``). Null and empty texts are one empty line and stay an empty text. Ids should be
+    ``doc_id`` and position (``keep``). With ``counted(doc_id, text)``, some of the rows, only those count as holders. Null and empty texts are one empty line and stay an empty text. Ids should be
     unique; rows of one id count as documents of their own and lose the lines marked for any of them.
     Other columns are carried along; the table may be empty.
     """
     plain = documents.select("doc_id", "text")
-    return apply_bitmaps(documents, drop_bitmaps(plain, min_docs, min_chars, keep))
+    return apply_bitmaps(documents, drop_bitmaps(plain, min_docs, min_chars, keep, counted))

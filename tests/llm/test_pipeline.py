@@ -71,3 +71,17 @@ def test_stages_keep_columns(spark, folder):
         assert stage(spark, documents.limit(0), path).count() == 0, name
     lines = P.line_dedup(spark, documents, path).collect()
     assert len(lines) == documents.count() and all(x.n_chars == len(x.text) for x in lines)
+
+
+def test_copies_keep_one_text(spark):
+    r = random.Random(4)
+    line = lambda k: " ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(k))
+    exact, near_by = "\n".join(line(8) for _ in range(6)), [line(8) for _ in range(20)]
+    rows = [(i, f"Home page\n{line(30)}") for i in range(20)]
+    rows += [(100 + i, f"Home page\n{exact}") for i in range(50)]
+    rows += [(200 + i, "\n".join([*near_by, f"copy {i}"])) for i in range(50)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    lines = P.written(P.line_dedup(spark, docs, ""))
+    assert lines.count() == len(rows)
+    got = {x.doc_id: x.text for x in P.ngram_jaccard_join(spark, lines, "").collect()}
+    assert got == {i: t.removeprefix("Home page\n") for i, t in rows if i <= 100 or i == 200}

@@ -85,8 +85,9 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("LicenseRef-All-Rights-Reserved", ("all_rights_reserved",)),
 ]
 
-#: Every known sentence holds one of these, in any case; a text without them is not split.
-CRITICAL = r"licen[cs]e|copyright|rights reserved|permission|redistribut|warrant|public domain|as is|liable|compliance|cc0|endorse|advertising materials|hope that|copy of the|free software"
+#: Every known sentence holds one of these, in any case; a text without them is not split. Between two words may stand what normalising
+#: turns into a space: signs, line breaks with comment signs, letters beyond ASCII.
+CRITICAL = r"licen[cs]e|copyright|rights reserved|permission|redistribut|warrant|public domain|as is|liable|compliance|cc0|creative commons|cc by|cc attribution|endorse|advertising materials|hope that|copy of the|free software".replace(" ", "(?-i:[^A-Za-z0-9]+)")
 
 _BREAK = re.compile(r"\n+|(?<=[.;:!?])[ \t]+(?=[^a-z\s])|(?<=[;:!?])\s+")
 _NOT_WORD = re.compile(r"(?<![0-9])\.|\.(?![0-9])|[^a-z0-9.,+]+|,")

@@ -7,9 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quarry.llm.decontam import find_contained, without_contaminated
+from quarry.llm import licenses as L
 from quarry.llm.licenses import match_rules, recognise, scan
 from quarry.llm.linedup import dedup_lines
 from quarry.llm.quality import _counted, fit, held_out, score_documents, train
@@ -158,6 +160,45 @@ def test_scan(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def _shortest(parsed):
+    """Texts that a pattern matches: every alternative, nothing where something is optional."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            part = [chr(arg)]
+        elif name == "IN":
+            part = [next(chr(c) for c in range(48, 128) if re.fullmatch(r"[0-9a-z]", chr(c)) and any(str(o) == "RANGE" and v[0] <= c <= v[1] or str(o) == "LITERAL" and v == c for o, v in arg))]
+        elif name == "ANY":
+            part = ["x"]
+        elif name == "SUBPATTERN":
+            part = _shortest(arg[3])
+        elif name == "BRANCH":
+            part = [x for a in arg[1] for x in _shortest(a)]
+        else:
+            assert name == "MAX_REPEAT", name
+            part = [x * arg[0] for x in _shortest(arg[2])] if arg[0] else [""]
+        out = list(dict.fromkeys(a + b for a in out for b in part))
+    return out
+
+
+@pytest.mark.parametrize(("name", "pattern"), L.SENTENCES)
+def test_no_known_sentence_is_left_out_beforehand(name, pattern):
+    found = _shortest(re._parser.parse(pattern))
+    assert found
+    for s in found:
+        assert re.fullmatch(pattern, s), s
+        for text in (s, s.upper(), s.replace(" ", "\n"), s.replace(" ", "-"), s.replace(" ", " \n * ")):
+            assert pc.match_substring_regex(pa.array([text]), L.CRITICAL, ignore_case=True)[0].as_py() and L._CRITICAL.search(text.lower()), text
+
+
+def test_scan_leaves_no_licence_out(spark):
+    texts = ["Text is available under CC BY-SA 4.0", "This work is distributed under Creative Commons Attribution 4.0 International.", "The data is in the public\ndomain", "It is in the public-domain.", "All rights\nreserved"]
+    want = ["CC-BY-SA-4.0", "CC-BY-4.0", "LicenseRef-Public-Domain", "LicenseRef-Public-Domain", "LicenseRef-All-Rights-Reserved"]
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [list(x.licenses) for x in sorted(got)] == [[x] for x in want]
+
+
 def test_sketches_need_no_luck():
     from quarry.llm.decontam import Sketches
 

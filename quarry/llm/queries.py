@@ -80,7 +80,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .tokenfile import token_files
 
-    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, encode_special_tokens=False)
 
 
 @query(

@@ -60,14 +60,16 @@ class Encoder:
     A single space or line break between two visible characters always begins a match of the byte-level pre-tokenizer, and so
     does a mark after a letter. So the pieces between them encode apart, and a piece seen before is looked up. New pieces
     go to the library many at a time, as one text, and its ids are dealt out by the bytes that they stand
-    for. Special tokens' strings in a text are ordinary text.
+    for. With ``encode_special_tokens`` special tokens' strings in a text are ordinary text; without it, as in the library's
+    default, each is its token, and texts that hold one go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.special = [] if encode_special_tokens else [t.content for t in self.whole.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         top = max(vocabulary.values(), default=0)
         self.dtype = "<u2" if top < 1 << 16 else "<u4"
@@ -114,11 +116,16 @@ class Encoder:
         texts = texts.fill_null("")
         odd = odd_rows(*text_offsets(texts))
         out: list[np.ndarray | None] = [None] * len(texts)
-        for i in np.flatnonzero(odd).tolist():
+        special = np.zeros(len(texts), bool)
+        for token in self.special:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(special).tolist():
+            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype)
+        for i in np.flatnonzero(odd & ~special).tolist():
             first, *rest = _PLAIN.split(texts[i].as_py())
             table = self._table(rest)
             out[i] = np.concatenate([self._raw([first])[0], np.frombuffer(b"".join([table[w] for w in rest]), self.dtype)])
-        even = np.flatnonzero(~odd)
+        even = np.flatnonzero(~odd & ~special)
         if len(even):
             # split and number the pieces without making a Python string of each
             split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(even)), "\n", " \n"), " ")
@@ -148,24 +155,24 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, encode_special_tokens: bool = True) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return Encoder(path)
+    return Encoder(path, encode_special_tokens)
 
 
-def write_token_files(documents: DataFrame, folder: str, vocabulary: str, end_id: int | None = 0) -> DataFrame:
+def write_token_files(documents: DataFrame, folder: str, vocabulary: str, end_id: int | None = 0, encode_special_tokens: bool = True) -> DataFrame:
     """Encode every text by the tokenizer file ``vocabulary`` into the files of ``folder`` (a URI), and return its manifest.
 
     ``end_id`` is appended to each document. Null texts are empty and so hold the end id alone; rows with a null id are left out;
     repeated ids give a document for each row, in no fixed order among them. Other columns are not read. Memory is bounded
-    by a batch of texts: ids go to the file as they are made.
+    by a batch of texts: ids go to the file as they are made. ``encode_special_tokens`` as for :class:`Encoder`.
     """
     spark = documents.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary)
+        e = encoder(vocabulary, encode_special_tokens)
         end = np.array([] if end_id is None else [end_id], e.dtype)
         name = f"{folder}/{uuid.uuid4().hex}"
         files, n, total, low = [], 0, 0, None
@@ -215,9 +222,9 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
     return manifest.repartition(n, "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def token_files(documents: DataFrame, vocabulary: str, end_id: int | None = 0, folder: str | None = None) -> DataFrame:
+def token_files(documents: DataFrame, vocabulary: str, end_id: int | None = 0, folder: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
     """Write the files (in a new shared folder unless one is named) and read them back."""
     spark = documents.sparkSession
     folder = folder or shared_folder(spark)
-    write_token_files(documents, folder, vocabulary, end_id)
+    write_token_files(documents, folder, vocabulary, end_id, encode_special_tokens)
     return read_token_files(spark, folder)

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from quarry.llm.common import shared_folder
 from quarry.llm.files import mapped
+from quarry.llm.queries import op7_token_files
 from quarry.llm.tokenfile import Encoder, read_token_files, write_token_files
 from quarry.llm.warc import coalesced, read_records, write_archives
 
@@ -49,6 +50,17 @@ def test_token_files(spark):
     assert read_token_files(spark, empty).count() == 0
 
 
+def test_special_tokens_as_in_the_library(spark, tmp_path):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "plain words here", "x <|endoftext|> y\n\n<|endoftext|>.", "", None, "  odd <|endoftext|", "<|endoftext|><|endoftext|> z"]
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(op7_token_files(spark, str(tmp_path)).collect())
+    assert [(x.n_tokens, x.ids_crc32) for x in got] == [(len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4").tobytes())) for w in want]
+    assert [x.start for x in got] == [sum(len(w) + 1 for w in want[:i]) for i in range(len(want))]
+
+
 def test_coalesced():
     assert list(coalesced([(0, 10), (10, 5), (100, 1)], gap=20, most=1000)) == [(0, 15, [0, 1]), (100, 1, [2])]
     assert list(coalesced([(0, 10), (10, 10), (20, 10)], gap=0, most=20)) == [(0, 20, [0, 1]), (20, 10, [2])]

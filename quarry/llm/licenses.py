@@ -8,6 +8,7 @@ standing first, names the licence and uses its sentences up; the others may comp
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,9 +17,11 @@ from pyspark.sql import DataFrame
 
 from .common import split_batches, texts
 
+# a licence id as normalising leaves it
+_ID = r"[a-z0-9.+]+(?: (?:v?[0-9][0-9.+]*|clause|only|or later|license|patent|by|nc|sa|nd|exception))*"
 #: Known sentences: identifier, and a pattern of the whole normalised sentence (lower case, words and numbers with dots, single spaces).
 SENTENCES: list[tuple[str, str]] = [
-    ("spdx", r"spdx license identifier (?P<id>[a-z0-9.+ ]+)"),
+    ("spdx", rf"spdx license identifier (?P<id>{_ID}(?: (?:and|or|with) {_ID})*)"),
     ("copyright", r"(?:portions )?copyright (?:c )?[0-9].*|(?:portions )?copyright c .*"),
     ("all_rights_reserved", r"(?:.* )?all rights reserved"),
     ("mit_name", r"(?:.* )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?mit license.*|(?:the )?mit license(?: mit)?"),
@@ -91,7 +94,8 @@ CRITICAL = r"licen[cs]e|copyright|rights reserved|permission|redistribut|warrant
 
 _BREAK = re.compile(r"\n+|(?<=[.;:!?])[ \t]+(?=[^a-z\s])|(?<=[;:!?])\s+")
 _NOT_WORD = re.compile(r"(?<![0-9])\.|\.(?![0-9])|[^a-z0-9.,+]+|,")
-_TAG = re.compile(r"(?i)spdx-license-identifier:\s*\(?([A-Za-z0-9.+-]+)")
+_TAG = re.compile(r"(?i)spdx-license-identifier:\s*[( \t]*([A-Z0-9.+:/-]+(?:[) \t]+(?:AND|OR|WITH)[ \t(]+[A-Z0-9.+:/-]+)*)")
+_WRAP = re.compile(r"\s*\n[^\w\n(\"']*")
 _SPACES = re.compile(r" +")
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 _CRITICAL = re.compile(CRITICAL)
@@ -102,15 +106,17 @@ def normalise(sentence: str) -> str:
     return _SPACES.sub(" ", _NOT_WORD.sub(" ", sentence.lower())).strip()
 
 
-def sentences(text: str) -> Iterator[str]:
-    """Normalised sentences. A sentence ends at a line break or after a mark; comment signs vanish in normalising.
+def sentences(text: str) -> Iterator[tuple[int, int, str]]:
+    """Normalised sentences with their first and last place. A sentence ends at a line break or after a mark; comment signs vanish in normalising.
 
     A licence text wrapped over lines is met by joining a block of successive lines as well, see :func:`recognise`.
     """
-    for part in _BREAK.split(_TAG.sub(r"SPDX License Identifier \1", text)):
-        s = normalise(part)
+    first = 0
+    for last, after in (*(m.span() for m in _BREAK.finditer(text)), (len(text), 0)):
+        s = normalise(text[first:last])
         if s:
-            yield s
+            yield first, last, s
+        first = after
 
 
 def _identify(s: str) -> tuple[str, str] | None:
@@ -143,22 +149,51 @@ def _detail(name: str, m: re.Match) -> str:
     return {"mpl_name": "MPL-", "epl_name": "EPL-"}.get(name, "") + g.get("id", "").rstrip(".")
 
 
+def _read(text: str, cuts: list[tuple], joined: bool) -> list[tuple[int, int, tuple[str, str]]]:
+    """(first, last, (identifier, detail)) of the known sentences of what lies between the cuts, with its lines joined or not."""
+    out = []
+    for a, b in zip([0, *(x[1] for x in cuts)], [*(x[0] for x in cuts), len(text)], strict=True):
+        part = _WRAP.sub(lambda m: " " * len(m[0]), text[a:b]) if joined else text[a:b]
+        out += [(a + first, a + last, x) for first, last, s in sentences(part) if (x := _identify(s))]
+    return out
+
+
+def _most(found: list[tuple[int, int, tuple[str, str]]]) -> list[tuple[str, str]]:
+    """As many of the sentences as don't overlap, the longer ones of equally many, in order."""
+    found = sorted(found, key=lambda x: x[1])
+    ends = [x[1] for x in found]
+    best: list[tuple[int, int]] = [(0, 0)]
+    for first, last, _ in found:
+        n, size = best[bisect_right(ends, first, 0, len(best) - 1)]
+        best.append(max(best[-1], (n + 1, size + last - first)))
+    out, i = [], len(found)
+    while i:
+        if best[i] != best[i - 1]:
+            out.append(found[i - 1][2])
+            i = bisect_right(ends, found[i - 1][0], 0, i - 1)
+        else:
+            i -= 1
+    return out[::-1]
+
+
 def recognise(text: str) -> list[tuple[str, str]]:
     """The (identifier, detail) of known sentences in order.
 
     Sentences are looked for line by line, and in each paragraph (lines up to an empty one) with its lines joined,
-    where licence texts are wrapped; of both readings the one that knows more counts.
+    where licence texts are wrapped, also with the lines that are known sentences kept apart; of overlapping finds those count
+    that make the most sentences. An SPDX tag with its licence expression is a sentence wherever it stands.
     """
     out: list[tuple[str, str]] = []
     for paragraph in re.split(r"\n[^\w\n]*\n", text):
         if not _CRITICAL.search(paragraph.lower()):
             continue
-        by_line = [x for s in sentences(paragraph) if (x := _identify(s))]
-        joined: list[tuple[str, str]] = []
+        tags = [(*m.span(), ("spdx", "-".join(normalise(m[1]).split()).upper())) for m in _TAG.finditer(paragraph)]
+        found = by_line = sorted(tags + _read(paragraph, tags, False))
         if "\n" in paragraph:
-            whole = re.sub(r"\s*\n[^\w\n(\"']*", " ", paragraph)
-            joined = [x for s in sentences(whole) if (x := _identify(s))]
-        out += max((by_line, joined), key=len)
+            found = by_line + _read(paragraph, tags, True)
+            if len(by_line) > len(tags):
+                found += _read(paragraph, by_line, True)
+        out += _most(found)
     return out
 
 

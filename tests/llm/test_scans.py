@@ -153,6 +153,26 @@ def test_licences(text, want):
     assert match_rules(recognise(text)) == want
 
 
+@pytest.mark.parametrize(
+    ("above", "want"),
+    [
+        ("SPDX-License-Identifier: MIT", ["MIT"]),
+        ("# SPDX-License-Identifier: (Apache-2.0 OR GPL-2.0-only)", ["APACHE-2.0-OR-GPL-2.0-ONLY", "MIT"]),
+        ("SPDX License Identifier MIT", ["MIT"]),
+        ("All rights reserved", ["LicenseRef-All-Rights-Reserved", "MIT"]),
+        ("Copyright (c) 2020 Foo\nAll rights reserved", ["LicenseRef-All-Rights-Reserved", "MIT"]),
+        ("Copyright (c) 2020 Foo", ["MIT"]),
+    ],
+)
+def test_line_above_wrapped_notice(above, want):
+    notice = MIT.split("\n\n", 1)[1]
+    for text in (f"{above}\n{notice}", f"{above}\n{notice.replace('\n\n', '\n')}"):
+        found = recognise(text)
+        assert match_rules(found) == want
+        assert [n for n, _ in found][-3:] == ["mit_grant", "mit_notice", "mit_as_is"]
+        assert ("SPDX" in above) == (found[0][0] == "spdx")
+
+
 def test_scan(spark):
     rows = [(1, "x\nAll rights reserved.", 0), (2, None, 0), (3, "", 0), (None, "Released under the MIT License.", 0), (1, "y " * 50_000 + "\nLicensed under CC BY-NC 4.0.", 0)]
     got = scan(spark.createDataFrame(rows, "doc_id long, text string, licenses int")).collect()

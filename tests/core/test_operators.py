@@ -247,3 +247,12 @@ def test_reports(spark, tmp_path):
     assert "| All queries | 2 | reciprocal_rank | 0.5000 | 0.7500 | +0.2500 |" in text and "Improvements: 1.\n- t / k: +0.2500" in text
     report.write_benchmark(str(tmp_path / "b"), [{"target": "t", "query_type": "k", "metric": "rank", "value": 1}], {"api_key": "x", "n": 1})
     assert json.load(open(tmp_path / "b" / "manifest.json")) == {"n": 1} and os.path.exists(tmp_path / "b" / "results.json")
+
+
+def test_ground_truth_pairs_of_all_documents(spark, tmp_path):
+    from quarry.plans.queries import ground_truth_pairs
+
+    text = "one two three " + "four five six " * 10
+    rows = [(1, text, "s1"), (2, text + "x", "s2"), (3, text, "s1"), (50, "other words here", "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, ground_truth_pairs(spark, str(tmp_path)).collect())) == [(1, 2), (2, 1), (2, 3), (3, 2)]

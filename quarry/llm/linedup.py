@@ -1,9 +1,9 @@
 """Line deduplication by key hashes and per-document bitmaps; DataFrame expressions only.
 
-Lines travel as 128-bit hashes of their keys, never as text. Each document gives its distinct keys
-with their first positions; partial aggregation leaves one row for each key and task, so that a key
+Lines travel as 128-bit hashes of their keys, never as text. Each document gives its distinct keys;
+partial aggregation leaves one row for each key and task, so that a key
 that a third of all lines share costs no more than any other. The frequent keys, range-partitioned by hash
-and sorted with their first document and position, meet the lines again, and a document
+and sorted with their first document, are joined with the lines again (positions within it are found there), and a document
 gets back a sparse bitmap of the lines that go, 64 lines a word. The text is
 touched once more, to apply the bitmap.
 """
@@ -36,7 +36,7 @@ def _hashed(lines: DataFrame, min_chars: int, *rest: str) -> DataFrame:
 
 
 def frequent_keys(documents: DataFrame, min_docs: int, min_chars: int = 1) -> DataFrame:
-    """(h1, h2, n_docs, first): keys found in at least ``min_docs`` rows, with the first document and line of each."""
+    """(h1, h2, n_docs, first_doc): keys found in at least ``min_docs`` rows, with the first document of each."""
     spark = documents.sparkSession
     keys = documents.select("doc_id", F.array_distinct(F.transform(_lines(F.col("text")), line_key)).alias("keys"))
     rows = keys.select("doc_id", F.explode("keys").alias("key")).where(F.length("key") >= min_chars)

@@ -14,11 +14,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at once; a longer single text is a pass of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows of a few numbers up to which a side is broadcast (about 100 bytes each there); with more it is shuffled.
+BROADCAST_ROWS = 500_000
 
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -69,6 +71,18 @@ def texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def text_hash(text_col: str = "text") -> Column:
+    """64-bit hash of the text (null: empty): with the id it tells rows that share an id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def without_rows(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """``documents`` without the rows whose id and text hash stand in ``gone(doc_id, t)``; no column name can clash."""
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("t")).alias("own"))
+    of = gone.select(F.struct("doc_id", "t").alias("of"))
+    return rows.join(F.broadcast(of) if gone.count() <= BROADCAST_ROWS else of, F.col("own") == F.col("of"), "left_anti").select(*(F.col("row")[c].alias(c) for c in documents.columns))
+
+
 def split_batches(batches: Iterable[pa.RecordBatch], text_col: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold at most ``limit`` bytes (or one row)."""
     for batch in batches:

@@ -12,6 +12,7 @@ import pytest
 
 from quarry.llm.decontam import find_contained, without_contaminated
 from quarry.llm import licenses as L
+from quarry.llm import linedup
 from quarry.llm.licenses import match_rules, recognise, scan
 from quarry.llm.linedup import dedup_lines
 from quarry.llm.quality import _counted, fit, held_out, score_documents, train
@@ -39,6 +40,31 @@ def test_line_dedup(spark, keep):
         assert got[i] == ("\n".join(kept), len(lines), len(lines) - len(kept), 1)
 
 
+@pytest.mark.parametrize("limits", [None, 0])
+def test_line_dedup_rows_that_share_ids(spark, monkeypatch, limits):
+    if limits is not None:  # joins by shuffle
+        monkeypatch.setattr(linedup, "BROADCAST_KEYS", limits)
+        monkeypatch.setattr(linedup, "BROADCAST_WORDS", limits)
+    rows = [(1, "menu\na"), (1, "menu\na"), (1, "b\nMenu"), (None, "menu"), (None, "x\nmenu"), (2, None), (3, "menu\n" * 70 + "end"), (4, "z " * 100_000 + "\nmenu")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, n_dropped int, words int, row int, t1 int")
+    # under the ids 1, 3, 4 and none
+    got = sorted(map(tuple, dedup_lines(df, 4).select("doc_id", "text", "n_lines", "n_dropped", "words", "row", "t1").collect()), key=str)
+    assert got == sorted([(1, "a", 2, 1, 2, 3, 4), (1, "a", 2, 1, 2, 3, 4), (1, "b", 2, 1, 2, 3, 4), (None, "", 1, 1, 2, 3, 4), (None, "x", 2, 1, 2, 3, 4), (2, "", 1, 0, 2, 3, 4), (3, "end", 71, 70, 2, 3, 4), (4, "z " * 100_000, 2, 1, 2, 3, 4)], key=str)
+    assert {x.n_dropped for x in dedup_lines(df, 5).collect()} == {0}
+    first = sorted(((x.doc_id, x.text) for x in dedup_lines(df, 4, keep="first", counts=False).where("doc_id IS NULL").collect()), key=str)
+    assert first in ([(None, "menu"), (None, "x")], [(None, ""), (None, "x\nmenu")])
+    plain = dedup_lines(df, 4, counts=False)
+    assert plain.columns == df.columns and {x.n_dropped for x in plain.collect()} == {1}
+
+
+def test_line_dedup_copies_count_once(spark):
+    rows = [(i, "head\nbody\nhead") for i in range(5, 15)] + [(20, "head\nx"), (21, "y\nhead")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in dedup_lines(df, 3, keep="first", copies="one").collect()}
+    assert got == {i: "head\nbody" for i in range(5, 15)} | {20: "x", 21: "y"}
+    assert {x.text for x in dedup_lines(df, 4, keep="first", copies="one").collect()} == {t for _, t in rows}
+
+
 def test_line_dedup_no_tables(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string"), 2).count() == 0
     df = spark.createDataFrame([(1, "a\nb"), (2, "c")], "doc_id long, text string")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ints, shingle_sets, shuffle_partitions, split_batches, texts, written
+from .common import BROADCAST_ROWS, ints, shingle_sets, shuffle_partitions, split_batches, text_hash, texts, without_rows, written
 from .components import connected_components
 
 #: Prefix tokens that a pair must have in common: so many, and one more for each so many tokens of the smaller set.
@@ -38,20 +38,25 @@ LIST_BLOCK = 64
 ORDER_SAMPLE = 20_000
 #: Tokens found in so many sampled documents count as frequent; at most so many are kept for the order.
 ORDER_LEAST, ORDER_MOST = 3, 500_000
-#: Ids up to which a side is broadcast; with more it is shuffled.
-BROADCAST_IDS = 1_000_000
+#: The lists of middle length that share their smallest member go to so many tasks at most, by token.
+HUB_PARTS = 8
 
 
-def _sets(documents: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, tokens): the set as ascending little-endian 64-bit hashes."""
+def _keyed(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, t): as the operators read them; ``t`` tells rows that share an id apart."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("t"))
+
+
+def _sets(keyed: DataFrame, k: int) -> DataFrame:
+    """(doc_id, t, tokens): the set as ascending little-endian 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in split_batches(batches):
             offsets, hashes = shingle_sets(batch, k)
             blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets * 8), pa.py_buffer(hashes)]).cast(pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), blob], ["doc_id", "n", "tokens"])
+            yield pa.record_batch([batch.column(0), batch.column(2), blob], ["doc_id", "t", "tokens"])
 
-    return texts(documents).mapInArrow(run, "doc_id long, n int, tokens binary")
+    return keyed.mapInArrow(run, "doc_id long, t long, tokens binary")
 
 
 def frequent_tokens(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +75,7 @@ def frequent_tokens(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _signatures(documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, prefix): digest of the whole set, and its first tokens in the common order."""
+    """(doc_id, t, n, digest, prefix): digest of the whole set, and its first tokens in the common order."""
     spark = documents.sparkSession
     common = spark.sparkContext.broadcast(frequent_tokens(documents, k))  # at most ORDER_MOST pairs of 16 bytes
 
@@ -91,9 +96,9 @@ def _signatures(documents: DataFrame, k: int, percent: int) -> DataFrame:
             prefix = hashes[order][place < np.repeat(want, size)].view(np.int64)
             digests = [hashlib.blake2b(hashes[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest() for i in range(len(size))]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(want))).astype(np.int32)), pa.array(prefix))
-            yield pa.record_batch([batch.column(0), pa.array(size.astype(np.int32)), pa.array(digests, pa.binary()), lists], ["doc_id", "n", "digest", "prefix"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(size.astype(np.int32)), pa.array(digests, pa.binary()), lists], ["doc_id", "t", "n", "digest", "prefix"])
 
-    return texts(documents).mapInArrow(run, "doc_id long, n int, digest binary, prefix array<long>")
+    return _keyed(documents).mapInArrow(run, "doc_id long, t long, n int, digest binary, prefix array<long>")
 
 
 def _extra(n: Column) -> Column:
@@ -127,8 +132,9 @@ def _candidate_edges(postings: DataFrame, percent: int) -> DataFrame:
     paired = F.flatten(F.transform(F.sequence(F.lit(1), F.size(one) - 1), lambda i: F.transform(F.filter(F.slice(one, i + 1, F.size(one)), lambda y: alike(F.element_at(one, i), y)), lambda y: F.struct(F.element_at(one, i).alias("x"), y.alias("y")))))
     pairs = short.select(F.explode(paired).alias("p")).select(F.col("p.x.doc").alias("a"), F.col("p.y.doc").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"), F.lit(1).alias("shared"))
 
-    middle = listed.where((F.col("m") > SHORT_LIST) & (F.col("m") <= LONG_LIST)).repartition(shuffle_partitions(listed.sparkSession), "hub")
-    counted = written(middle.groupBy("hub", "token").agg(members.alias("one")).sortWithinPartitions("hub").select("hub", "one").mapInArrow(lambda batches: _middle_pairs(batches, percent), "a long, b long, na int, nb int, shared int, sure boolean"))
+    middle = listed.where((F.col("m") > SHORT_LIST) & (F.col("m") <= LONG_LIST)).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(HUB_PARTS)))
+    middle = middle.repartition(shuffle_partitions(listed.sparkSession), "hub", "part")
+    counted = written(middle.groupBy("hub", "part", "token").agg(members.alias("one")).sortWithinPartitions("hub", "part").select("hub", "one").mapInArrow(lambda batches: _middle_pairs(batches, percent), "a long, b long, na int, nb int, shared int, sure boolean"))
     pairs = pairs.unionByName(counted.where("NOT sure").drop("sure"))
     must = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
     near = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= F.least(_extra(F.least("na", "nb")), must)).select("a", "b")
@@ -280,25 +286,22 @@ def _forest(ids: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> list[tu
 
 
 def _verified_edges(documents: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Spanning forests of the links inside each candidate component of ``members(node, component, n)``."""
-    spark = documents.sparkSession
-    n_members = members.count()
-    chosen = members.select(F.col("node").alias("doc_id"))
-    if n_members <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    sets = _sets(texts(documents).join(chosen, "doc_id", "left_semi"), k)
+    """Spanning forests of the links inside each candidate component of ``members(node, component, doc_id, t, n)``."""
+    chosen = members.select("doc_id", "t")
+    few = members.count() <= BROADCAST_ROWS
+    sets = _sets(_keyed(documents).join(F.broadcast(chosen) if few else chosen, ["doc_id", "t"], "left_semi").select("doc_id", "text", "t"), k)
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
     blocks = F.least(F.col("size"), F.ceil(F.greatest(F.col("size") / BLOCK, F.col("tokens") / BLOCK_TOKENS))).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
         members.join(sizes, "component").withColumn("blocks", blocks).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.col("node").alias("doc_id"), "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+        .select("doc_id", "t", "node", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
     )
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, mine = ints(group.column("doc_id")), ints(group.column("mine"))
+        ids, mine = ints(group.column("node")), ints(group.column("mine"))
         order = np.argsort(ids, kind="stable")
         ids, mine = ids[order], mine[order]
         blobs = group.column("tokens")
@@ -307,32 +310,52 @@ def _verified_edges(documents: DataFrame, members: DataFrame, k: int, percent: i
         edges = _forest(ids, link_block(sets, percent, None if i == j else mine == i))
         return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
 
-    if dealt.count() <= BROADCAST_IDS:
+    if dealt.count() <= BROADCAST_ROWS:
         dealt = F.broadcast(dealt)
-    return sets.join(dealt, "doc_id").select("component", "i", "j", "mine", "doc_id", "tokens").groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
+    return sets.join(dealt, ["doc_id", "t"]).select("component", "i", "j", "mine", "node", "tokens").groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): each document, the size of its set, and the smallest document reachable by links.
+def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, t, n, component_id, first): each row, its class, and whether it is the one that stands for that.
 
-    A set holds a text's distinct ``k``-word shingles (all words as one shingle if fewer); two documents link when
-    ``100 * intersection >= percent * union``. A document without words, null and empty texts included, links with
-    nothing and is a class of its own. Ids are to be unique; null ids take no part and are not returned. Other columns
-    are not read. The table may be empty.
+    A node of the graph is a different set. Its number ascends with the smallest id that has it, so that the least node of a component has the
+    smallest id of all, also where rows share an id.
     """
     documents = documents.where("doc_id IS NOT NULL")
     found = written(_signatures(documents, k, percent))
-    first = written(found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    ids = first.select("doc_id")
-    sets = found.where("n > 0").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    postings = sets.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n")
+    least = written(found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    ranges = least.repartitionByRange(shuffle_partitions(documents.sparkSession), "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    first = written(ranges.withColumn("node", F.monotonically_increasing_id()))
+    sets = found.where("n > 0").join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, ["digest", "doc_id"])
+    postings = sets.select(F.explode("prefix").alias("token"), F.col("node").alias("doc"), "n")
     members = connected_components(_candidate_edges(postings, percent))
-    members = written(members.join(found.select(F.col("doc_id").alias("node"), "n"), "node"))
+    members = written(members.join(sets.select("node", "doc_id", "t", "n"), "node"))
     classes = written(connected_components(_verified_edges(documents, members, k, percent)))
-    owner = first.withColumnRenamed("doc_id", "owner")
+    of = first.join(classes, "node", "left").select("digest", "node", F.col("doc_id").alias("owner"), F.coalesce("component", "node").alias("component"))
+    named = of.join(first.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id")), "component")
+    named = named.select("digest", "owner", "component_id", (F.col("node") == F.col("component")).alias("least"))
     return (
-        found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(owner, "digest", "left")
-        .withColumn("owner", F.coalesce("owner", "doc_id"))
-        .join(classes.withColumnRenamed("node", "owner"), "owner", "left")
-        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "owner").alias("component_id"))
+        found.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
+        .select("doc_id", "t", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("least") & (F.col("doc_id") == F.col("owner")), F.lit(True)).alias("first"))
     )
+
+
+def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): each document, the size of its set, and the smallest document reachable by links.
+
+    A set holds a text's distinct ``k``-word shingles (all words as one shingle if fewer); two documents link when
+    ``100 * intersection >= percent * union``. A document without words, null and empty texts included, links with
+    nothing and is a class of its own. Rows that share an id are documents of their own, each with its own set, links and
+    class; repeated rows are returned as often. Null ids take no part and are not returned. Other columns are not read. A
+    text may be as long as a row can be. The table may be empty.
+    """
+    return _classes(documents, k, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def first_of_classes(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents`` that stand for their class of :func:`jaccard_classes`: those with its smallest id, and of these one set's.
+
+    Rows without words and rows with a null id all stay. Rows equal in id and text stay or go together. All columns are kept.
+    """
+    gone = _classes(documents, k, percent).where("NOT first").select("doc_id", "t").distinct()
+    return without_rows(documents, written(gone))

@@ -6,7 +6,7 @@ import pytest
 
 from quarry.llm import jaccard
 from quarry.llm.components import connected_components
-from quarry.llm.jaccard import jaccard_classes, link_block
+from quarry.llm.jaccard import first_of_classes, jaccard_classes, link_block
 
 
 def brute(rows, k, percent):
@@ -82,3 +82,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 95), (7, 7)] + [(200, x) for x in range(201, 240)] + [(None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {90: 90, 95: 90, 100: 90} | {x: 200 for x in range(200, 240)}
+
+
+def test_rows_that_share_ids(spark):
+    r = random.Random(9)
+    x, y, z = (" ".join(f"{c}{r.randrange(1000)}" for _ in range(90)) for c in "xyz")
+    near = f"other {x}"
+    rows = [(1, x), (1, y), (1, x), (2, near), (3, y), (2, z), (4, z), (5, "w" * 400_000), (None, x), (0, ""), (0, None), (6, "word " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((i.doc_id, i.component_id) for i in jaccard_classes(df, 4, 85).collect())
+    assert got == [(0, 0), (0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (2, 2), (3, 1), (4, 2), (5, 5), (6, 6)]
+    kept = [(i.doc_id, i.text) for i in first_of_classes(df, 4, 85).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[2], rows[5], rows[7], rows[8], rows[9], rows[10], rows[11]], key=str)

@@ -2,7 +2,8 @@
 
 Every feature has a learned vector; a document is the sum, over the kinds of features, of the mean vector of the kind's
 features in it; a softmax layer turns that into class probabilities. Kinds: words, differences of neighbouring
-words (a pair's hash; equal neighbours all have the same one), and runs of three and of four bytes.
+words (a pair's hash; equal neighbours all have the same one), and the three and four characters long pieces of words, a
+word being taken with a mark before and behind it. Characters are code points, so no piece splits one.
 Training is stochastic gradient descent in numpy on the driver, over a sample of labelled documents of bounded
 size; scoring needs one number a feature, so it is table look-ups and sums.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix, split_batches, text_offsets, word_hashes, word_spans
+from .common import SPACE, mix, split_batches, text_offsets, word_hashes, word_spans, written
 
 #: Hash buckets of each kind of feature.
 BITS = 14
@@ -26,12 +27,17 @@ BUCKETS = 1 << BITS
 KINDS = 4
 #: Labelled documents that the classifier learns from, at most; they are drawn by the hash of their id.
 SAMPLE = 4000
+#: Distinct features of all of these together, at most, of 8 bytes each on the driver: the first documents of that order that have no more.
+SAMPLE_FEATURES = 16 << 20
+#: Bytes of text scored at once; a longer single text is taken alone.
+SCORE_BYTES = 1 << 18
 #: Length of a feature's vector; passes over the sample; first learning rate, which falls to 0 in equal steps.
 DIMENSION, EPOCHS, RATE = 8, 12, 0.7
 
 
-def _features(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each kind, (buckets of its features in the order of the text, first, last): a row has those from first to last of it."""
+    buf, offsets = text_offsets(column)
     n = len(offsets) - 1
     start, end, rows = word_spans(buf, offsets)
     words = word_hashes(buf, start, end, lower=False)
@@ -39,19 +45,30 @@ def _features(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     yield (words >> np.uint64(64 - BITS)).astype(np.int32), of[:-1], of[1:]
     pairs = mix(words[1:] - words[:-1]) >> np.uint64(64 - BITS)
     yield pairs.astype(np.int32), of[:-1], np.maximum(of[1:] - 1, of[:-1])
-    wide = buf.astype(np.uint32)
+    texts = ["" if x is None else x for x in column.to_pylist()]
+    # a mark before each text and after the last; white space is the mark within
+    points = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, n) + 1)
+    starts = np.append(0, ends[:-1])  # of the mark before each text; that behind it stands at its end
+    space = (points < 33) & SPACE[np.minimum(points, 255)]
+    points = np.where(space, np.uint32(32), points)
     for k in (3, 4):
-        value = wide[: max(0, len(buf) - k + 1)].copy()
+        m = max(0, len(points) - k + 1)
+        inside = space[1 : m + 1].copy()
+        for j in range(2, k - 1):
+            inside |= space[j : m + j]
+        at = np.flatnonzero(~inside)
+        value = points[at]
         for j in range(1, k):
-            value |= wide[j : len(buf) - k + 1 + j] << np.uint32(8 * j)
+            value = value * np.uint32(0x01000193) + points[at + j]
+        value ^= value >> np.uint32(15)
         bucket = ((value * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32)
-        yield bucket, offsets[:-1], np.maximum(offsets[1:] - (k - 1), offsets[:-1])
+        yield bucket, np.searchsorted(at, starts), np.searchsorted(at, np.maximum(ends + 2 - k, starts))
 
 
 def _counted(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(features, weights) of each row: its distinct features over all kinds and their shares within the kind."""
-    buf, offsets = text_offsets(batch.column(column))
-    kinds = list(_features(buf, offsets))
+    kinds = list(_features(batch.column(column)))
     for i in range(batch.num_rows):
         features, weights = [], []
         for k, (bucket, first, last) in enumerate(kinds):
@@ -68,17 +85,24 @@ class Classifier:
     out: np.ndarray
     bias: np.ndarray
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        """Probability of label 1 for each text; a text without features has that of the bias alone."""
-        buf, offsets = text_offsets(column)
+    def values(self) -> tuple[np.ndarray, float]:
+        """All that scoring needs: for each kind, what each bucket adds to the logit of label 1, and what the bias does."""
         direction = (self.out[:, 1] - self.out[:, 0]).astype(np.float64)
-        value = (self.vectors @ direction).reshape(KINDS, BUCKETS)
-        total = np.full(len(offsets) - 1, float(self.bias[1] - self.bias[0]))
-        for k, (bucket, first, last) in enumerate(_features(buf, offsets)):
-            sums = np.concatenate(([0.0], np.cumsum(value[k][bucket])))
-            # rows without features at the end of the text begin beyond the last one
-            total += (sums[np.minimum(last, len(bucket))] - sums[np.minimum(first, len(bucket))]) / np.maximum(last - first, 1)
-        return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
+        return (self.vectors @ direction).reshape(KINDS, BUCKETS), float(self.bias[1] - self.bias[0])
+
+    def score(self, column: pa.Array) -> np.ndarray:
+        return score(self.values(), column)
+
+
+def score(values: tuple[np.ndarray, float], column: pa.Array) -> np.ndarray:
+    """Probability of label 1 for each text; a text without features has that of the bias alone."""
+    value, bias = values
+    total = np.full(len(column), bias)
+    for k, (bucket, first, last) in enumerate(_features(column)):
+        sums = np.concatenate(([0.0], np.cumsum(value[k][bucket])))
+        # rows without features at the end of the text begin beyond the last one
+        total += (sums[np.minimum(last, len(bucket))] - sums[np.minimum(first, len(bucket))]) / np.maximum(last - first, 1)
+    return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
 def train(samples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 1) -> Classifier:
@@ -111,41 +135,48 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Learn ``labels(doc_id, quality)`` from at most ``sample`` documents that aren't held out.
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = SAMPLE_FEATURES) -> Classifier:
+    """Learn ``labels(doc_id, quality)`` from at most ``sample`` documents that aren't held out, with at most ``features`` features.
 
-    Labels that are null or other than 0 and 1 are left out; so are labels without a document.
+    Labels that are null or other than 0 and 1 are left out; so are labels without a document. Where an id has both labels, 1
+    counts. Rows that share an id are all learned from. Other columns are not read.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("label"))
     drawn = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in split_batches(batches):
+        for batch in split_batches(batches, limit=SCORE_BYTES):
             found = list(_counted(batch, 1))
             ends = pa.array(np.cumsum([0, *(len(f) for f, _ in found)]), pa.int32())
-            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]))) for k in (0, 1))], ["doc_id", "label", "features", "weights"])
-
-    found = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, features array<int>, weights array<float>").toArrow()
-    found = found.sort_by("doc_id").combine_chunks()
+            size = pa.array([len(f) for f, _ in found], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(2), size, *(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]))) for k in (0, 1))], ["doc_id", "label", "n", "features", "weights"])
+
+    table = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, n long, features array<int>, weights array<float>")
+    table = written(table)
+    sizes = table.groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()  # at most ``sample`` rows
+    few = sizes["doc_id"][sizes["n"].cumsum() <= features].tolist()
+    found = (table if len(few) == len(sizes) else table.where(F.col("doc_id").isin(few))).drop("n").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
     if not found.num_rows:
         return train([])
-    features, weights = (found.column(x).chunk(0) for x in ("features", "weights"))
-    ends, bucket, weight = features.offsets.to_numpy(), features.values.to_numpy(), weights.values.to_numpy()
+    bucket_of, weight_of = (found.column(x).chunk(0) for x in ("features", "weights"))
+    ends, bucket, weight = bucket_of.offsets.to_numpy(), bucket_of.values.to_numpy(), weight_of.values.to_numpy()
     return train([(y, bucket[a:b], weight[a:b]) for y, a, b in zip(found.column("label").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
 
 
-def score_documents(documents: DataFrame, model: Classifier) -> DataFrame:
-    """Every row of ``documents`` with ``score``: the probability that its whole text is of good quality.
+def score_documents(documents: DataFrame, model: Classifier, column: str = "score") -> DataFrame:
+    """Every row of ``documents`` with ``column``: the probability that its whole text is of good quality.
 
     Only ``text`` enters the score. Null and empty texts are scored by the bias. Other columns, whatever their names (one
-    named ``score`` is replaced), and repeated or null ids are carried along; the table may be empty.
+    named ``column`` is replaced), and repeated or null ids are carried along; the table may be empty. A text may be as long as
+    a row can be: it is scored whole.
     """
-    documents = documents.drop("score")
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # KINDS * BUCKETS * DIMENSION floats: 2 MB
+    documents = documents.drop(column)
+    shared = documents.sparkSession.sparkContext.broadcast(model.values())  # KINDS * BUCKETS doubles: 0.5 MB
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in split_batches(batches):
-            yield pa.record_batch([*batch.columns, pa.array(shared.value.score(batch.column(at)))], [*batch.schema.names, "score"])
+        for batch in split_batches(batches, "text", SCORE_BYTES):
+            yield pa.record_batch([*batch.columns, pa.array(score(shared.value, batch.column(at)))], [*batch.schema.names, column])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("score", DoubleType())]))
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(column, DoubleType())]))

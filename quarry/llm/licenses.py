@@ -1,8 +1,10 @@
 """Licence scans by sentence and rule recognition.
 
-A text is split into sentences; each is normalised and, if it is a known one, mapped to its identifier. The text's sequence
-of identifiers is then matched against ordered rules: the first rule that fits at a place, longer ones
-standing first, names the licence and uses its sentences up; the others may complete further rules.
+A text is split into sentences; each is normalised and, if it is a known one, mapped to its identifier: a sentence of a licence's text
+by the table ``SENTENCES``, one that says under which licence something stands, or that is a licence's title, by looking the name up in
+the table ``NAMES``. The text's sequence of identifiers is then matched against ordered rules: the first rule that fits at a place, longer ones
+standing first, names the licence and uses its sentences up; the others may complete further rules. SPDX expressions give
+each of their licences, spelt as published.
 """
 
 from __future__ import annotations
@@ -17,6 +19,68 @@ from pyspark.sql import DataFrame
 
 from .common import split_batches, texts
 
+#: Names of licences: spellings as normalising leaves them, versions, and the published id, with the version in place of ``{}``. A
+#: version may follow as ``2.0``, ``2``, ``v2.0``, ``v 2.0`` or ``version 2.0``.
+_NAMES: list[tuple[tuple[str, ...], tuple[str, ...], str]] = [
+    (("mit license", "mit licence", "expat license", "mit x11 license"), (), "MIT"),
+    (("isc license", "isc licence"), (), "ISC"),
+    (("bsd license", "bsd licence", "bsd style license"), (), "BSD"),
+    (("bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "freebsd license", "bsd 2 clause"), (), "BSD-2-Clause"),
+    (("bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "revised bsd license", "bsd 3 clause"), (), "BSD-3-Clause"),
+    (("bsd 4 clause license", "4 clause bsd license", "original bsd license", "bsd 4 clause"), (), "BSD-4-Clause"),
+    (("apache license", "apache software license", "apache"), ("2.0", "1.1"), "Apache-{}"),
+    (("mozilla public license", "mozilla public licence", "mpl"), ("2.0", "1.1"), "MPL-{}"),
+    (("eclipse public license", "epl"), ("2.0", "1.0"), "EPL-{}"),
+    (("european union public licence", "european union public license", "eupl"), ("1.2", "1.1", "1.0"), "EUPL-{}"),
+    (("boost software license",), ("1.0",), "BSL-{}"),
+    (("artistic license",), ("2.0", "1.0"), "Artistic-{}"),
+    (("open database license", "odbl"), ("1.0",), "ODbL-{}"),
+    (("sil open font license", "ofl"), ("1.1", "1.0"), "OFL-{}"),
+    (("common development and distribution license", "cddl"), ("1.1", "1.0"), "CDDL-{}"),
+    (("academic free license",), ("3.0", "2.1"), "AFL-{}"),
+    (("microsoft public license",), (), "MS-PL"),
+    (("zlib license", "zlib libpng license"), (), "Zlib"),
+    (("unlicense", "the unlicense"), (), "Unlicense"),
+    (("wtfpl", "do what the fuck you want to public license"), (), "WTFPL"),
+    (("python software foundation license",), (), "PSF-2.0"),
+    (("cc0 1.0 universal", "cc0 1.0", "cc0"), (), "CC0-1.0"),
+    (("gnu general public license", "gnu general public licence", "general public license", "gnu gpl", "gpl"), ("3.0", "2.0", "1.0"), "GPL-{}"),
+    (("gnu lesser general public license", "lesser general public license", "gnu lgpl", "lgpl"), ("3.0", "2.1"), "LGPL-{}"),
+    (("gnu library general public license", "library general public license"), ("2.0",), "LGPL-{}"),
+    (("gnu affero general public license", "affero general public license", "gnu agpl", "agpl"), ("3.0", "1.0"), "AGPL-{}"),
+    (("gnu free documentation license", "gfdl"), ("1.3", "1.2", "1.1"), "GFDL-{}"),
+    *(
+        ((f"cc {c}", f"cc {c} license", f"creative commons {c}", f"creative commons {w}", f"creative commons {w} license"), ("4.0", "3.0", "2.5", "2.0", "1.0"), f"CC-{c.upper().replace(' ', '-')}-{{}}")
+        for c, w in (("by", "attribution"), ("by sa", "attribution sharealike"), ("by nd", "attribution noderivatives"), ("by nc", "attribution noncommercial"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"))
+    ),
+]
+
+
+def _spelt() -> dict[str, tuple[str, bool]]:
+    """Normalised name to (id, whether it has a version): every spelling with and without each version."""
+    out: dict[str, tuple[str, bool]] = {}
+    for spellings, versions, name in _NAMES:
+        for x in spellings:
+            out.setdefault(x, (name.replace("-{}", ""), not versions))
+            for v in versions:
+                short = (v, v.removesuffix(".0")) if v.endswith(".0") else (v,)
+                tails = [f"{w}{n}" for n in short for w in ("", "v", "v ", "version ", "international ", "unported ")]
+                for t in [*tails, *(f"{n} {w}" for n in short for w in ("international", "unported", "generic", "license"))]:
+                    out.setdefault(f"{x} {t}", (name.format(v), True))
+    return out
+
+
+#: Normalised name of a licence to its id.
+NAMES = _spelt()
+_LONGEST = max(len(x.split()) for x in NAMES)
+#: How a sentence says that a licence follows.
+_UNDER = re.compile(r"(?:^| )(?:licen[cs]ed|released|distributed|redistributed|available|provided|published|offered|covered|governed|free|put|is|are) (?:by|under|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?(?=\S)")
+#: Ids as published, also of what only SPDX expressions name.
+_PUBLISHED = {x.lower(): x for x in (
+    *(x for x, _ in NAMES.values()), *(f"{x}-{y}" for x, _ in NAMES.values() if re.match("A?L?GPL-[0-9]|GFDL-[0-9]", x) for y in ("only", "or-later")),
+    "0BSD", "BlueOak-1.0.0", "Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Linux-syscall-note", "Autoconf-exception-3.0", "Bison-exception-2.2", "Font-exception-2.0", "NCSA", "OpenSSL", "PostgreSQL", "X11", "curl", "Ruby", "Python-2.0", "NONE", "NOASSERTION",
+)}
+
 # a licence id as normalising leaves it
 _ID = r"[a-z0-9.+]+(?: (?:v?[0-9][0-9.+]*|clause|only|or later|license|patent|by|nc|sa|nd|exception))*"
 #: Known sentences: identifier, and a pattern of the whole normalised sentence (lower case, words and numbers with dots, single spaces).
@@ -24,7 +88,6 @@ SENTENCES: list[tuple[str, str]] = [
     ("spdx", rf"spdx license identifier (?P<id>{_ID}(?: (?:and|or|with) {_ID})*)"),
     ("copyright", r"(?:portions )?copyright (?:c )?[0-9].*|(?:portions )?copyright c .*"),
     ("all_rights_reserved", r"(?:.* )?all rights reserved"),
-    ("mit_name", r"(?:.* )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?mit license.*|(?:the )?mit license(?: mit)?"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit_notice", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
     ("mit_as_is", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
@@ -37,62 +100,57 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsd_advertising", r"(?:3 )?all advertising materials mentioning features or use of this software must display the following acknowledgement.*"),
     ("bsd_endorse", r"(?:[34] )?neither the names? of .* nor the names of (?:its|their|the) contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd_as_is", r"this software is provided by .* as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
-    ("bsd_name", r"(?:.* )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the |a )?(?P<id>[234] clause |new |modified |simplified )?bsd(?P<id2> [234] clause)? license.*"),
-    ("apache_name", r"(?:.* )?licensed under (?:the terms of )?(?:the )?apache license,? version 2(?:\.0)?(?: the license)?.*|(?:.* )?(?:released|distributed|available|provided) under (?:the terms of )?(?:the )?apache license,? (?:version )?2(?:\.0)?.*"),
     ("apache_compliance", r"you may not use this file except in compliance with the license"),
     ("apache_copy", r"you may obtain a copy of the license at.*"),
     ("apache_as_is", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("gnu_free", r"(?:.* )?(?:is free software )?you can redistribute it and or modify it under the terms of (?:version (?P<id>[0-9.]+) of )?the gnu (?P<id2>lesser |library |affero )?general public license(?: version (?P<id3>[0-9.]+)| v(?P<id4>[0-9.]+))?(?P<id5> only)? as published by the free software foundation(?P<id6>.* version [0-9.]+.*)?"),
-    ("gnu_name", r"(?:.* )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?(?:gnu )?(?P<id2>lesser |library |affero )?general public license(?: gpl)?,?(?: version| v)? ?(?P<id>[0-9.]+)?(?P<id6> or (?:any )?later.*| or at your option any later.*)?"),
     ("gnu_warranty", r"(?:.* )?is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gnu_copy", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license.*"),
     ("mpl_name", r"this source code form is subject to the terms of the mozilla public license v (?P<id>[0-9.]+)"),
     ("mpl_copy", r"if a copy of the mpl was not distributed with this file you can obtain one at.*"),
-    ("cc_name", r"(?:.* )?(?:licensed|released|distributed|available) under (?:the terms of )?(?:a |the )?(?:cc|creative commons) (?P<id>by(?: nc| sa| nd)*|attribution(?: noncommercial| non commercial| sharealike| share alike| noderivatives| noderivs)*)(?: (?P<id2>[0-9.]+))?(?: .*)?"),
     ("cc0_name", r"(?:.* )?(?:cc0|dedicated to the public domain)(?: .*)?"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("public_domain", r"(?:.* )?(?:is|are|released|placed) (?:in|into|to) the public domain(?: .*)?"),
     ("zlib_as_is", r"this software is provided as is without any express or implied warranty"),
     ("zlib_grant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
-    ("boost_name", r"(?:.* )?distributed under the boost software license version 1(?:\.0)?.*"),
-    ("epl_name", r"(?:.* )?(?:made available|licensed|distributed) under the terms of the eclipse public license v? ?(?P<id>[0-9.]+).*"),
 ]
 
-#: Rules in the order in which they are tried: licence, and the identifiers in sequence. ``{}`` is what the named sentence tells.
+#: Rules in the order in which they are tried: licence, and the identifiers in sequence. ``{}`` is what the first sentence tells; ``named=MIT`` is
+#: a sentence that names just that.
 RULES: list[tuple[str, tuple[str, ...]]] = [
-    ("MIT", ("mit_name", "mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
+    ("MIT", ("named=MIT", "mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
+    ("MIT", ("named=MIT", "mit_grant", "mit_notice", "mit_as_is")),
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is")),
     ("BSD-4-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_advertising", "bsd_endorse", "bsd_as_is")),
     ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is")),
     ("BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_as_is")),
-    ("Apache-2.0", ("apache_name", "apache_compliance", "apache_copy", "apache_as_is")),
+    ("Apache-2.0", ("named=Apache-2.0", "apache_compliance", "apache_copy", "apache_as_is")),
+    ("Apache-2.0", ("named=Apache-2.0", "apache_compliance", "apache_copy")),
     ("{}", ("gnu_free", "gnu_warranty", "gnu_copy")),
     ("{}", ("gnu_free", "gnu_warranty")),
-    ("MPL-2.0", ("mpl_name", "mpl_copy")),
+    ("{}", ("mpl_name", "mpl_copy")),
+    ("ISC", ("named=ISC", "isc_grant", "isc_as_is")),
     ("ISC", ("isc_grant", "isc_as_is")),
     ("Zlib", ("zlib_as_is", "zlib_grant")),
     ("{}", ("spdx",)),
-    ("MIT", ("mit_name",)),
-    ("Apache-2.0", ("apache_name",)),
     ("{}", ("gnu_free",)),
-    ("{}", ("gnu_name",)),
-    ("{}", ("bsd_name",)),
-    ("{}", ("cc_name",)),
     ("{}", ("mpl_name",)),
-    ("{}", ("epl_name",)),
+    ("{}", ("named",)),
     ("CC0-1.0", ("cc0_name",)),
-    ("BSL-1.0", ("boost_name",)),
     ("Unlicense", ("unlicense",)),
     ("LicenseRef-Public-Domain", ("public_domain",)),
     ("LicenseRef-All-Rights-Reserved", ("all_rights_reserved",)),
 ]
 
-#: Every known sentence holds one of these, in any case; a text without them is not split. Between two words may stand what normalising
+#: Every sentence of ``SENTENCES`` holds one of these, and every name the first two words of one in ``NAMES``, in any case; a text without them is not split. Between two words may stand what normalising
 #: turns into a space: signs, line breaks with comment signs, letters beyond ASCII.
-CRITICAL = r"licen[cs]e|copyright|rights reserved|permission|redistribut|warrant|public domain|as is|liable|compliance|cc0|creative commons|cc by|cc attribution|endorse|advertising materials|hope that|copy of the|free software".replace(" ", "(?-i:[^A-Za-z0-9]+)")
+CRITICAL = "|".join(
+    [r"licen[cs]e|copyright|rights reserved|permission|redistribut|warrant|public domain|as is|liable|compliance|cc0|endorse|advertising materials|hope that|copy of the|free software"]
+    + sorted({re.escape(" ".join(x.split()[:2])).replace("\\ ", " ") for x in NAMES if "licen" not in x})
+).replace(" ", "(?-i:[^A-Za-z0-9]+)")
 
-_BREAK = re.compile(r"\n+|(?<=[.;:!?])[ \t]+(?=[^a-z\s])|(?<=[;:!?])\s+")
+_BREAK = re.compile(r"\n+|(?<=[.;:!?])(?<![ ,][vV]\.)[ \t]+(?=[^a-z\s])|(?<=[;:!?])\s+")
 _NOT_WORD = re.compile(r"(?<![0-9])\.|\.(?![0-9])|[^a-z0-9.,+]+|,")
 _TAG = re.compile(r"(?i)spdx-license-identifier:\s*[( \t]*([A-Z0-9.+:/-]+(?:[) \t]+(?:AND|OR|WITH)[ \t(]+[A-Z0-9.+:/-]+)*)")
 _WRAP = re.compile(r"\s*\n[^\w\n(\"']*")
@@ -119,34 +177,64 @@ def sentences(text: str) -> Iterator[tuple[int, int, str]]:
         first = after
 
 
+def _name_at(words: list[str]) -> tuple[str, list[str]] | None:
+    """The id of the longest name with which the words begin, and the words after it."""
+    for n in range(min(_LONGEST, len(words)), 0, -1):
+        if (found := NAMES.get(" ".join(words[:n]))) is not None:
+            return found[0], words[n:]
+    return None
+
+
+def _named(s: str) -> tuple[str, str] | None:
+    """A sentence that says under which licence something stands, or is no more than a licence's title, perhaps with its date."""
+    for start, title in (*((m.end(), False) for m in _UNDER.finditer(s)), (0, True)):
+        words = s[start:].split()
+        found = _name_at(words[1:] if words[:1] == ["the"] else words)
+        if found is None:
+            continue
+        name, rest = found
+        if title and not re.fullmatch(r"(?:(?:the )?license|(?:[0-9]{1,2} )?(?:january|june|november|february|august|october|may) [0-9]{4}|gpl|lgpl|agpl)?", " ".join(rest)):
+            continue
+        if re.match("A?L?GPL|GFDL", name):
+            tail = " ".join(rest)
+            if "-" not in name and (m := re.match(r"(?:gpl |lgpl |agpl )?(?:version |v )?v?([0-9][0-9.]*)", tail)):
+                name = f"{name}-{m[1].rstrip('.')}" + ".0" * ("." not in m[1].rstrip("."))
+            if "-" in name and not title:
+                name += "-or-later" if re.search(r"(?:^| )or (?:any |at your option any )?(?:later|newer)", tail) else "-only"
+        return "named", name
+    return None
+
+
 def _identify(s: str) -> tuple[str, str] | None:
     if not _CRITICAL.search(s):
         return None
     for name, pattern in _KNOWN:
         if m := pattern.fullmatch(s):
             return name, _detail(name, m)
-    return None
+    return _named(s)
+
+
+def spdx_ids(expression: str) -> str:
+    """The licences of an SPDX expression, spelt as published and joined by a comma, each once; an exception stays with its licence."""
+    out = []
+    for part in re.split(r"(?i)(?:^|[()\s]+)(?:AND|OR)[()\s]+", expression.strip("() \t")):
+        words = [x for x in re.split(r"[()\s]+", part) if x]
+        out.append(" ".join("WITH" if x.upper() == "WITH" else _PUBLISHED.get(x.lower(), x) for x in words))
+    return ",".join(dict.fromkeys(x for x in out if x))
 
 
 def _detail(name: str, m: re.Match) -> str:
     g = {k: (v or "").strip() for k, v in m.groupdict().items()}
-    if name == "spdx":
-        return "-".join(g["id"].split()).upper()
-    if name in ("gnu_free", "gnu_name"):
+    if name == "spdx":  # dashes are gone
+        return spdx_ids(re.sub(r"\x00| ", lambda x: " " if x[0] == "\0" else "-", re.sub(r" (and|or(?! later)|with) ", "\0\\1\0", g["id"])))
+    if name == "gnu_free":
         family = {"lesser": "LGPL", "library": "LGPL", "affero": "AGPL"}.get(g["id2"], "GPL")
         later = g.get("id6", "")
         version = g["id"] or g.get("id3") or g.get("id4") or (re.search(r"[0-9][0-9.]*", later) or [""])[0]
         version = version.rstrip(".")
         version += ".0" * (bool(version) and "." not in version)
         return "-".join(x for x in (family, version, ("or-later" if "later" in later else "only") * bool(version)) if x)
-    if name == "bsd_name":
-        n = (re.search(r"[234]", g["id"] + g["id2"]) or [{"new": "3", "modified": "3", "simplified": "2"}.get(g["id"], "")])[0]
-        return f"BSD-{n}-Clause" if n else "BSD"
-    if name == "cc_name":
-        long = {"attribution": "BY", "noncommercial": "NC", "non": "NC", "sharealike": "SA", "share": "SA", "noderivatives": "ND", "noderivs": "ND", "commercial": "", "alike": ""}
-        parts = [long.get(x, x.upper()) for x in g["id"].split()]
-        return "-".join(x for x in ("CC", *parts, g["id2"].rstrip(".")) if x)
-    return {"mpl_name": "MPL-", "epl_name": "EPL-"}.get(name, "") + g.get("id", "").rstrip(".")
+    return {"mpl_name": "MPL-"}.get(name, "") + g.get("id", "").rstrip(".")
 
 
 def _read(text: str, cuts: list[tuple], joined: bool) -> list[tuple[int, int, tuple[str, str]]]:
@@ -187,7 +275,7 @@ def recognise(text: str) -> list[tuple[str, str]]:
     for paragraph in re.split(r"\n[^\w\n]*\n", text):
         if not _CRITICAL.search(paragraph.lower()):
             continue
-        tags = [(*m.span(), ("spdx", "-".join(normalise(m[1]).split()).upper())) for m in _TAG.finditer(paragraph)]
+        tags = [(*m.span(), ("spdx", spdx_ids(m[1]))) for m in _TAG.finditer(paragraph)]
         found = by_line = sorted(tags + _read(paragraph, tags, False))
         if "\n" in paragraph:
             found = by_line + _read(paragraph, tags, True)
@@ -203,17 +291,17 @@ def match_rules(found: list[tuple[str, str]]) -> list[str]:
     Copyright lines between the sentences of a rule are passed over.
     """
     items = [(n, x) for n, x in enumerate(found) if x[0] != "copyright"]
-    got: list[tuple[int, str]] = []
+    got: list[tuple[int, int, str]] = []
     for licence, sequence in RULES:
         i = 0
         while i + len(sequence) <= len(items):
             part = items[i : i + len(sequence)]
-            if tuple(x[0] for _, x in part) == sequence:
-                got.append((part[0][0], licence.format(part[0][1][1])))
+            if all(want in (x[0], f"{x[0]}={x[1]}") for (_, x), want in zip(part, sequence, strict=True)):
+                got += [(part[0][0], n, name) for n, name in enumerate(licence.format(part[0][1][1]).split(","))]
                 del items[i : i + len(sequence)]
             else:
                 i += 1
-    return list(dict.fromkeys(name for _, name in sorted(got)))
+    return list(dict.fromkeys(name for *_, name in sorted(got)))
 
 
 def scan(documents: DataFrame) -> DataFrame:

@@ -168,10 +168,23 @@ GPL = """// This program is free software: you can redistribute it and/or modify
         ("Licensed under CC BY-NC 4.0.\nAll rights reserved.", ["CC-BY-NC-4.0", "LicenseRef-All-Rights-Reserved"]),
         ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
         ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n', ["Apache-2.0"]),
-        ("# SPDX-License-Identifier: BSD-3-Clause\nx = 1", ["BSD-3-CLAUSE"]),
+        ("# SPDX-License-Identifier: BSD-3-Clause\nx = 1", ["BSD-3-Clause"]),
         (MIT, ["MIT"]),
         (GPL, ["GPL-3.0-or-later"]),
         ("The licence of a driver was taken. Nothing else.", []),
+        ("Released under the ISC License.", ["ISC"]),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", ["GPL-3.0"]),
+        ("Licensed under the EUPL, Version 1.2 only.", ["EUPL-1.2"]),
+        ("This file is distributed under the GNU Lesser General Public License v2.1 or later.", ["LGPL-2.1-or-later"]),
+        ("The code is available under the terms of the GNU AGPL version 3.", ["AGPL-3.0-only"]),
+        ("Made available under the terms of the Eclipse Public License v2.0.", ["EPL-2.0"]),
+        ("Everything here is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.\nIf a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+        ("It is under the new BSD license", ["BSD-3-Clause"]),
+        ("/* SPDX-License-Identifier: ((GPL-2.0-only WITH Linux-syscall-note) OR bsd-2-clause) */", ["GPL-2.0-only WITH Linux-syscall-note", "BSD-2-Clause"]),
+        ("# SPDX-License-Identifier: LicenseRef-Own", ["LicenseRef-Own"]),
+        ("SPDX license identifier GPL 2.0 or later AND MIT", ["GPL-2.0-or-later", "MIT"]),
         ("", []),
     ],
 )
@@ -183,7 +196,7 @@ def test_licences(text, want):
     ("above", "want"),
     [
         ("SPDX-License-Identifier: MIT", ["MIT"]),
-        ("# SPDX-License-Identifier: (Apache-2.0 OR GPL-2.0-only)", ["APACHE-2.0-OR-GPL-2.0-ONLY", "MIT"]),
+        ("# SPDX-License-Identifier: (Apache-2.0 OR GPL-2.0-only)", ["Apache-2.0", "GPL-2.0-only", "MIT"]),
         ("SPDX License Identifier MIT", ["MIT"]),
         ("All rights reserved", ["LicenseRef-All-Rights-Reserved", "MIT"]),
         ("Copyright (c) 2020 Foo\nAll rights reserved", ["LicenseRef-All-Rights-Reserved", "MIT"]),
@@ -245,6 +258,33 @@ def test_scan_leaves_no_licence_out(spark):
     assert [list(x.licenses) for x in sorted(got)] == [[x] for x in want]
 
 
+def test_every_name_is_found():
+    texts = []
+    for name, (want, _) in sorted(L.NAMES.items()):
+        for text in (f"Some words. This work is licensed under the {name}.", f"x\n * Released under {name.upper()}\n", f"It is available under the terms of the\n{name.replace(' ', '-')}"):
+            assert match_rules(recognise(text)) == [f"{want}-only" if re.match("A?L?GPL-|GFDL-", want) else want], text
+            texts.append(text)
+    assert all(pc.match_substring_regex(pa.array(texts), L.CRITICAL, ignore_case=True).to_pylist())
+
+
+def test_scan_equals_recognition_without_gate(spark, monkeypatch):
+    r = random.Random(2)
+    parts = [MIT, GPL, "Released under the ISC License.", "x", "word " * 40, "All rights reserved.", "SPDX-License-Identifier: MIT", "Text under CC BY 4.0.", "the gpl", "(c) 2020", "A license to go.", "Apache 2.0", "Licensed under the EUPL v1.2"]
+    rows = [(i, "\n".join(r.choices(parts, k=r.choice([0, 1, 2, 6]))).replace(" ", r.choice([" ", " ", "\n", "-"]))) for i in range(300)]
+    got = {x.doc_id: (list(x.licenses), list(x.sentences)) for x in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(L, "_CRITICAL", re.compile(""))
+    want = {i: recognise(t) for i, t in rows}
+    assert got == {i: (match_rules(x), [n for n, _ in x]) for i, x in want.items()}
+
+
+def test_decontamination_rows_that_share_ids(spark):
+    item = "alpha beta gamma delta epsilon zeta eta"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, "clean"), (None, item), (None, None), (2, "w " * 200_000 + item), (2, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(3, item), (3, item), (None, "clean")], "item_id long, text string")
+    assert sorted(map(str, (x.doc_id for x in find_contained(docs, items).collect()))) == ["1", "1", "2", "2", "None", "None"]
+    assert sorted(((x.doc_id, x.text) for x in without_contaminated(docs, items).collect()), key=str) == [(1, "clean"), (2, ""), (None, None)]
+
+
 def test_sketches_need_no_luck():
     from quarry.llm.decontam import Sketches
 

@@ -9,6 +9,7 @@ record that keeps the payload is a response, the others are revisits that refer
 from __future__ import annotations
 
 import base64
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, shuffle_partitions, split_batches, written
+from .common import BROADCAST_ROWS, shared_folder, shuffle_partitions, split_batches, written
 from .files import create, opened
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,7 +76,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, level:
     # what pages with one payload have in common is a maximum: partial sums leave a row for each payload and task
     kept = digested.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "keeper")
     refers = F.when(F.col("keeper") != F.col("page_id"), F.col("keeper"))
-    planned = digested.join(kept, "payload_digest", "left").select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
+    kept = written(kept, f"{folder}/kept")
+    # a shuffle by digest would carry the html, a hot payload's to one task
+    planned = digested.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "payload_digest", "left").select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, name, at = None, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
@@ -116,8 +119,9 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST_RE
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records that the rows of ``index`` select: (page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]).
 
-    A revisit's ``payload_bytes`` and digest are the full payload's, its ``payload`` is null. Work is dealt out by file and range
-    of offsets, so that a large archive is read by many tasks.
+    A response's length and digest are measured on the payload as read; one whose header says otherwise raises
+    ``ValueError``. A revisit has those that its header tells and a null ``payload``; :func:`resolved` checks them. Work is dealt out by
+    file and range of offsets, so that a large archive is read by many tasks.
     """
     spark = index.sparkSession
     by = [F.col("file"), F.col("offset")]
@@ -128,6 +132,17 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     def number(urn: str) -> int:
         return int(urn.strip("<>").rpartition(":")[2])
 
+    def record(raw: bytes) -> tuple:
+        warc, http, payload = parse_record(raw)
+        page, url = number(warc["warc-record-id"]), warc["warc-target-uri"]
+        told = int(http["content-length"]), base64.b32decode(warc["warc-payload-digest"].partition(":")[2]).hex()
+        if warc["warc-type"] != "response":
+            return page, url, *told, warc["warc-type"], number(warc["warc-refers-to"]), None
+        own = len(payload), hashlib.sha1(payload).hexdigest()
+        if own != told:
+            raise ValueError(f"the payload of page {page} is not what its header says")
+        return page, url, *own, "response", None, payload
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
@@ -141,19 +156,31 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                     for start, length, inside in coalesced(ranges):
                         file.seek(start)
                         data = memoryview(file.read(length))
-                        out = []
-                        for i in inside:
-                            offset, size = ranges[i]
-                            warc, http, payload = parse_record(zlib.decompress(data[offset - start : offset - start + size], 31))
-                            response = warc["warc-type"] == "response"
-                            digest = base64.b32decode(warc["warc-payload-digest"].partition(":")[2]).hex()
-                            out.append((number(warc["warc-record-id"]), warc["warc-target-uri"], int(http["content-length"]), digest, warc["warc-type"], None if response else number(warc["warc-refers-to"]), payload if response else None))
+                        out = [record(zlib.decompress(data[offset - start : offset - start + size], 31)) for offset, size in (ranges[i] for i in inside)]
                         yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)][: len(names)], names)
                 first = last
 
     return chosen.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """The same rows; a revisit's length and digest are those measured on the response that it refers to. One without such a response fails the query.
+
+    The responses referred to are fewer than the payloads that repeat: they are found by distinct ids and broadcast if they are few.
+    """
+    revisits = records.where("record_type <> 'response'")
+    wanted = revisits.select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    found = records.where("record_type = 'response'").select("page_id", "payload_digest", "payload_bytes").join(wanted, ["page_id", "payload_digest"], "left_semi")
+    found = found.distinct().select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("measured"))
+    joined = records.join(F.broadcast(found) if wanted.count() <= BROADCAST_ROWS else found, ["refers_to", "payload_digest"], "left")
+    same = (F.col("record_type") == "response") | F.col("measured").eqNullSafe(F.col("payload_bytes"))
+    fault = F.raise_error(F.concat(F.lit("no response with that payload for the revisit of page "), F.col("page_id").cast("string"))).cast("long")
+    return joined.withColumn("payload_bytes", F.when(same, F.col("payload_bytes")).otherwise(fault)).select(*records.columns)
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 1000, folder: str | None = None) -> DataFrame:
-    """Write the archives (in a new shared folder unless one is named) and read every record back."""
-    return read_records(write_archives(pages, folder or shared_folder(pages.sparkSession), min_bytes))
+    """Write the archives (in a new shared folder unless one is named) and read every record back, revisits by the responses they refer to.
+
+    A row for each row of ``pages`` with a page_id, repeated ids included; null html is an empty payload.
+    """
+    return resolved(written(read_records(write_archives(pages, folder or shared_folder(pages.sparkSession), min_bytes))))

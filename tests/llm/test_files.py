@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 import public_tokenizers
 import pyarrow as pa
 from hypothesis import given, settings
@@ -9,9 +10,10 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quarry.llm.common import shared_folder
-from quarry.llm.files import mapped
+from quarry.llm.files import create, mapped
 from quarry.llm.queries import op7_token_files
 from quarry.llm.tokenfile import Encoder, read_token_files, write_token_files
+from quarry.llm import warc
 from quarry.llm.warc import coalesced, read_records, write_archives
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,3 +86,35 @@ def test_warc(spark):
     some = read_records(index.where("page_id IN (3, 8)")).collect()
     assert sorted(r.page_id for r in some) == [3, 8]
     assert read_records(write_archives(df.limit(0), shared_folder(spark))).count() == 0
+
+
+def test_warc_measures_what_it_reads(spark):
+    sha = lambda x: hashlib.sha1(x).hexdigest()
+
+    def stored(*records):
+        folder, at, data = shared_folder(spark), 0, b""
+        rows = []
+        for page, kind, digest, payload in records:
+            member = warc._member(warc._record({"page_id": page, "url": "u", "refers_to": kind, "payload_digest": digest}, payload), 1)
+            rows.append((f"{folder}/x.warc.gz", at, len(member)))
+            at, data = at + len(member), data + member
+        with create(f"{folder}/x.warc.gz") as f:
+            f.write(data)
+        return warc.resolved(read_records(spark.createDataFrame(rows, "file string, offset long, length long")))
+
+    good = stored((1, None, sha(b"body"), b"body"), (2, 1, sha(b"body"), b"body")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in good) == [(1, 4, None), (2, 4, 1)]
+    for spoilt in ([(1, None, sha(b"body"), b"bodx")], [(1, None, sha(b"body"), b"body"), (2, 1, sha(b"other"), b"other")], [(2, 1, sha(b"body"), b"body")]):
+        with pytest.raises(Exception, match="payload|no response"):
+            stored(*spoilt).collect()
+
+
+def test_warc_repeated_ids_and_hot_payloads(spark, monkeypatch):
+    big, other = "é" * 600, "x" * 2000
+    rows = [(5, "a", big), (5, "b", other), (1, "c", big), (1, "c", big), (2, "d", other)] + [(i, "e", "hot " * 400) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted([(5, "a", 1200, None), (5, "b", 2000, None), (1, "c", 1200, 5), (1, "c", 1200, 5), (2, "d", 2000, 5)] + [(i, "e", 1600, None if i == 159 else 159) for i in range(100, 160)], key=str)
+    for limit in (warc.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
+        got = warc.round_trip(df).collect()
+        assert sorted(((r.page_id, r.url, r.payload_bytes, r.refers_to) for r in got), key=str) == want

@@ -33,7 +33,7 @@ from .common import split_batches, texts
 #: Characters in a leaf of the tree.
 LEAF = 4096
 #: Ids in a leaf when decoding.
-DECODE_LEAF = 1 << 16
+DECODE_LEAF = 1 << 10
 #: Characters searched for a certain border at first, and at most.
 WINDOW, MOST_WINDOW = 64, 4096
 
@@ -44,10 +44,12 @@ _LETTERS = regex.compile(r"\p{L}+")
 class Codec:
     """The vocabulary of a rank file, ``pattern`` splitting the text before the merges."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF, decode_leaf: int = DECODE_LEAF):
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("certain borders are known for the public pattern only")
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.leaf = leaf
+        self.leaf, self.decode_leaf = leaf, decode_leaf
         self.flat = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
@@ -97,7 +99,14 @@ class Codec:
             x, y = left[-n:], right[:n]
             if sum(len(self.bytes_of[i]) for i in x) > room_left or sum(len(self.bytes_of[i]) for i in y) > room_right:
                 return None
-            window = self.flat._core_bpe.encode_single_piece(b"".join(self.bytes_of[i] for i in (*x, *y)))
+            try:
+                letters = b"".join(self.bytes_of[i] for i in (*x, *y)).decode()
+            except UnicodeDecodeError:  # a token ends within a character
+                if n >= len(left) and n >= len(right):
+                    return None
+                n += 1
+                continue
+            window = self.flat.encode_ordinary(letters)  # one match
             if window[0] == x[0] and window[-1] == y[-1]:
                 return left[: len(left) - len(x)] + window + right[len(y) :]
             if n >= len(left) and n >= len(right):
@@ -122,10 +131,14 @@ class Codec:
         return at
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= DECODE_LEAF:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        mid = len(ids) // 2
-        return self.decode(ids[:mid]) + self.decode(ids[mid:])
+        """The bytes of the ids, joined up the same kind of tree."""
+        return self._decode(ids, 0, len(ids))
+
+    def _decode(self, ids: list[int], lo: int, hi: int) -> bytes:
+        if hi - lo <= self.decode_leaf:
+            return b"".join(map(self.bytes_of.__getitem__, ids[lo:hi]))
+        mid = (lo + hi) // 2
+        return self._decode(ids, lo, mid) + self._decode(ids, mid, hi)
 
 
 @lru_cache(4)

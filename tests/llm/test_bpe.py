@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from quarry.llm.bpe import Codec, encode_documents
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
-SMALL = Codec(PATH, leaf=3)
+SMALL = Codec(PATH, leaf=3, decode_leaf=2)
 WHOLE = Codec(PATH)
 
 
@@ -30,6 +30,19 @@ def test_tree_equals_whole_any_text(text):
 def test_long_runs(text):
     assert WHOLE.encode(text) == WHOLE.flat.encode_ordinary(text)
     assert Codec(PATH, leaf=500).encode(text) == WHOLE.flat.encode_ordinary(text)
+    ids = WHOLE.encode(text)
+    assert WHOLE.decode(ids) == SMALL.decode(ids) == text.encode()
+
+
+def test_other_patterns_are_refused():
+    with pytest.raises(ValueError):
+        Codec(PATH, r"\S+|\s+")
+
+
+def test_default_leaf_is_exceeded():
+    text = " ".join(f"word{i}" for i in range(5000))
+    ids = WHOLE.encode(text)
+    assert len(ids) > 8 * WHOLE.decode_leaf and WHOLE.decode(ids) == text.encode()
 
 
 def test_documents(spark):

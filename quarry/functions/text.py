@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .constants import COMMANDS, EXCERPT_CHARS, METADATA_CHARS, STOP_WORDS, TRUTH_MIN_CHARS, VERDICTS
 
+# What separates names.
 _BEFORE, _AFTER = "(?<![A-Za-z0-9_'])", "(?![A-Za-z0-9_'])"
 #: What trimming takes away: all white space at both ends.
 _TRIM = r"(?U)^\s+|\s+$"
@@ -50,18 +51,10 @@ def statement(source: Column) -> Column:
     return trim(normalise_space(strip_name(strip_command(strip_proof(source)))))
 
 
-def _whole_words(words: tuple[str, ...]) -> str:
-    """A pattern of any of the words as a whole, by first letters so that few are tried."""
-    by_first: dict[str, list[str]] = {}
-    for w in sorted({w for w in words if w.isalpha()}):
-        by_first.setdefault(w[0], []).append(w[1:])
-    return "(?<![a-z])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")(?![a-z])"
-
-
 def metadata_words(text: Column) -> Column:
     """Lower-cased words of more than three letters that aren't stop words, joined by a space."""
     lowered = F.regexp_replace(F.lower(text), r"(?<![A-Za-z0-9_])[a-z]{1,3}(?![A-Za-z0-9_])|[^a-z ]", " ")
-    return F.btrim(F.regexp_replace(F.regexp_replace(lowered, _whole_words(STOP_WORDS), " "), " +", " "))
+    return F.array_join(F.filter(F.split(lowered, " +"), lambda w: ~w.isin("", *STOP_WORDS)), " ")
 
 
 def mentions(text: Column, token: str, symbols: Mapping[str, str] | None = None) -> Column:

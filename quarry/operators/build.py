@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrow import adler32
+from ..functions.constants import DISTANCE, VERDICTS
+from .duplicates import judged
+from .report import canonical
 
 #: Code points of an embedder's input; texts in a call.
 EMBED_CHARS, EMBED_BATCH = 8000, 32
@@ -46,6 +50,11 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*(p.cast("string") for p in parts))), 256)
 
 
+def call_key(text: Column, model: str = "", backend: str = "", extra: dict | None = None) -> Column:
+    """The key of a model call: everything that its answer depends on, the extra body as canonical JSON."""
+    return cache_key(F.lit(backend), F.lit(model), F.lit(canonical(extra or {})), text)
+
+
 def misses(wanted: DataFrame, store: DataFrame) -> DataFrame:
     """Distinct keys of ``wanted(key, ...)`` that the store lacks."""
     return wanted.dropDuplicates(["key"]).join(store.select("key"), "key", "left_anti")
@@ -76,15 +85,18 @@ def completed(prompt: str, generate: Callable[[str, float], Completion], cut_off
     raise Failure(error)
 
 
-def describe(wanted: DataFrame, generate: Callable[[str, float], Completion], attempts: int = 3) -> DataFrame:
-    """(key, text, truncated, status, error) of ``wanted(key, prompt)``: status ok, truncated or failed. A failure costs its row only."""
+def describe(wanted: DataFrame, generate: Callable[[str, float], Completion], attempts: int = 3, cut_off: Callable[[str], str] = lambda _: "fallback") -> DataFrame:
+    """(key, text, truncated, status, error) of ``wanted(key, prompt)``: status ok, truncated or failed. A failure costs its row only.
+
+    ``cut_off`` tells what a cut-off completion is worth, see :func:`completed`.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, prompt in zip(batch["key"], batch["prompt"], strict=True):
                 try:
-                    c = completed(prompt, generate, lambda _: "fallback", attempts)
+                    c = completed(prompt, generate, cut_off, attempts)
                     rows.append((key, c.text, c.truncated, "truncated" if c.truncated else "ok", None))
                 except Failure as e:
                     rows.append((key, None, False, "failed", str(e)))
@@ -93,6 +105,26 @@ def describe(wanted: DataFrame, generate: Callable[[str, float], Completion], at
     return wanted.select("key", "prompt").mapInPandas(run, "key string, text string, truncated boolean, status string, error string")
 
 
+def has_verdict(text: str) -> str:
+    """A cut-off judgement is sufficient if it came to a known verdict, else unusable."""
+    m = re.search(r"VERDICT\s*:\s*([A-Za-z]+)", text)
+    return "sufficient" if m and m[1].upper() in VERDICTS else "unusable"
+
+
+def judge(pairs: DataFrame, pattern: str, generate: Callable[[str, float], Completion], attempts: int = 3, weak: float = DISTANCE) -> DataFrame:
+    """``pairs(rank, distance, src, other_src, ...)`` with verdict, justification, judge_truncated and judge_error.
+
+    Only near candidates among the first few are judged, others have nulls; equal prompts are judged once. A failed judgement has its error and no verdict.
+    """
+    asked = pairs.withColumn("_prompt", F.when(judged(F.col("rank"), F.col("distance"), weak=weak), T.template(pattern, first=T.excerpt(F.col("src")), second=T.excerpt(F.col("other_src")))))
+    asked = asked.withColumn("_key", F.sha2("_prompt", 256))
+    told = describe(asked.where("_key IS NOT NULL").select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt")).dropDuplicates(["key"]), generate, attempts, has_verdict)
+    word, why = T.verdict(F.col("text"))
+    ok = F.col("status") != "failed"
+    told = told.select(F.col("key").alias("_key"), F.when(ok, word).alias("verdict"), F.when(ok, why).alias("justification"), F.when(ok, F.col("truncated")).alias("judge_truncated"), F.col("error").alias("judge_error"))
+    return asked.join(told, "_key", "left").drop("_key", "_prompt")
+
+
 def embed(wanted: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = EMBED_BATCH) -> DataFrame:
     """(key, vector) of ``wanted(key, text)``: calls of ``batch`` truncated texts; a wrong number of vectors raises."""
 
@@ -127,10 +159,10 @@ def through_store(wanted: DataFrame, folder: str, compute: Callable[[DataFrame],
     return wanted.join(spark.read.parquet(folder), "key")
 
 
-def documents(blocks: DataFrame, prompt: str, embed_prompt: str, store: str, generate: Callable[[str, float], Completion], model: str = "") -> DataFrame:
+def documents(blocks: DataFrame, prompt: str, embed_prompt: str, store: str, generate: Callable[[str, float], Completion], model: str = "", backend: str = "", extra: dict | None = None) -> DataFrame:
     """Described documents of ``blocks(id, src, entry, title, abstract, ...)``: llm_description, embedding_input, checksum and artifact. Undescribed ones are dropped."""
     text = T.describe_prompt(prompt, F.col("src"), F.col("title"), F.col("abstract"))
-    asked = blocks.withColumn("prompt", text).withColumn("key", cache_key(F.lit(model), F.col("prompt")))
+    asked = blocks.withColumn("prompt", text).withColumn("key", call_key(F.col("prompt"), model, backend, extra))
     told = through_store(asked, store, lambda m: describe(m, generate), F.col("status") != "failed")
     said = T.marked(F.col("text"))
     out = told.withColumn("llm_description", said).withColumn("checksum", adler32("src"))
@@ -139,8 +171,8 @@ def documents(blocks: DataFrame, prompt: str, embed_prompt: str, store: str, gen
     return out.withColumn("description_artifact", artifact).drop("key", "prompt", "text", "status", "error")
 
 
-def with_vectors(described: DataFrame, store: str, model: Callable[[list[str]], list[list[float]]], name: str = "") -> DataFrame:
-    keyed = described.withColumn("text", F.col("embedding_input")).withColumn("key", cache_key(F.lit(name), T.truncate(F.col("text"), EMBED_CHARS)))
+def with_vectors(described: DataFrame, store: str, model: Callable[[list[str]], list[list[float]]], name: str = "", backend: str = "", extra: dict | None = None) -> DataFrame:
+    keyed = described.withColumn("text", F.col("embedding_input")).withColumn("key", call_key(T.truncate(F.col("text"), EMBED_CHARS), name, backend, extra))
     return through_store(keyed, store, lambda m: embed(m, model)).drop("key", "text")
 
 
@@ -157,10 +189,15 @@ def hash_embedder(dimension: int) -> Callable[[list[str]], list[list[float]]]:
     return run
 
 
-def progress(statuses: DataFrame) -> DataFrame:
-    """One row: processed, reused, generated, truncated, failed."""
+def progress(statuses: DataFrame, seconds: float | None = None, total: int | None = None) -> DataFrame:
+    """One row: processed, reused, generated, truncated, failed; with ``seconds`` the rate, with ``total`` also the seconds that are left (null without a rate)."""
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
-    return statuses.agg(F.count(F.lit(1)).alias("processed"), is_("stored").alias("reused"), is_("ok", "truncated").alias("generated"), is_("truncated").alias("truncated"), is_("failed").alias("failed"))
+    out = statuses.agg(F.count(F.lit(1)).alias("processed"), is_("stored").alias("reused"), is_("ok", "truncated").alias("generated"), is_("truncated").alias("truncated"), is_("failed").alias("failed"))
+    if seconds is not None:
+        out = out.withColumn("rate", F.try_divide(F.col("processed"), F.lit(float(seconds))))
+        if total is not None:
+            out = out.withColumn("seconds_left", F.try_divide(F.lit(float(total)) - F.col("processed"), "rate"))
+    return out
 
 
 def incomplete_sessions(exports: DataFrame, name: str) -> DataFrame:
@@ -176,20 +213,89 @@ def unbuilt(sessions: DataFrame, done: DataFrame, incomplete: DataFrame) -> Data
     return out.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("reason").agg(F.array_sort(F.collect_list("session")).alias("sessions"))
 
 
-def select_sessions(sessions: DataFrame, names: list[str], exclude: list[str], main: str) -> DataFrame:
-    """Sessions ``(session, parent, group)`` by name, by group, or ``all``, without the excluded ones and their descendants.
+def select_sessions(sessions: DataFrame, names: list[str], exclude: list[str], main: str, sets: dict[str, Column] | None = None) -> DataFrame:
+    """(session, parent, group, depth): sessions by name, by group, ``all``, or a set named in ``sets`` (a condition each), without the excluded ones and their descendants.
 
-    ``main`` is the root of the hierarchy. Unknown names raise.
+    ``main`` is the root of the hierarchy and not among them; ``depth`` counts the ancestors, so that order by it puts parents first. Unknown
+    names raise. Only the names asked for come to the driver.
     """
     spark = sessions.sparkSession
-    known = {r.session for r in sessions.select("session").collect()}  # a name each
-    groups = {r.group for r in sessions.select("group").distinct().collect()}
-    if unknown := [n for n in (*names, *exclude) if n not in known and n not in groups and n != "all"]:
-        raise ValueError(f"unknown sessions: {', '.join(unknown)}")
-    chosen = sessions if "all" in names else sessions.where(F.col("session").isin(*names) | F.col("group").isin(*names))
-    gone = spark.createDataFrame([(e,) for e in exclude], "session string")
-    while True:  # as often as the hierarchy is deep
-        more = sessions.join(gone.select(F.col("session").alias("parent")), "parent", "left_semi").select("session").unionByName(gone).distinct()
-        if more.count() == gone.count():
-            return chosen.join(gone, "session", "left_anti").where(F.col("session") != main)
-        gone = spark.createDataFrame(more.toPandas(), "session string")
+    conditions = {"all": F.lit(True)} | (sets or {})
+    asked = spark.createDataFrame([(n,) for n in (*names, *exclude) if n not in conditions], "name string")
+    known = sessions.select(F.col("session").alias("name")).unionByName(sessions.select(F.col("group").alias("name"))).distinct()
+    if unknown := [r.name for r in asked.join(known, "name", "left_anti").collect()]:
+        raise ValueError(f"unknown sessions: {', '.join(sorted(set(unknown)))}")
+    wanted = F.col("session").isin(*names) | F.col("group").isin(*names) if names else F.lit(False)
+    for n in names:
+        wanted = wanted | conditions.get(n, F.lit(False))
+    above = spark.sql(
+        """WITH RECURSIVE up(session, ancestor) AS (
+          SELECT session, parent FROM {s} WHERE parent IS NOT NULL
+          UNION ALL SELECT u.session, s.parent FROM up u JOIN {s} s ON u.ancestor = s.session WHERE s.parent IS NOT NULL)
+        SELECT session, collect_list(ancestor) AS above FROM up GROUP BY session""",
+        s=sessions.select("session", "parent"),
+    )  # a cycle exceeds the limit of recursion, which raises
+    gone = F.exists("above", lambda x: x.isin(*exclude)) | F.col("session").isin(*exclude) if exclude else F.lit(False)
+    placed = sessions.join(above, "session", "left").withColumn("above", F.coalesce("above", F.array().cast("array<string>")))
+    kept = placed.where(F.coalesce(wanted, F.lit(False)) & ~F.coalesce(gone, F.lit(False)) & (F.col("session") != main))
+    return kept.select(*sessions.columns, F.size("above").alias("depth"))
+
+
+def embeddings_of(response: dict, n: int) -> list[list[float]]:
+    """The vectors of an embedding response in order of their ``index``; each of 0 to n - 1 has to be there once."""
+    data = response.get("data")
+    if not isinstance(data, list) or sorted(d.get("index", -1) for d in data) != list(range(n)):
+        raise ValueError("the response doesn't have each index once")
+    return [d["embedding"] for d in sorted(data, key=lambda d: d["index"])]
+
+
+class Refused(Exception):
+    """A call that the service refused for good."""
+
+
+def posted(transport: Callable[[str, dict, dict], tuple[int, dict]], url: str, body: dict, key: str | None = None, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """The JSON answer of ``transport(url, headers, body)`` -> (status, answer).
+
+    Input and output errors and the statuses 429 and 5xx are tried again, after 2 ** n seconds, 30 at most; any other status but 2xx is refused at once. The key goes to
+    this endpoint only.
+    """
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+    error = "no attempt"
+    for n in range(attempts):
+        if n:
+            sleep(min(30.0, 2.0**n))
+        try:
+            status, answer = transport(url, headers, body)
+        except OSError as e:
+            error = str(e)
+            continue
+        if 200 <= status < 300:
+            return answer
+        if status != 429 and status < 500:
+            raise Refused(f"status {status}")
+        error = f"status {status}"
+    raise OSError(error)
+
+
+def embedder(transport: Callable[[str, dict, dict], tuple[int, dict]], url: str, model: str, kind: str = "openai", key: str | None = None, extra: dict | None = None, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[list[float]]]:
+    """A model for :func:`embed` behind an HTTP service of either of two kinds: indexed answers, or a plain list under ``embeddings``."""
+    if kind not in ("openai", "ollama"):
+        raise ValueError(f"unknown kind of service: {kind}")
+
+    def run(texts: list[str]) -> list[list[float]]:
+        path = "/embeddings" if kind == "openai" else "/api/embed"
+        answer = posted(transport, url.rstrip("/") + path, {"model": model, "input": texts} | (extra or {}), key, attempts, sleep)
+        return embeddings_of(answer, len(texts)) if kind == "openai" else answer["embeddings"]
+
+    return run
+
+
+def generator(transport: Callable[[str, dict, dict], tuple[int, dict]], url: str, model: str, key: str | None = None, extra: dict | None = None, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> Callable[[str, float], Completion]:
+    """A model for :func:`describe` behind a chat service: the text, and whether its length cut it off."""
+
+    def run(prompt: str, temperature: float) -> Completion:
+        body = {"model": model, "temperature": temperature, "messages": [{"role": "user", "content": prompt}]} | (extra or {})
+        choice = posted(transport, url.rstrip("/") + "/chat/completions", body, key, attempts, sleep)["choices"][0]
+        return Completion(choice["message"].get("content") or "", choice.get("finish_reason") == "length")
+
+    return run

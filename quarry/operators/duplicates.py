@@ -87,6 +87,11 @@ def self_failure(rank: Column, distance: Column) -> Column:
     return rank.isNull() | ((rank != 1) & (distance > C.STRONG_DISTANCE))
 
 
+def first_failures(selfs: DataFrame, most: int = 20) -> DataFrame:
+    """(query_id, self_rank, self_distance) of the first failures by id."""
+    return selfs.where(self_failure(F.col("self_rank"), F.col("self_distance"))).orderBy("query_id").limit(most)
+
+
 def self_retrieval(selfs: DataFrame) -> DataFrame:
     """One row: documents, retrieved, failures, failure fraction (0 of none), mean distance (null of none), whether the fraction is too large."""
     failed = self_failure(F.col("self_rank"), F.col("self_distance"))
@@ -139,9 +144,13 @@ def requested_entries(requested: list[str], documents: DataFrame) -> tuple[DataF
 
 
 def reported(candidates: DataFrame, everything: bool = False, tiers: tuple[str, ...] = C.TIERS) -> DataFrame:
-    """Candidates that a report shows: tiered ones of the view's tiers, or all, sources cut."""
+    """Candidates that a report shows: those of the view's tiers, or all, sources cut, each with its item's best tier in this view.
+
+    An item without a candidate left is in no row, and so not in the view.
+    """
     shown = candidates if everything else candidates.where(F.col("tier").isin(*tiers))
-    return shown.withColumn("src", T.truncate(F.col("src"), C.REPORT_CHARS))
+    best = shown.groupBy("query_id").agg(best_tier(F.col("tier")).alias("best_tier"))
+    return shown.withColumn("src", T.truncate(F.col("src"), C.REPORT_CHARS)).join(best, "query_id")
 
 
 def view_totals(candidates: DataFrame) -> DataFrame:
@@ -166,5 +175,6 @@ def base_name_sizes(documents: DataFrame) -> DataFrame:
 
 
 def exact_copies(documents: DataFrame, key: Column, most: int = C.TRUTH_GROUP) -> DataFrame:
-    """(key, size, first) of groups of more than one document with equal keys, up to ``most``."""
-    return documents.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where((F.col("size") > 1) & (F.col("size") <= most))
+    """(key, size, first, skipped) of groups of more than one document with equal keys; those above ``most``, which are not paired, are marked."""
+    groups = documents.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where(F.col("size") > 1)
+    return groups.withColumn("skipped", F.col("size") > most)

@@ -9,6 +9,8 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 
+from ..functions.constants import TIERS
+
 _SECRET_PARTS, _SECRET = ("api_key", "password"), ("authorization", "token")
 
 
@@ -24,11 +26,14 @@ def canonical(value) -> str:
 
 
 def escape(text: str) -> str:
-    return re.sub(r"([\\`*_{}\[\]<>()#+!|~-])", r"\\\1", text)
+    """Text that Markdown shows as it is, in one line: white space collapsed, ``&<>`` as entities, signs with a backslash."""
+    text = " ".join(text.split()).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return re.sub(r"([\\`*_{}\[\]()#+!|~.-])", r"\\\1", text)
 
 
 def link(label: str, url: str) -> str:
-    return f"[{escape(label)}]({quote(url, safe='/:?#=&%+,;@~.-_')})" if url else escape(label)
+    """A link whose target stands between angle brackets, unsafe bytes percent-encoded; without a target the label alone."""
+    return f"[{escape(label)}](<{quote(url, safe='/:?#=&%+,;@~.-_')}>)" if url else escape(label)
 
 
 def fence(text: str, language: str = "") -> str:
@@ -59,31 +64,75 @@ def comparison(means: DataFrame, regressions: DataFrame, improvements: DataFrame
     return "\n".join(out) + "\n"
 
 
-def duplicate_report(totals: DataFrame, summary: DataFrame, candidates: DataFrame, title: str) -> str:
-    """A view of a duplicate analysis: totals, the table of entries, and each item with its candidates' sources."""
-    out = [f"# {escape(title)}", "", table(totals), "", table(summary), ""]
-    last = None
-    for r in candidates.orderBy("query_id", "rank").collect():
-        if r.query_id != last:
-            out += [f"## {escape(str(r.query_id))}", ""]
-            last = r.query_id
-        out += [f"{r.rank}. {escape(str(r.id))}: {r.tier}, distance {r.distance:.4f}", "", fence(r.src or ""), ""]
+def duplicate_view(evidence: dict, title: str, tiers: tuple[str, ...]) -> str:
+    """A Markdown view of the evidence: only candidates of ``tiers``, items without any left out, best tiers found anew among those that remain."""
+    out = [f"# {escape(title)}", ""]
+    order = {t: i for i, t in enumerate(tiers)}
+    for kind, section in sorted(evidence["sections"].items()):
+        items = []
+        for item in section["items"]:
+            shown = [c for c in item["candidates"] if c["tier"] in order]
+            if shown:
+                items.append((item, shown, min((c["tier"] for c in shown), key=order.__getitem__)))
+        counts = [f"{t}: {sum(best == t for *_, best in items)}" for t in tiers]
+        out += [f"## {escape(kind)}", "", f"{len(items)} items, {sum(len(s) for _, s, _ in items)} pairs; {', '.join(counts)}.", ""]
+        for item, shown, best in items:
+            out += [f"### {escape(str(item['id']))} ({escape(best)})", "", fence(item.get("src") or ""), ""]
+            for c in shown:
+                said = f"; {escape(c['verdict'])}: {escape(c.get('justification') or '')}" if c.get("verdict") else ""
+                out += [f"{c['rank']}. {link(str(c['id']), c.get('url') or '')}: {escape(c['tier'])}, distance {c['distance']:.4f}{said}", "", fence(c.get("src") or ""), ""]
     return "\n".join(out)
 
 
-def write_json(path: str, value) -> None:
-    """By a temporary file and a rename, so readers see all or nothing."""
+def duplicate_evidence(sections: dict[str, tuple[DataFrame, dict]], thresholds: dict, everything: bool = False, missing: tuple[str, ...] = ()) -> dict:
+    """All evidence of a duplicate analysis as one JSON value, from which the views are made.
+
+    A section is ``(candidates(query_id, query_src, rank, id, src, distance, tier, ...), statistics)``; candidates without a tier, and items that
+    are left without any, stand in it only with ``everything``. Reports are small: what the analysis keeps comes to the driver.
+    """
+    out: dict = {"thresholds": thresholds, "all_candidates": everything, "missing_entries": list(missing), "sections": {}}
+    for kind, (candidates, statistics) in sections.items():
+        rows = [r.asDict(True) for r in (candidates if everything else candidates.where("tier IS NOT NULL")).orderBy("query_id", "rank").collect()]
+        items: dict = {}
+        for r in rows:
+            item = items.setdefault(r["query_id"], {"id": r.pop("query_id"), "src": r.pop("query_src", None), "candidates": []})
+            r.pop("query_id", None), r.pop("query_src", None)
+            item["candidates"].append(r)
+        out["sections"][kind] = {"items": list(items.values()), **statistics}
+    return out
+
+
+def write_duplicates(folder: str, evidence: dict, title: str) -> None:
+    """duplicates.json, and two views made from it alone: near-exact ones, and all tiers."""
+    os.makedirs(folder, exist_ok=True)
+    write_json(os.path.join(folder, "duplicates.json"), evidence)
+    for name, tiers in (("near-exact", TIERS[:1]), ("possible", TIERS)):
+        with open(os.path.join(folder, f"{name}.md"), "w", encoding="utf-8") as f:
+            f.write(duplicate_view(evidence, f"{title}: {name}", tiers))
+
+
+def write_json(path: str, value, redact: bool = False) -> None:
+    """By a temporary file and a rename, so readers see all or nothing; a configuration is written without its secrets (``redact``)."""
     temp = f"{path}.tmp"
     with open(temp, "w", encoding="utf-8") as f:
-        f.write(json.dumps(public_values(value), sort_keys=True, indent=1, ensure_ascii=False))
+        f.write(json.dumps(public_values(value) if redact else value, sort_keys=True, indent=1, ensure_ascii=False))
     os.replace(temp, path)
 
 
-def write_benchmark(folder: str, results: list[dict], manifest: dict) -> None:
-    """results.json and manifest.json of a run; results are rows of (target, query_type, metric, value)."""
+def write_benchmark(folder: str, results: list[dict], manifest: dict, summary: list[dict] = (), skipped: dict[str, str] | None = None) -> None:
+    """results.json and manifest.json of a run.
+
+    ``results`` are rows of (target, query_type, metric, value), with query, source, refined_query and top_results (rank, distance and id of the
+    first hits) where known; ``summary`` has rows of (query_type, metric, average, sample_size); ``skipped`` maps targets to reasons.
+    """
     os.makedirs(folder, exist_ok=True)
-    nested: dict = {}
+    nested: dict = {t: {"metadata": {"target_identifier": t, "skipped": True, "skipped_reason": why}, "queries": {}} for t, why in (skipped or {}).items()}
     for r in results:
-        nested.setdefault(r["target"], {"queries": {}})["queries"].setdefault(r["query_type"], {"metrics": {}})["metrics"][r["metric"]] = r["value"]
+        entry = nested.setdefault(r["target"], {"metadata": {"target_identifier": r["target"], "skipped": False}, "queries": {}})
+        query = entry["queries"].setdefault(r["query_type"], {"metrics": {}})
+        query["metrics"][r["metric"]] = r["value"]
+        query |= {k: r[k] for k in ("query", "source", "refined_query", "top_results") if k in r}
+    for r in summary:
+        nested.setdefault("summary", {}).setdefault(r["query_type"], {})[r["metric"]] = {"average": r["average"], "sample_size": r["sample_size"]}
     write_json(os.path.join(folder, "results.json"), nested)
-    write_json(os.path.join(folder, "manifest.json"), manifest)
+    write_json(os.path.join(folder, "manifest.json"), manifest, redact=True)

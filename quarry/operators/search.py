@@ -203,19 +203,21 @@ def collapse(hits: DataFrame, limit: int, by: tuple[str, ...] = ("rank",)) -> Da
     """Hits of each ``query_id`` with equal ``key`` as one result with the others under ``copies``.
 
     Groups stand in the order of their first hit. The scan ends at the hit that would open group ``limit`` + 1, so copies
-    after that aren't attached. A group is represented by its first hit with an empty ``entry``, or its first.
+    after that aren't attached. A group is represented by its first hit with an empty ``entry``, or its first. Only keys with their first
+    place are ranked, the first ``limit`` + 1 of each task; the hits of the chosen keys are joined to them.
     """
-    q = Window.partitionBy("query_id")
     columns = [c for c in hits.columns if c != "query_id"]
-    placed = hits.withColumn("_rank", F.row_number().over(q.orderBy(*by)))
-    placed = placed.withColumn("_first", F.min("_rank").over(Window.partitionBy("query_id", "key")))
-    placed = placed.withColumn("_group", F.dense_rank().over(q.orderBy("_first")))
-    placed = placed.withColumn("_stop", F.min(F.when(F.col("_group") == limit + 1, F.col("_rank"))).over(q))
-    placed = placed.where(F.col("_stop").isNull() | (F.col("_rank") < F.col("_stop")))
-    hit = F.struct((F.col("entry") != "").cast("int").alias("_own"), "_rank", *columns)
-    groups = placed.groupBy("query_id", "_group").agg(F.sort_array(F.collect_list(hit)).alias("h"))
+    order = F.struct(*by)
+    first = hits.groupBy("query_id", "key").agg(F.min(order).alias("_first"))
+    placed = first.withColumn("_group", F.row_number().over(Window.partitionBy("query_id").orderBy("_first"))).where(F.col("_group") <= limit + 1)
+    stop = placed.where(F.col("_group") == limit + 1).select("query_id", F.col("_first").alias("_stop"))
+    chosen = placed.where(F.col("_group") <= limit).join(stop, "query_id", "left").select(F.col("query_id").alias("_query"), F.col("key").alias("_key"), "_group", "_stop")
+    few = hits.withColumn("_by", order).join(chosen, F.col("query_id").eqNullSafe(F.col("_query")) & F.col("key").eqNullSafe(F.col("_key")))
+    few = few.where(F.col("_stop").isNull() | (F.col("_by") < F.col("_stop")))
+    hit = F.struct((F.col("entry") != "").cast("int").alias("_own"), "_by", *columns)
+    groups = few.groupBy("query_id", "_group").agg(F.sort_array(F.collect_list(hit)).alias("h"))
     result = F.col("h")[0]
-    rest = F.sort_array(F.transform(F.slice("h", 2, F.size("h")), lambda x: F.struct(x["_rank"].alias("_rank"), *(x[c].alias(c) for c in columns))))
+    rest = F.sort_array(F.transform(F.slice("h", 2, F.size("h")), lambda x: F.struct(x["_by"].alias("_by"), *(x[c].alias(c) for c in columns))))
     return groups.select("query_id", F.col("_group").alias("place"), *(result[c].alias(c) for c in columns), F.transform(rest, lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias("copies"))
 
 

@@ -52,6 +52,13 @@ def guard_pruning(previous: DataFrame, current: DataFrame, allow: bool = False)
     return gone, n
 
 
+def zipped(references: DataFrame, inputs: str = "inputs", vectors: str = "vectors") -> DataFrame:
+    """(ord, input, vector): input i goes with vector i; lists of different lengths raise when they are read."""
+    same = F.when(F.size(inputs) == F.size(vectors), F.arrays_zip(F.col(inputs).alias("input"), F.col(vectors).alias("vector")))
+    pairs = F.coalesce(same, F.raise_error(F.lit("inputs and vectors differ in number")).cast("array<struct<input:string,vector:array<double>>>"))
+    return references.select(F.posexplode(pairs).alias("ord", "pair")).select("ord", "pair.input", "pair.vector")
+
+
 def embedding_drift(vectors: DataFrame) -> DataFrame:
     """One row: the largest relative squared error of ``vectors(actual, expected)``, and whether it is within tolerance."""
     worst = F.max(V.relative_squared_error(F.col("actual"), F.col("expected")))
@@ -73,8 +80,8 @@ def check_spec(spec: dict) -> None:
         raise ValueError("the recipe lacks model, embed prompt or add_metadata")
 
 
-def check_manifest(manifest: dict, form: str, version: int) -> None:
-    if manifest.get("format") != form or manifest.get("version") != version:
+def check_manifest(manifest: dict, forms: tuple[str, ...], version: int) -> None:
+    if manifest.get("format") not in forms or manifest.get("version") != version:
         raise ValueError("unknown format or version")
     kinds = [c.get("kind") for c in manifest.get("corpora") or []]
     if not kinds or len(set(kinds)) != len(kinds):

@@ -198,7 +198,7 @@ def match_locations(spark, sf_dir):
     return duplicates.match_locations(rows)
 
 
-@query("SELECT sha256(text) AS key, count(*) AS size, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) BETWEEN 2 AND 50")
+@query("SELECT sha256(text) AS key, count(*) AS size, min(doc_id) AS first, count(*) > 50 AS skipped FROM documents GROUP BY text HAVING count(*) >= 2")
 def exact_duplicate_groups(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return duplicates.exact_copies(docs, F.sha2("text", 256))
@@ -247,10 +247,10 @@ def newest_entries(spark, sf_dir):
     return duplicates.newest_entries(docs, 10)
 
 
-@query("SELECT * FROM (VALUES ('src3', 0, 'found'), ('src1', 1, 'found'), ('nowhere', 2, 'missing')) t(entry, ord, status)")
+@query("SELECT entry, ord, CASE WHEN entry IN (SELECT source FROM documents) THEN 'found' ELSE 'missing' END AS status FROM (VALUES ('src3', 0), ('src1', 1), ('nowhere', 2), ('src99999', 3)) t(entry, ord)")
 def missing_entries(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("entry"))
-    found, missing = duplicates.requested_entries(["src3", "src1", "src3", "nowhere"], docs)
+    found, missing = duplicates.requested_entries(["src3", "src1", "src3", "nowhere", "src99999", "nowhere"], docs)
     return found.withColumn("status", F.lit("found")).unionByName(missing.withColumn("status", F.lit("missing")))
 
 

@@ -11,6 +11,7 @@ import hashlib
 import json
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -18,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.arrow import adler32
 from ..operators import validate as check
@@ -26,6 +26,8 @@ from ..operators.report import canonical, write_json
 
 FORMAT, VERSION, WRITER = "interchange", 1, "quarry-1"
 RECORD = "id string, kind string, src string, checksum long, llm_description string, embedding_input string, entity_kname string, chapter string, session string, theory string, file string, url_path string, command string, start_line int, consts array<string>, typs array<string>, thms array<string>, entry string, entry_date string"
+#: A source block.
+BLOCK = "id string, src string, entity_kname string, chapter string, session string, theory string, file string, url_path string, command string, start_line int, consts array<string>, typs array<string>, thms array<string>"
 #: Bytes of a vector file that one task reads.
 VECTOR_BYTES = 32 << 20
 
@@ -97,13 +99,23 @@ def read_vectors(spark: SparkSession, path: str, dimension: int) -> DataFrame:
     return spark.range(0, rows, step, max(1, min(starts, 4096))).mapInArrow(run, "ord long, vector array<float>")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, record, and its fields) of a file of JSON lines, in its order; the line itself is kept for a lossless export."""
-    # line numbers: the offset of a partition is the count of the lines before it
-    lines = spark.read.text(path)
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    table = spark.createDataFrame(numbered, StructType([StructField("ord", LongType()), *lines.withColumnRenamed("value", "record").schema.fields]))
-    return table.withColumn("fields", F.from_json("record", RECORD)).select("ord", "record", "fields.*")
+def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
+    """(ord, record, and its fields) of a file of JSON lines, in its order; the line itself is kept for a lossless export.
+
+    A line's number is its place in the partition plus the lines of those before: of these a number a partition comes to the driver.
+    """
+    lines = spark.read.text(path).withColumnRenamed("value", "record").withColumn("at", F.monotonically_increasing_id())
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(tuple(r) for r in lines.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
+    offsets = spark.createDataFrame(before, "part long, before long")
+    table = lines.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("ord", F.col("before") + place)
+    return table.withColumn("fields", F.from_json("record", schema)).select("ord", "record", "fields.*")
+
+
+def block_fields(blocks: DataFrame) -> DataFrame:
+    """The thirteen fields of a source block, in order; a missing one is null."""
+    return blocks.select(*((F.col(c) if c in blocks.columns else F.lit(None).cast(t)).alias(c) for c, t in (x.split(" ") for x in BLOCK.split(", "))))
 
 
 def current(index: str) -> str:
@@ -128,19 +140,34 @@ def publish(index: str, staging: str) -> str:
     return os.path.join(index, name)
 
 
-def prune(index: str) -> list[str]:
-    """Delete all generations but the one in force."""
+def lease(generation: str) -> str:
+    """Mark a generation as in use; the mark's path, to be deleted after use. :func:`prune` leaves marked ones."""
+    mark = os.path.join(generation, f"lease-{uuid.uuid4().hex}")
+    with open(mark, "x"):
+        return mark
+
+
+def prune(index: str, seconds: float = 86400.0) -> list[str]:
+    """Delete all generations but the one in force and those with a lease younger than ``seconds``."""
     keep = os.path.basename(current(index))
-    gone = [n for n in sorted(os.listdir(index)) if n.startswith("generation-") and n != keep]
+
+    def held(name: str) -> bool:
+        marks = [os.path.join(index, name, x) for x in os.listdir(os.path.join(index, name)) if x.startswith("lease-")]
+        return any(time.time() - os.path.getmtime(m) < seconds for m in marks if os.path.exists(m))
+
+    gone = [n for n in sorted(os.listdir(index)) if n.startswith("generation-") and n != keep and not held(n)]
     for n in gone:
         shutil.rmtree(os.path.join(index, n))
     return gone
 
 
-def import_interchange(spark: SparkSession, folder: str, index: str, files_per_corpus: int | None = None) -> str:
-    """Check an interchange folder, write it as a generation and publish that. A fault leaves the index as it was."""
+def import_interchange(spark: SparkSession, folder: str, index: str, files_per_corpus: int | None = None, formats: tuple[str, ...] = (FORMAT,)) -> str:
+    """Check an interchange folder, write it as a generation and publish that. A fault leaves the index as it was.
+
+    ``formats`` are the names of the format that are accepted: other writers of the same layout call it otherwise.
+    """
     manifest = read_json(os.path.join(folder, "manifest.json"))
-    check.check_manifest(manifest, FORMAT, VERSION)
+    check.check_manifest(manifest, formats, VERSION)
     os.makedirs(index, exist_ok=True)
     staging = os.path.join(index, f"staging-{uuid.uuid4().hex}")
     try:
@@ -152,7 +179,9 @@ def import_interchange(spark: SparkSession, folder: str, index: str, files_per_c
             for name, digest in spec["files"].items():
                 if not check.safe_path(name) or sha256_file(os.path.join(base, name)) != digest:
                     raise ValueError(f"{kind}/{name} is not what the manifest says")
-            records, vectors = read_records(spark, os.path.join(base, "documents.jsonl")), read_vectors(spark, os.path.join(base, "vectors.f32"), spec["dimension"])
+            parsed = os.path.join(staging, "records")  # parsed once; checks and the join read this table
+            read_records(spark, os.path.join(base, "documents.jsonl")).write.mode("overwrite").parquet(parsed)
+            records, vectors = spark.read.parquet(parsed), read_vectors(spark, os.path.join(base, "vectors.f32"), spec["dimension"])
             if faults := check.count_faults(records, vectors, spec["count"]):
                 raise ValueError(f"{kind}: {'; '.join(faults)}")
             counts = check.record_faults(records, kind).first().asDict()
@@ -166,6 +195,7 @@ def import_interchange(spark: SparkSession, folder: str, index: str, files_per_c
             if files_per_corpus:
                 data = data.repartition(files_per_corpus)
             data.write.mode("append").partitionBy("corpus").parquet(os.path.join(staging, "data"))
+            shutil.rmtree(parsed)
         inventory = {os.path.relpath(os.path.join(d, n), staging): sha256_file(os.path.join(d, n)) for d, _, names in os.walk(os.path.join(staging, "data")) for n in names if n.endswith(".parquet")}
         write_json(os.path.join(staging, "manifest.json"), manifest | {"generation": {"writer": WRITER, "files": inventory}})
         return publish(index, staging)
@@ -193,9 +223,9 @@ def install_generation(folder: str, index: str) -> str:
         raise
 
 
-def import_index(spark: SparkSession, folder: str, index: str) -> str:
+def import_index(spark: SparkSession, folder: str, index: str, formats: tuple[str, ...] = (FORMAT,)) -> str:
     """A shipped generation or an interchange folder, by the manifest."""
-    return install_generation(folder, index) if "generation" in read_json(os.path.join(folder, "manifest.json")) else import_interchange(spark, folder, index)
+    return install_generation(folder, index) if "generation" in read_json(os.path.join(folder, "manifest.json")) else import_interchange(spark, folder, index, formats=formats)
 
 
 def export_generation(generation: str, target: str) -> None:
@@ -204,44 +234,68 @@ def export_generation(generation: str, target: str) -> None:
     shutil.copytree(generation, target)
 
 
+def _write_ordered(rows: DataFrame, base: str) -> int:
+    """Write ``rows(ord, record, vector)`` as documents.jsonl and vectors.f32 in order; returns how many there are.
+
+    Tasks write a range of the order each, into parts named by their first number; only names and counts come to the driver,
+    which puts the parts together.
+    """
+    os.makedirs(base)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, n, first = os.path.join(base, f"part-{uuid.uuid4().hex}"), 0, None
+        with open(f"{name}.jsonl", "wb") as records, open(f"{name}.f32", "wb") as vectors:
+            for batch in batches:
+                if batch.num_rows:
+                    first = batch.column(0)[0].as_py() if first is None else first
+                    records.writelines(x.encode() + b"\n" for x in batch.column(1).to_pylist())
+                    one = batch.column(2)
+                    ends = one.offsets.to_numpy()
+                    vectors.write(one.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype("<f4").tobytes())
+                    n += batch.num_rows
+        if first is not None:
+            yield pa.record_batch([pa.array([first], pa.int64()), pa.array([name]), pa.array([n], pa.int64())], ["first", "name", "n"])
+
+    ranges = rows.select(F.col("ord").cast("long"), "record", F.col("vector").cast("array<float>")).repartitionByRange("ord").sortWithinPartitions("ord")
+    parts = sorted(tuple(r) for r in ranges.mapInArrow(run, "first long, name string, n long").collect())
+    for target, end in (("documents.jsonl", "jsonl"), ("vectors.f32", "f32")):
+        with open(os.path.join(base, target), "wb") as out:
+            for _, name, _ in parts:
+                with open(f"{name}.{end}", "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 20)
+    for x in os.listdir(base):  # also of attempts that failed
+        if x.startswith("part-"):
+            os.unlink(os.path.join(base, x))
+    return sum(n for *_, n in parts)
+
+
+def _digests(base: str) -> dict[str, str]:
+    return {name: sha256_file(os.path.join(base, name)) for name in ("documents.jsonl", "vectors.f32")}
+
+
 def export_interchange(spark: SparkSession, generation: str, target: str) -> None:
-    """Records and vectors in document order with fresh digests; rows come to the driver one partition at a time."""
+    """Records and vectors in document order with fresh digests, in a folder that all executors see."""
     if os.path.exists(target):
         raise FileExistsError(target)
     manifest = read_json(os.path.join(generation, "manifest.json"))
     manifest.pop("generation", None)
     for spec in manifest["corpora"]:
         base = os.path.join(target, spec["kind"])
-        os.makedirs(base)
-        corpus = open_corpus(spark, generation, spec["kind"]).select("ord", "record", "vector").orderBy("ord")
-        n = 0
-        with open(os.path.join(base, "documents.jsonl"), "w", encoding="utf-8") as records, open(os.path.join(base, "vectors.f32"), "wb") as vectors:
-            for r in corpus.toLocalIterator():
-                records.write(r.record + "\n")
-                vectors.write(np.asarray(r.vector, "<f4").tobytes())
-                n += 1
-        if n != spec["count"]:
+        if (n := _write_ordered(open_corpus(spark, generation, spec["kind"]), base)) != spec["count"]:
             raise ValueError(f"{spec['kind']} has {n} documents instead of {spec['count']}")
-        spec["files"] = {name: sha256_file(os.path.join(base, name)) for name in ("documents.jsonl", "vectors.f32")}
+        spec["files"] = _digests(base)
     write_json(os.path.join(target, "manifest.json"), manifest)
 
 
-def write_interchange(documents: dict[str, DataFrame], specs: dict[str, dict], target: str, provenance: dict | None = None) -> None:
-    """Write described documents ``(ord, id, src, ..., vector)`` of each kind as an interchange folder."""
+def write_interchange(documents: dict[str, DataFrame], specs: dict[str, dict], target: str, provenance: dict | None = None, form: str = FORMAT) -> None:
+    """Write described documents ``(ord, id, src, ..., vector)`` of each kind as an interchange folder that all executors see."""
     corpora = []
     for kind, df in documents.items():
         base = os.path.join(target, kind)
-        os.makedirs(base)
         fields = [c for c in df.columns if c not in ("ord", "vector", "checksum")]
-        rows = df.withColumn("checksum", adler32("src")).select("ord", F.to_json(F.struct(*fields, "checksum")).alias("record"), "vector").orderBy("ord")
-        n = 0
-        with open(os.path.join(base, "documents.jsonl"), "w", encoding="utf-8") as records, open(os.path.join(base, "vectors.f32"), "wb") as vectors:
-            for r in rows.toLocalIterator():
-                records.write(r.record + "\n")
-                vectors.write(np.asarray(r.vector, "<f4").tobytes())
-                n += 1
-        corpora.append(specs[kind] | {"kind": kind, "count": n, "files": {name: sha256_file(os.path.join(base, name)) for name in ("documents.jsonl", "vectors.f32")}})
-    write_json(os.path.join(target, "manifest.json"), {"format": FORMAT, "version": VERSION, "corpora": corpora} | ({"provenance": provenance} if provenance else {}))
+        n = _write_ordered(df.withColumn("checksum", adler32("src")).select("ord", F.to_json(F.struct(*fields, "checksum")).alias("record"), "vector"), base)
+        corpora.append(specs[kind] | {"kind": kind, "count": n, "files": _digests(base)})
+    write_json(os.path.join(target, "manifest.json"), {"format": form, "version": VERSION, "corpora": corpora} | ({"provenance": provenance} if provenance else {}))
 
 
 def spec_key(spec: dict) -> str:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -17,16 +19,29 @@ class Live:
     def __init__(self, spark: SparkSession, index: str):
         self.spark, self.index, self.good = spark, index, None
 
+    @contextmanager
+    def held(self, kind: str) -> Iterator[DataFrame]:
+        """A corpus whose generation stays until the block ends, also if another one is published and old ones are pruned meanwhile."""
+        path, df = self._opened(kind)
+        mark = interchange.lease(path)
+        try:
+            yield df
+        finally:
+            os.unlink(mark)
+
     def corpus(self, kind: str) -> DataFrame:
+        return self._opened(kind)[1]
+
+    def _opened(self, kind: str) -> tuple[str, DataFrame]:
         try:
             path = interchange.current(self.index)
             df = interchange.open_corpus(self.spark, path, kind)
             self.good = path
-            return df
+            return path, df
         except Exception:
             if self.good is None:
                 raise
-            return interchange.open_corpus(self.spark, self.good, kind)
+            return self.good, interchange.open_corpus(self.spark, self.good, kind)
 
 
 class Refreshed:
@@ -53,3 +68,27 @@ def incremental(blocks: DataFrame, checkpoint: str, update: Callable[[DataFrame,
     The keyed stores make an update that is run again after a failure compute nothing twice.
     """
     return blocks.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Updates:
+    """An update loop driven by changes: a state is taken once, a failed one again after ``pause`` seconds or when the state changes."""
+
+    def __init__(self, state: Callable[[], str], update: Callable[[str], None], pause: float = 86400.0, clock: Callable[[], float] = time.monotonic):
+        self.state, self.update, self.pause, self.clock = state, update, pause, clock
+        self.done: str | None = None
+        self.failed: tuple[str, float] | None = None
+
+    def step(self) -> str:
+        """``current``, ``waiting``, ``updated`` or ``failed``."""
+        now = self.state()
+        if now == self.done:
+            return "current"
+        if self.failed is not None and self.failed[0] == now and self.clock() - self.failed[1] < self.pause:
+            return "waiting"
+        try:
+            self.update(now)
+        except Exception:
+            self.failed = (now, self.clock())
+            return "failed"
+        self.done, self.failed = now, None
+        return "updated"

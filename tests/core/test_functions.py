@@ -134,5 +134,5 @@ def test_canonical_forms():
 
     assert report.canonical({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
     assert report.public_values({"my_API_key": 1, "Token": 2, "tokens": 3, "x": [{"password2": 1, "y": 2}]}) == {"tokens": 3, "x": [{"y": 2}]}
-    assert report.fence("a ``` b").startswith("````\n") and report.link("a_b", "http://x/ y") == "[a\\_b](http://x/%20y)"
+    assert report.fence("a ``` b").startswith("````\n") and report.link("a_b", "http://x/ y") == "[a\\_b](<http://x/%20y>)"
     assert json.loads(report.canonical([1, 2])) == [1, 2]

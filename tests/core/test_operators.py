@@ -167,10 +167,10 @@ def test_validation(spark):
     assert validate.guard_pruning(ids("abcd"), ids("a"), allow=True) == (3, 4)
     assert [p for p in ("a/b.c", "/a", "a//b", "a/../b", "$x/a", "~/a", ".", "a/", "a") if validate.safe_path(p)] == ["a/b.c", "a"]
     good = {"kind": "k", "count": 1, "dimension": 2, "metric": "l2", "recipe": {"model": "m", "add_metadata": True, "prompts": {"embed": "{doc_src}"}}}
-    validate.check_manifest({"format": "f", "version": 1, "corpora": [good]}, "f", 1)
+    validate.check_manifest({"format": "f", "version": 1, "corpora": [good]}, ("f",), 1)
     for bad in ({"format": "g", "version": 1, "corpora": [good]}, {"format": "f", "version": 1, "corpora": []}, {"format": "f", "version": 1, "corpora": [good, good]}, {"format": "f", "version": 1, "corpora": [good | {"metric": "x"}]}):
         with pytest.raises(ValueError):
-            validate.check_manifest(bad, "f", 1)
+            validate.check_manifest(bad, ("f",), 1)
 
 
 def test_stores(spark, tmp_path):

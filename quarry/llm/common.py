@@ -7,6 +7,7 @@ hashed in a few passes over one buffer and nothing is done per word in Python.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,11 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """URI of a new folder, not yet made, below the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset (tests, one machine)
-    a temporary folder of this machine takes its place for the life of the session.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a temporary folder takes its place for the life of
+    the session on one machine (``local`` masters), and anywhere else ``ValueError`` is raised.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)

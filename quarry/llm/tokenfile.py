@@ -166,7 +166,7 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str, end_id
     """Encode every text by the tokenizer file ``vocabulary`` into the files of ``folder`` (a URI), and return its manifest.
 
     ``end_id`` is appended to each document. Null texts are empty and so hold the end id alone; rows with a null id are left out;
-    repeated ids give a document for each row, in no fixed order among them. Other columns are not read. Memory is bounded
+    repeated ids give a document for each row, in the order of a hash of their texts. Other columns are not read. Memory is bounded
     by a batch of texts: ids go to the file as they are made. ``encode_special_tokens`` as for :class:`Encoder`.
     """
     spark = documents.sparkSession
@@ -192,7 +192,8 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str, end_id
         if files:
             yield pa.record_batch([pa.array([x]) for x in (name, e.dtype, low, n, total)], ["name", "dtype", "first_doc", "n_docs", "n_ids"])
 
-    dealt = texts(documents).where("doc_id IS NOT NULL").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = texts(documents).where("doc_id IS NOT NULL").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     return written(dealt.mapInArrow(run, "name string, dtype string, first_doc long, n_docs long, n_ids long"), f"{folder}/manifest")
 
 

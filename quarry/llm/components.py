@@ -35,6 +35,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         folder = shared_folder(spark)
         now = written(_small_star(_large_star(now)), folder)
         remove(spark, last)
-        # stars only: no node is both a leaf and a centre
-        if now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        # stars only: no leaf has two centres, and no node is both a leaf and a centre
+        leaves = now.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        inner = leaves.join(now.select(F.col("b").alias("a")), "a", "left_semi")
+        if leaves.where("n > 1").unionByName(inner).isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

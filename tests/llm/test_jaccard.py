@@ -84,6 +84,15 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {90: 90, 95: 90, 100: 90} | {x: 200 for x in range(200, 240)}
 
 
+def test_components_of_leaves_between_two_centres(spark):
+    """Rounds that end in a leaf of two centres, none of which is a leaf itself."""
+    edges = [(9, 3), (12, 8), (2, 0), (1, 4), (4, 5), (2, 6), (0, 8), (8, 5)] + [(100 + a, 100 + b) for a, b in [(9, 0), (2, 7), (11, 9), (5, 13), (2, 3), (11, 6), (13, 9), (7, 5), (4, 1)]]
+    got = sorted(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    first = {0: 0, 1: 0, 2: 0, 3: 3, 4: 0, 5: 0, 6: 0, 8: 0, 9: 3, 12: 0}
+    second = {0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 0, 6: 0, 7: 0, 9: 0, 11: 0, 13: 0}
+    assert got == sorted([*first.items(), *((100 + a, 100 + b) for a, b in second.items())])
+
+
 def test_rows_that_share_ids(spark):
     r = random.Random(9)
     x, y, z = (" ".join(f"{c}{r.randrange(1000)}" for _ in range(90)) for c in "xyz")

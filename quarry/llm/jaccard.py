@@ -5,7 +5,8 @@ Plan: equal sets are collapsed first (their answers are one answer). Prefix filt
 they must share) among their first ones in any fixed order, here rare tokens first. Short index
 lists are paired and pairs with too few common tokens go; lists of middle length do so by groups that share their smallest
 member; long lists only tie their members to that. Components of this candidate graph hold every link; each is cut
-into blocks, and every pair of blocks is joined by one task.
+into blocks, a block's join being one task: first each block with itself and a few pivots, then what these links leave
+outside the component's largest class with all of it.
 
 Within a task, index lists are ascending by set size and cut into position blocks, so blocks of
 sizes that can't link are skipped without being read; and a set's overlaps with all others are
@@ -32,6 +33,8 @@ EXTRA, EXTRA_PER = 4, 50
 SHORT_LIST, LONG_LIST = 32, 256
 #: Sets in a block of a candidate component, and tokens in it, about.
 BLOCK, BLOCK_TOKENS = 512, 1 << 20
+#: Members of a candidate component of several blocks that all its blocks are joined with first.
+PIVOTS = 4
 #: Positions in a block of an index list.
 LIST_BLOCK = 64
 #: Documents in the sample that orders tokens by frequency. Any order gives the same links; this one only makes lists short.
@@ -285,34 +288,65 @@ def _forest(ids: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> list[tu
     return [(int(ids[root(x)]), int(ids[x])) for x in range(len(ids)) if root(x) != x]
 
 
-def _verified_edges(documents: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Spanning forests of the links inside each candidate component of ``members(node, component, doc_id, t, n)``."""
-    chosen = members.select("doc_id", "t")
-    few = members.count() <= BROADCAST_ROWS
+def _blocks_of(size: Column, tokens: Column) -> Column:
+    return F.least(size, F.ceil(F.greatest(size / BLOCK, tokens / BLOCK_TOKENS))).cast("int")
+
+
+def _joined_blocks(documents: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, many): spanning forests of the links within each block (i = j) or between the two blocks (i < j) of ``dealt(doc_id, t, node, component, i, j, mine, many)``."""
+    chosen = dealt.select("doc_id", "t").distinct()
+    few = dealt.count() <= BROADCAST_ROWS
     sets = _sets(_keyed(documents).join(F.broadcast(chosen) if few else chosen, ["doc_id", "t"], "left_semi").select("doc_id", "text", "t"), k)
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
-    blocks = F.least(F.col("size"), F.ceil(F.greatest(F.col("size") / BLOCK, F.col("tokens") / BLOCK_TOKENS))).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        members.join(sizes, "component").withColumn("blocks", blocks).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "t", "node", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-    )
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, mine = ints(group.column("node")), ints(group.column("mine"))
-        order = np.argsort(ids, kind="stable")
-        ids, mine = ids[order], mine[order]
+        ids, order = np.unique(ints(group.column("node")), return_index=True)  # repeated rows are one set
+        mine = ints(group.column("mine"))[order]
         blobs = group.column("tokens")
         sets = [np.frombuffer(blobs[int(x)].as_buffer(), np.uint64) for x in order]
-        i, j = key[1].as_py(), key[2].as_py()
+        i, j, many = (x.as_py() for x in key[1:])
         edges = _forest(ids, link_block(sets, percent, None if i == j else mine == i))
-        return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
+        return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64()), "many": pa.array([many] * len(edges), pa.bool_())})
+
+    joined = sets.join(F.broadcast(dealt) if few else dealt, ["doc_id", "t"]).select("component", "i", "j", "many", "mine", "node", "tokens")
+    return joined.groupBy("component", "i", "j", "many").applyInArrow(run, "a long, b long, many boolean")
 
-    if dealt.count() <= BROADCAST_ROWS:
-        dealt = F.broadcast(dealt)
-    return sets.join(dealt, ["doc_id", "t"]).select("component", "i", "j", "mine", "node", "tokens").groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
+
+def _verified_edges(documents: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links inside the candidate components of ``members(node, component, doc_id, t, n)`` that connect whatever links connect.
+
+    A component of one block is joined with itself. In a larger one each block is joined with itself and with a few
+    pivots that go to all blocks, which ties most of a group of near copies into one class. What two members of that class have
+    to do with each other no longer matters: only the others, in blocks of their own, are joined with each other and with it.
+    """
+    pivots = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(PIVOTS))))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"), pivots.alias("pivots"))
+    cut = members.join(sizes.select("component", "pivots", _blocks_of(F.col("size"), F.col("tokens")).alias("blocks")), "component")
+    cut = written(cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    at = F.explode(F.when(F.array_contains("pivots", F.col("node")), everywhere).otherwise(F.array("mine")))
+    own = cut.withColumn("i", at).select("doc_id", "t", "node", "component", "i", F.col("i").alias("j"), F.col("i").alias("mine"), (F.col("blocks") > 1).alias("many"))
+    edges = written(_joined_blocks(documents, own, k, percent))
+    large = cut.where("blocks > 1").select("component", "node", "doc_id", "t", "n")
+    if large.isEmpty():
+        return edges.select("a", "b")
+    tied = connected_components(edges.where("many")).withColumnRenamed("component", "class")
+    tied = written(large.join(tied, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    most = tied.groupBy("component", "class").count().groupBy("component").agg(F.max_by("class", F.struct("count", "class")).alias("most"))
+    told = tied.join(most, "component").withColumn("rest", F.col("class") != F.col("most"))
+
+    def sums(which: Column) -> tuple[Column, Column]:
+        return F.sum(which.cast("long")), F.sum(F.when(which, F.col("n")).otherwise(0))
+
+    rests = told.groupBy("component").agg(_blocks_of(*sums(F.col("rest"))).alias("rests"), F.greatest(_blocks_of(*sums(~F.col("rest"))), F.lit(1)).alias("blocks")).where("rests > 0")
+    told = written(told.join(rests, "component").select("component", "node", "doc_id", "t", "rest", "rests", "blocks"))
+    if told.isEmpty():
+        return edges.select("a", "b")
+    hashed = F.xxhash64("node")
+    mine = F.when(F.col("rest"), F.pmod(hashed, F.col("rests"))).otherwise(F.col("rests") + F.pmod(hashed, F.col("blocks"))).cast("int")
+    meets = F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("rests") + F.col("blocks")).otherwise(F.col("rests")) - 1))
+    dealt = told.withColumn("mine", mine).withColumn("other", meets).select("doc_id", "t", "node", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.lit(True).alias("many"))
+    return edges.unionByName(_joined_blocks(documents, dealt, k, percent)).select("a", "b")
 
 
 def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -329,7 +363,7 @@ def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     sets = found.where("n > 0").join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, ["digest", "doc_id"])
     postings = sets.select(F.explode("prefix").alias("token"), F.col("node").alias("doc"), "n")
     members = connected_components(_candidate_edges(postings, percent))
-    members = written(members.join(sets.select("node", "doc_id", "t", "n"), "node"))
+    members = written(members.join(sets.select("node", "doc_id", "t", "n"), "node").dropDuplicates(["node"]))  # all rows of a node have its set
     classes = written(connected_components(_verified_edges(documents, members, k, percent)))
     of = first.join(classes, "node", "left").select("digest", "node", F.col("doc_id").alias("owner"), F.coalesce("component", "node").alias("component"))
     named = of.join(first.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id")), "component")

@@ -93,6 +93,20 @@ def test_components_of_leaves_between_two_centres(spark):
     assert got == sorted([*first.items(), *((100 + a, 100 + b) for a, b in second.items())])
 
 
+def test_large_component_of_several_classes(spark, monkeypatch):
+    """A chain of near copies, a far group that the same frequent words tie to it, and a row repeated often."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 5)
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(40)]
+    own = [f"x{r.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(own[i : i + 200] + common)) for i in range(0, 200, 3)]  # neighbours link, the ends don't
+    rows += [(1000 + i, " ".join(common + [f"y{i % 9}z{j}" for j in range(6)])) for i in range(60)]
+    got = {i.doc_id: (i.n_shingles, i.component_id) for i in jaccard_classes(spark.createDataFrame(rows + rows[5:6] * 300, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute(rows, 4, 85)
+
+
 def test_rows_that_share_ids(spark):
     r = random.Random(9)
     x, y, z = (" ".join(f"{c}{r.randrange(1000)}" for _ in range(90)) for c in "xyz")

@@ -158,11 +158,12 @@ def restricted_filter(spark, sf_dir):
     return corpus.where(SearchFilter.of(admit.parameters()).prefilter(F.col("entry"))).groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_NEAR} SELECT query_id, list({{'rank': rank::INTEGER, 'id': id, 'distance': round(d, 6)}} ORDER BY rank) AS top_results FROM near WHERE rank <= 10 GROUP BY query_id")
+@query(f"WITH {_NEAR} SELECT query_id, rank::INTEGER AS rank, id, round(d, 6) AS distance FROM near WHERE rank <= 10")
 def top_results(spark, sf_dir):
-    """The first ten hits of each query as one list."""
+    """The first ten hits of each query, gathered as one list and shown a row each."""
     near = _near(spark, sf_dir).select("query_id", "id", _r6("distance"), "rank")
-    return near.where("rank <= 10").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "distance"))).alias("top_results"))
+    lists = near.where("rank <= 10").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "distance"))).alias("top_results"))
+    return lists.select("query_id", F.inline("top_results"))
 
 
 @query(
@@ -294,13 +295,13 @@ def _words(column: str) -> str:
     return f"array_to_string(list_filter(string_split(regexp_replace(lower({column}), '\\b[a-z]{{1,3}}\\b|[^a-z ]', ' ', 'g'), ' '), lambda x: x <> '' AND NOT list_contains({_STOP}, x)), ' ')"
 
 
-@query(f"""WITH d AS (SELECT doc_id, trim(text[:3000], E' \\n\\t\\r') AS src, {_words('source || text[:400]')} AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_words('text[1000:1600]')} END AS abstract FROM documents),
+@query(f"""WITH d AS (SELECT doc_id, trim(text[:3000], E' \\n\\t\\r') AS src, {_words("source || ' ' || lang")} AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_words('text')} END AS abstract FROM documents),
 s AS (SELECT *, CASE WHEN length(title) + length(abstract) > 300 THEN abstract[:greatest(0, 297 - length(title))] || '...' ELSE abstract END AS short FROM d)
 SELECT doc_id, sha256('T ' || CASE WHEN title = '' THEN '-- no title --' ELSE title END || ' A ' || CASE WHEN short = '' THEN '-- no abstract --' ELSE short END || ' S ' || src) AS prompt FROM s""")
 def describing_prompt(spark, sf_dir):
     """An excerpt, and title and abstract within their joint limit."""
     docs = _table(spark, sf_dir, "documents")
-    prompt = T.describe_prompt("T {title} A {abstract} S {theorem_content}", F.col("text"), F.concat("source", F.substring("text", 1, 400)), F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1000, 601)))
+    prompt = T.describe_prompt("T {title} A {abstract} S {theorem_content}", F.col("text"), F.concat_ws(" ", "source", "lang"), F.when(F.col("doc_id") % 3 != 0, F.col("text")))
     return docs.select("doc_id", F.sha2(prompt, 256).alias("prompt"))
 
 
@@ -312,14 +313,14 @@ def embedded_texts(spark, sf_dir):
     return docs.select("doc_id", F.sha2(T.embedding_input("E: {doc_src}", F.col("lang"), F.col("text")), 256).alias("embedded"), asked.alias("query"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_transform(string_split(text[:400], ' '), lambda x: CASE WHEN length(x) % 2 = 0 THEN x || '(1)' ELSE x END) AS names FROM documents),
-u AS (SELECT doc_id, list_reduce(list_transform(names, lambda x: [regexp_replace(x, '\\([0-9]+\\)$', '')]), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS short FROM w)
-SELECT doc_id, short[:20] AS names, greatest(len(short) - 20, 0)::INTEGER AS more FROM u""")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+u AS (SELECT doc_id, CASE WHEN length(x) % 2 = 0 THEN x ELSE regexp_replace(x, '\\([0-9]+\\)$', '') END AS name, min(i) AS i FROM w GROUP BY 1, 2)
+SELECT doc_id, array_to_string(list(name ORDER BY i)[:20], ' ') AS names, greatest(count(*) - 20, 0)::INTEGER AS more FROM u GROUP BY doc_id""")
 def compact_names(spark, sf_dir):
     """The first 20 distinct names without their numbers, and how many more there are."""
-    words = F.transform(F.split(F.substring("text", 1, 400), " "), lambda x: F.when(F.length(x) % 2 == 0, F.concat(x, F.lit("(1)"))).otherwise(x))
+    words = F.transform(F.split("text", " "), lambda x: F.when(F.length(x) % 2 == 0, F.concat(x, F.lit("(1)"))).otherwise(x))
     shown, more = T.names(words, F.slice(words, 1, 2))
-    return _table(spark, sf_dir, "documents").select("doc_id", shown.alias("names"), more.alias("more"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(shown, " ").alias("names"), more.alias("more"))
 
 
 @query("""SELECT event_id, '{"a":[1,2],"event":"' || event_type || '","k":' || json_extract_string(props, '$.k') || ',"user":' || user_id || '}' AS canonical FROM events""")

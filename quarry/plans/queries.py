@@ -305,11 +305,11 @@ def truncate_sha256(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.truncate(F.col("text"), 600), 256).alias("cut"), F.sha2("text", 256).alias("whole"))
 
 
-@query("SELECT doc_id, sha256('Title: ' || source || '\n{' || lang || '}: ' || trim(text[:300], E' \\n\\t\\r') || CASE WHEN quality IS NULL THEN ' -- no label --' ELSE ' ' || quality END) AS prompt FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, sha256('Title: ' || source || '\n{' || lang || '}: ' || trim(text, E' \\n\\t\\r') || CASE WHEN quality IS NULL THEN ' -- no label --' ELSE ' ' || quality END) AS prompt FROM documents LEFT JOIN labels USING (doc_id)")
 def prompt_template(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
     label = F.when(F.col("quality").isNull(), "-- no label --").otherwise(F.col("quality").cast("string"))
-    text = T.template("Title: {title}\n{{{lang}}}: {text} {label}", title=F.col("source"), lang=F.col("lang"), text=T.trim(T.truncate(F.col("text"), 300)), label=label)
+    text = T.template("Title: {title}\n{{{lang}}}: {text} {label}", title=F.col("source"), lang=F.col("lang"), text=T.trim(F.col("text")), label=label)
     return docs.select("doc_id", F.sha2(text, 256).alias("prompt"))
 
 

@@ -170,3 +170,70 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), length=50, columns=("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind
+  FROM conversations, crc),
+rows AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, range(2) AS copy(i) WHERE kind <> 0 AND (i = 0 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, trim(text, {_WHITE}) AS seen FROM rows),
+flags AS (
+  SELECT *, left(role, 1) AS initial, seen = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS again,
+    right(seen, 1) NOT IN ('.', '!', '?') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS before FROM placed),
+faults AS (
+  SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT blank AND NOT again) AS truncated,
+    count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM flags GROUP BY conv_id),
+inserts(state, mid, more, put) AS (VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'), (2, 2, 0, ''), (2, 3, 2, 'I'), (3, 3, 0, ''), (3, 2, 2, 'I')),
+edits(mid, target, initial, price, letter) AS (VALUES (0, 1, 's', 0, 'K'), (0, 2, 'u', 0, 'K'), (1, 2, 'u', 0, 'K'), (3, 2, 'u', 0, 'K'), (2, 3, 'a', 0, 'K'),
+  (0, 0, '', 0, 'K'), (1, 1, '', 0, 'K'), (2, 2, '', 0, 'K'), (3, 3, '', 0, 'K'), (0, 2, NULL, 2, 'R'), (1, 2, NULL, 2, 'R'), (3, 2, NULL, 2, 'R'), (2, 3, NULL, 2, 'R'),
+  (0, 0, NULL, 3, 'D'), (1, 1, NULL, 3, 'D'), (2, 2, NULL, 3, 'D'), (3, 3, NULL, 3, 'D')),
+ways AS (SELECT state, target, initial, more + price AS price, put || letter AS letters, letter FROM inserts JOIN edits USING (mid)),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS rn, 0 AS state, {{'cost': 0::BIGINT, 'audit': ''}} AS best FROM faults
+  UNION ALL
+  SELECT d.conv_id, d.rn + 1, w.target, min({{'cost': d.best.cost + w.price + CASE WHEN w.letter <> 'D' AND f.cut AND NOT f.blank AND NOT f.again THEN 1 ELSE 0 END, 'audit': d.best.audit || w.letters}})
+  FROM dp d JOIN flags f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.rn = d.rn + 1
+    JOIN ways w ON w.state = d.state AND (w.initial IS NULL OR w.initial = f.initial) AND (w.letter = 'D' OR NOT (f.blank OR f.again))
+  GROUP BY d.conv_id, d.rn + 1, w.target),
+ended AS (
+  SELECT d.conv_id, min({{'cost': best.cost + e.more, 'audit': best.audit || e.put}}) AS best
+  FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.n = d.rn JOIN (VALUES (0, 0, ''), (1, 4, 'II'), (2, 2, 'I'), (3, 0, '')) AS e(state, more, put) USING (state) GROUP BY d.conv_id),
+letters AS (
+  SELECT conv_id, unnest(range(1, length(best.audit) + 1)) AS p, substr(best.audit, p, 1) AS letter FROM ended),
+numbered AS (SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS rn FROM letters),
+kept AS (
+  SELECT n.conv_id, p, letter, CASE letter WHEN 'K' THEN role END AS role, CASE letter WHEN 'I' THEN '' ELSE text END AS text
+  FROM numbered n LEFT JOIN flags f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.rn = n.rn WHERE letter <> 'D'),
+spoken AS (
+  SELECT *, count(*) FILTER (WHERE role IS NULL OR left(role, 1) NOT IN ('', 's')) OVER (PARTITION BY conv_id ORDER BY p) AS turn FROM kept),
+repaired AS (
+  SELECT conv_id, sha256(string_agg(coalesce(role, CASE WHEN turn % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY p)) AS h FROM spoken GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.best.cost, 0)::BIGINT AS cost, coalesce(e.best.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+  LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repaired_conversations
+
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)

@@ -237,3 +237,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+@query()
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrappers import extract
+
+    return extract(table(spark, sf_dir, "pages"))

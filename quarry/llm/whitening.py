@@ -128,8 +128,9 @@ def lobpcg(product: Callable[[np.ndarray], np.ndarray], start: np.ndarray, wante
             if share <= tolerance or best[0] <= ACCEPTED and since >= PATIENCE:
                 return *best[1:], products
         held = np.hstack([x, p])
-        w = residual - held @ (held.T @ residual)
-        w = _orthonormal(w - held @ (held.T @ w))
+        w = residual
+        for _again in range(3):  # what is left of a nearly spent direction has to be cleaned after it is scaled up
+            w = _orthonormal(w - held @ (held.T @ w))
         if (share <= tolerance or not w.shape[1]) and not fresh:
             ax, products, fresh = product(x), products + 1, True
             continue
@@ -165,7 +166,7 @@ def fit(rows: DataFrame, components: int = 4) -> Axes | None:
     """
 
     def summed(x: np.ndarray) -> np.ndarray:
-        x = x.astype(object) if len(x) and int(np.abs(x).max()) > 2**62 // len(x) else x
+        x = x.astype(object) if len(x) and int(np.abs(x).max(initial=0)) > 2**62 // len(x) else x
         return np.array([[len(x), *x.sum(axis=0)]], dtype=object).astype("<i8")
 
     totals = _added(rows, summed, "<i8")

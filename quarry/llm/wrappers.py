@@ -421,17 +421,21 @@ def _counterparts(page: list[Node], rule: list[Node]) -> Iterator[tuple[Node, No
     if page is rule:
         yield from zip(page, rule, strict=True)
         return
-    options: dict[str, list[tuple[int, Node]]] = {}
-    for i, r in enumerate(_flat(rule)):
-        options.setdefault(r.label, []).append((i, r))
+    options: dict[str, list[tuple[int, int, Node]]] = {}  # place, the place from which the next is looked for, node
+    place = 0
+    for r in rule:
+        inner = list(_flat([r]))
+        for i, n in enumerate(inner):
+            options.setdefault(n.label, []).append((place + i, place if _is_group(r) or r.repeated else place + 1, n))
+        place += len(inner)
     at = 0
     for k in page:
         some = options.get(k.label, [])
         if len(some) > 1:
-            some = sorted([o for o in some if o[0] >= at] or some, key=lambda o: -_alike(k, o[1]))
+            some = sorted([o for o in some if o[0] >= at] or some, key=lambda o: -_alike(k, o[2]))
         if some:
-            at = max(at, some[0][0])
-        yield k, some[0][1] if some else None
+            at = max(at, some[0][1])
+        yield k, some[0][2] if some else None
 
 
 def _read(page: Node, rule: Node | None, inside: bool, varied: bool, blocks: list[str]) -> bool:

@@ -17,6 +17,7 @@ from ..functions.arrow import adler32
 from ..functions.constants import DISTANCE, VERDICTS
 from .duplicates import judged
 from .report import canonical
+from .store import Store
 
 #: Code points of an embedder's input; texts in a call.
 EMBED_CHARS, EMBED_BATCH = 8000, 32
@@ -141,22 +142,15 @@ def embed(wanted: DataFrame, model: Callable[[list[str]], list[list[float]]], ba
     return cut.mapInPandas(run, "key string, vector array<float>")
 
 
-def through_store(wanted: DataFrame, folder: str, compute: Callable[[DataFrame], DataFrame], keep: Column | None = None) -> DataFrame:
-    """``wanted(key, ...)`` with the store's columns: misses are computed once and appended, then all is read back.
+def through_store(wanted: DataFrame, folder: str, compute: Callable[[DataFrame], DataFrame], keep: Column | None = None, name: str | None = None) -> DataFrame:
+    """``wanted(key, ...)`` with the store's columns: misses are computed once and committed, then the buckets of the keys are read back.
 
-    ``keep`` marks the rows that are stored; others, as failures, are computed again next time.
+    ``keep`` marks the rows that are stored; others, as failures, are computed again next time. Builds may share a store: each key stays
+    there once. A commit called ``name`` is done once, see :class:`store.Store`.
     """
-    spark = wanted.sparkSession
-    try:
-        store = spark.read.parquet(folder)
-    except Exception as e:  # a store that isn't there yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        store = None
-    missing = misses(wanted, store) if store is not None else wanted.dropDuplicates(["key"])
-    fresh = compute(missing)
-    (fresh if keep is None else fresh.where(keep)).write.mode("append").parquet(folder)
-    return wanted.join(spark.read.parquet(folder), "key")
+    kept = Store(wanted.sparkSession, folder)
+    kept.fill(wanted, compute, keep, name)
+    return kept.joined(wanted)
 
 
 def documents(blocks: DataFrame, prompt: str, embed_prompt: str, store: str, generate: Callable[[str, float], Completion], model: str = "", backend: str = "", extra: dict | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -94,6 +94,11 @@ def safe_name(name: str) -> bool:
     return re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name) is not None and ".." not in name
 
 
+def is_safe_path(path: Column) -> Column:
+    """:func:`safe_path` of a column: one pattern, so it stays in the plan."""
+    return F.coalesce(path.rlike(r"\A(?!\.{1,2}(?:/|\z))[^$~\\\x00/]+(?:/(?!\.{1,2}(?:/|\z))[^$~\\\x00/]+)*\z"), F.lit(False))
+
+
 def safe_path(path: str) -> bool:
     """A relative path of plain elements."""
     return bool(path) and not re.search(r"^/|//|[$~\\\0]|/$", path) and all(p not in ("", ".", "..") for p in path.split("/"))

@@ -8,9 +8,6 @@ from __future__ import annotations
 import csv
 import json
 import os
-import tempfile
-import uuid
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,18 +17,17 @@ from ..functions import text as T
 from ..functions.arrow import bytes_of_floats, canonical_json, floats_of_bytes
 from ..operators import build, duplicates, evaluate, releases, report, search, validate
 from ..operators.search import SearchFilter
-from ..sources import interchange
+from ..sources import interchange, ranges
+from ..sources.shared import Files, shared_folder
 from .catalog import ORACLES, query
 from .queries import _NEAR, _ORDER, _STOP, _TIERED, _V, _corpus, _near, _queries, _r6, _table, _tiered, _vector
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one, as a path: interchange folders lie where every machine mounts them."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    path = unquote(urlparse(root).path) if root else tempfile.mkdtemp(prefix="quarry-")
-    folder = os.path.join(path, f"quarry-{uuid.uuid4().hex}")
-    os.makedirs(folder)
-    return folder
+    """A new folder below the shared one, made; its path where machines mount it, else its URI."""
+    at = shared_folder(spark)
+    Files(spark, at).make()
+    return ranges.local_path(at) or at
 
 
 # --- interchange ----------------------------------------------------------------------------------------------------------
@@ -52,12 +48,12 @@ def interchange_round_trip(spark, sf_dir):
         specs[kind] = {"dimension": 64, "metric": "cosine", "recipe": {"model": "m", "add_metadata": False, "prompts": {"embed": "{doc_src}"}}}
     base = _folder(spark)
     at = lambda name: os.path.join(base, name)
-    interchange.write_interchange(kinds, specs, at("first"), {"revision": "r"}, form="vectors-and-records")
+    interchange.write_interchange(kinds, specs, at("first"), {"revision": "r"}, form="vectors-and-records", layout="parts")
     generation = interchange.import_index(spark, at("first"), at("index"), ("vectors-and-records",))
     interchange.export_interchange(spark, generation, at("second"))
     again = interchange.import_interchange(spark, at("second"), at("index"), 2, ("vectors-and-records",))
     interchange.prune(at("index"))
-    interchange.export_generation(again, at("shipped"))
+    interchange.export_generation(spark, again, at("shipped"))
     live = interchange.import_index(spark, at("shipped"), at("other"))
     out = None
     for kind in kinds:
@@ -66,6 +62,26 @@ def interchange_round_trip(spark, sf_dir):
     return out
 
 
+@query("SELECT 'vectors.f32' AS file, (256 * count(*) // 2) // 65536 AS chunk, 'changed' AS fault FROM embeddings")
+def spoilt_chunk(spark, sf_dir):
+    """One byte amid all vectors is changed after their chunks were digested; tasks find the chunk."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = _corpus(spark, sf_dir).join(docs, "id", "left").select(F.col("id").alias("ord"), F.to_json(F.struct("id", "text")).alias("record"), "vector")
+    base = _folder(spark)
+    ranges.put_together(spark, base, ranges.write_parts(rows, base), {"jsonl": "documents.jsonl", "f32": "vectors.f32"})
+    files = Files(spark, base).walk()
+    folder = shared_folder(spark)
+    ranges.digests(base, ranges.chunks(spark, files, 65536)).write.parquet(folder)
+    at = next(size for name, size in files if name == "vectors.f32") // 2
+    path = os.path.join(ranges.local_path(base), "vectors.f32")
+    with open(path, "r+b") as f:
+        f.seek(at)
+        old = f.read(1)
+        f.seek(at)
+        f.write(bytes([old[0] ^ 1]))
+    return ranges.faults(spark.read.parquet(folder), ranges.digests(base, ranges.chunks(spark, files, 65536)))
+
+
 @query("SELECT vec_id, 4 * len(embedding) AS n_bytes, round(embedding[1]::DOUBLE, 6) AS first, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
 def vector_bytes(spark, sf_dir):
     raw = _table(spark, sf_dir, "embeddings").select("vec_id", bytes_of_floats("embedding").alias("raw"))

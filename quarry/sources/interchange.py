@@ -1,8 +1,9 @@
 """Interchange folders and published generations.
 
 An interchange folder has ``manifest.json`` and, for each kind, ``documents.jsonl`` and ``vectors.f32`` (little-endian floats, row by
-row): record n goes with vector n. An index is a folder of immutable generations, Parquet partitioned by kind, and the
-file ``current.json`` that names the one in force. Publishing moves that pointer last, by a rename.
+row), or parts of both with a part table: record n goes with vector n. An index is a folder of immutable generations, Parquet partitioned by kind with an
+inventory of chunk digests, and the file ``current.json`` that names the one in force. Publishing moves that pointer last, by a rename. The driver handles names, sizes and
+counts through Hadoop's file systems; bytes are read, hashed, written and copied by tasks.
 """
 
 from __future__ import annotations
@@ -10,19 +11,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 import time
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrow import adler32
 from ..operators import validate as check
-from ..operators.report import canonical, write_json
+from ..operators.report import canonical, write_json  # noqa: F401  write_json for callers of this module
+from . import ranges
+from .shared import Files, uri
 
 FORMAT, VERSION, WRITER = "interchange", 1, "quarry-1"
 RECORD = "id string, kind string, src string, checksum long, llm_description string, embedding_input string, entity_kname string, chapter string, session string, theory string, file string, url_path string, command string, start_line int, consts array<string>, typs array<string>, thms array<string>, entry string, entry_date string"
@@ -30,6 +29,8 @@ RECORD = "id string, kind string, src string, checksum long, llm_description str
 BLOCK = "id string, src string, entity_kname string, chapter string, session string, theory string, file string, url_path string, command string, start_line int, consts array<string>, typs array<string>, thms array<string>"
 #: Bytes of a vector file that one task reads.
 VECTOR_BYTES = 32 << 20
+#: The part table of a corpus.
+PART = "name string, first long, count long, at long, record_bytes long, vector_bytes long, record_at long, vector_at long, record_sha256 string, vector_sha256 string"
 
 
 def sha256_file(path: str) -> str:
@@ -83,34 +84,53 @@ def load_results(path: str) -> dict:
 
 def read_vectors(spark: SparkSession, path: str, dimension: int) -> DataFrame:
     """(ord, vector) of a file of floats; tasks read ranges of it, so its size is no limit."""
-    size, row = os.path.getsize(path), dimension * 4
+    where, row = uri(path), dimension * 4
+    size = Files(spark, os.path.dirname(where)).size(os.path.basename(where))
     if size % row:
         raise ValueError("trailing bytes in the vector file")
     rows, step = size // row, max(1, VECTOR_BYTES // row)
+    plan = [ranges.Range("", 0, 0, at, min(step, rows - at), where, at) for at in range(0, rows, step)]
+    return ranges.read_ranges(spark, plan, dimension, ("ord", "vector"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in batch.column(0).to_pylist():
-                n = min(step, rows - start)
-                data = np.fromfile(path, "<f4", n * dimension, offset=start * row)
-                yield pa.record_batch([pa.array(np.arange(start, start + n)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dimension), pa.array(data))], ["ord", "vector"])
 
-    starts = -(-rows // step)
-    return spark.range(0, rows, step, max(1, min(starts, 4096))).mapInArrow(run, "ord long, vector array<float>")
+def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
+    """(ord, record, and its fields) of a file of JSON lines, in its order; the line itself is kept for a lossless export."""
+    where = uri(path)
+    size = Files(spark, os.path.dirname(where)).size(os.path.basename(where))
+    plan = [ranges.Range(where, start, end, first, n, "", 0) for start, end, first, n in ranges.line_ranges(spark, where, size)]
+    return _with_fields(ranges.read_ranges(spark, plan, 0, ("ord", "record")), schema)
 
 
-def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """(ord, record, and its fields) of a file of JSON lines, in its order; the line itself is kept for a lossless export.
+def _with_fields(rows: DataFrame, schema: str = RECORD) -> DataFrame:
+    return rows.withColumn("fields", F.from_json("record", schema)).select(*rows.columns, "fields.*")
+
+
+def plan_corpus(spark: SparkSession, base: str, spec: dict) -> list[ranges.Range]:
+    """The ranges of a corpus below ``base``, record n with vector n: of its parts, or of the two single files, where lines are counted once by tasks.
 
-    A line's number is its place in the partition plus the lines of those before: of these a number a partition comes to the driver.
+    Raises ``ValueError`` if records and vectors aren't as many as the manifest says.
     """
-    lines = spark.read.text(path).withColumnRenamed("value", "record").withColumn("at", F.monotonically_increasing_id())
-    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted(tuple(r) for r in lines.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
-    before = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
-    offsets = spark.createDataFrame(before, "part long, before long")
-    table = lines.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("ord", F.col("before") + place)
-    return table.withColumn("fields", F.from_json("record", schema)).select("ord", "record", "fields.*")
+    files, row, count = Files(spark, base), spec["dimension"] * 4, spec["count"]
+    at = lambda name: f"{files.folder}/{name}"
+    if spec.get("layout") == "parts":
+        parts = spark.read.parquet(at("parts")).orderBy("at").collect()
+        plan = [ranges.Range(at(f"{p['name']}.jsonl"), 0, p["record_bytes"], p["at"], p["count"], at(f"{p['name']}.f32"), 0) for p in parts]
+        vectors = sum(p["vector_bytes"] for p in parts)
+    else:
+        vectors = files.size("vectors.f32")
+        lines = ranges.line_ranges(spark, at("documents.jsonl"), files.size("documents.jsonl"))
+        plan = [ranges.Range(at("documents.jsonl"), start, end, first, n, at("vectors.f32"), first) for start, end, first, n in lines]
+    if vectors % row:
+        raise ValueError("trailing bytes in the vector file")
+    for what, n in (("records", sum(r.count for r in plan)), ("vectors", vectors // row)):
+        if n != count:
+            raise ValueError(f"{n} {what} instead of {count}")
+    return plan
+
+
+def read_corpus(spark: SparkSession, base: str, spec: dict, schema: str = RECORD) -> DataFrame:
+    """(ord, record, vector, and the record's fields) of one kind of an interchange folder."""
+    return _with_fields(ranges.read_ranges(spark, plan_corpus(spark, base, spec), spec["dimension"]), schema)
 
 
 def block_fields(blocks: DataFrame) -> DataFrame:
@@ -118,14 +138,18 @@ def block_fields(blocks: DataFrame) -> DataFrame:
     return blocks.select(*((F.col(c) if c in blocks.columns else F.lit(None).cast(t)).alias(c) for c, t in (x.split(" ") for x in BLOCK.split(", "))))
 
 
+def _files(folder: str) -> Files:
+    return Files(SparkSession.active(), folder)
+
+
 def current(index: str) -> str:
     """The folder of the generation in force."""
-    return os.path.join(index, read_json(os.path.join(index, "current.json"))["generation"])
+    return f"{index.rstrip('/')}/{json.loads(_files(index).read('current.json'))['generation']}"
 
 
 def open_corpus(spark: SparkSession, generation: str, kind: str) -> DataFrame:
     """A corpus of one generation: a partition, so other kinds aren't read. ``ord`` gives the order of documents."""
-    return spark.read.parquet(os.path.join(generation, "data")).where(F.col("corpus") == kind)
+    return spark.read.parquet(f"{generation}/data").where(F.col("corpus") == kind)
 
 
 def point(corpus: DataFrame, identifier: str) -> DataFrame:
@@ -133,169 +157,186 @@ def point(corpus: DataFrame, identifier: str) -> DataFrame:
 
 
 def publish(index: str, staging: str) -> str:
-    """Move a finished generation into place and then the pointer."""
-    name = f"generation-{uuid.uuid4().hex}"
-    os.rename(staging, os.path.join(index, name))
-    write_json(os.path.join(index, "current.json"), {"generation": name})
-    return os.path.join(index, name)
+    """Move a finished generation ``staging`` of the index into place and then the pointer, both by renames."""
+    name, files = f"generation-{uuid.uuid4().hex}", _files(index)
+    if not files.move(os.path.basename(staging.rstrip("/")), name):
+        raise OSError(f"{staging} can't be moved into place")
+    files.swap("current.json", json.dumps({"generation": name}, indent=1))
+    return f"{index.rstrip('/')}/{name}"
 
 
 def lease(generation: str) -> str:
-    """Mark a generation as in use; the mark's path, to be deleted after use. :func:`prune` leaves marked ones."""
-    mark = os.path.join(generation, f"lease-{uuid.uuid4().hex}")
-    with open(mark, "x"):
-        return mark
+    """Mark a generation as in use; the mark's name, for :func:`release` after use. :func:`prune` leaves marked ones."""
+    mark = f"lease-{uuid.uuid4().hex}"
+    if not _files(generation).exists() or not _files(generation).create(mark, ""):
+        raise FileNotFoundError(generation)
+    return mark
+
+
+def release(generation: str, mark: str) -> None:
+    _files(generation).remove(mark)
 
 
 def prune(index: str, seconds: float = 86400.0) -> list[str]:
     """Delete all generations but the one in force and those with a lease younger than ``seconds``."""
+    files = _files(index)
     keep = os.path.basename(current(index))
-
-    def held(name: str) -> bool:
-        marks = [os.path.join(index, name, x) for x in os.listdir(os.path.join(index, name)) if x.startswith("lease-")]
-        return any(time.time() - os.path.getmtime(m) < seconds for m in marks if os.path.exists(m))
-
-    gone = [n for n in sorted(os.listdir(index)) if n.startswith("generation-") and n != keep and not held(n)]
+    held = lambda name: any(x.startswith("lease-") and time.time() - files.modified(f"{name}/{x}") < seconds for x in files.names(name))
+    gone = [n for n in files.names() if n.startswith("generation-") and n != keep and not held(n)]
     for n in gone:
-        shutil.rmtree(os.path.join(index, n))
+        files.remove(n)
     return gone
 
 
+def _check_files(spark: SparkSession, base: str, kind: str, spec: dict) -> None:
+    """Every file of a corpus as its manifest says: parts by tasks each, single files by a task a file."""
+    if spec.get("layout") == "parts":
+        parts = spark.read.parquet(f"{base}/parts")
+        if _parts_root(parts) != spec["root"]:
+            raise ValueError(f"{kind}: the part table is not what the manifest says")
+        zero = F.lit(0).cast("long")
+        want = parts.select(F.explode(F.array(*(F.struct(F.concat("name", F.lit(f".{end}")).alias("file"), F.col(f"{x}_bytes").alias("length"), F.col(f"{x}_sha256").alias("sha256")) for x, end in (("record", "jsonl"), ("vector", "f32"))))).alias("p")).select("p.*", zero.alias("chunk"), zero.alias("start"))
+        if bad := ranges.faults(want, ranges.digests(base, want)).limit(5).collect():
+            raise ValueError(f"{kind}: {', '.join(f'{r.file} is {r.fault}' for r in bad)}")
+        return
+    for name in spec["files"]:
+        if not check.safe_path(name):
+            raise ValueError(f"{kind}: unsafe path {name}")
+    found = ranges.whole_digests(spark, base, list(spec["files"]))
+    for name, digest in spec["files"].items():
+        if found[name] != digest:
+            raise ValueError(f"{kind}/{name} is not what the manifest says")
+
+
+def _parts_root(parts: DataFrame) -> str:
+    line = F.concat_ws(" ", "name", "count", "record_sha256", "vector_sha256")
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x.line), "\n"), 256)).first()[0]
+
+
 def import_interchange(spark: SparkSession, folder: str, index: str, files_per_corpus: int | None = None, formats: tuple[str, ...] = (FORMAT,)) -> str:
     """Check an interchange folder, write it as a generation and publish that. A fault leaves the index as it was.
 
-    ``formats`` are the names of the format that are accepted: other writers of the same layout call it otherwise.
+    ``formats`` are the names of the format that are accepted: other writers of the same layout call it otherwise. Tasks digest the files and read
+    records with their vectors by ranges; the checks run on the table that they write.
     """
-    manifest = read_json(os.path.join(folder, "manifest.json"))
+    manifest = json.loads(_files(folder).read("manifest.json"))
     check.check_manifest(manifest, formats, VERSION)
-    os.makedirs(index, exist_ok=True)
-    staging = os.path.join(index, f"staging-{uuid.uuid4().hex}")
+    files = _files(index)
+    files.make()
+    staging = f"staging-{uuid.uuid4().hex}"
+    at = f"{files.folder}/{staging}"
     try:
         for spec in manifest["corpora"]:
             kind = spec["kind"]
             if not check.safe_name(kind):
                 raise ValueError(f"unsafe name: {kind}")
-            base = os.path.join(folder, kind)
-            for name, digest in spec["files"].items():
-                if not check.safe_path(name) or sha256_file(os.path.join(base, name)) != digest:
-                    raise ValueError(f"{kind}/{name} is not what the manifest says")
-            parsed = os.path.join(staging, "records")  # parsed once; checks and the join read this table
-            read_records(spark, os.path.join(base, "documents.jsonl")).write.mode("overwrite").parquet(parsed)
-            records, vectors = spark.read.parquet(parsed), read_vectors(spark, os.path.join(base, "vectors.f32"), spec["dimension"])
-            if faults := check.count_faults(records, vectors, spec["count"]):
-                raise ValueError(f"{kind}: {'; '.join(faults)}")
+            base = f"{_files(folder).folder}/{kind}"
+            _check_files(spark, base, kind, spec)
+            data = read_corpus(spark, base, spec).withColumn("corpus", F.lit(kind))
+            if files_per_corpus:
+                data = data.repartition(files_per_corpus)
+            data.write.mode("append").partitionBy("corpus").parquet(f"{at}/data")
+            records = open_corpus(spark, at, kind)
             counts = check.record_faults(records, kind).first().asDict()
-            if any(v for k, v in counts.items() if k != "n"):
+            if counts["n"] != spec["count"] or any(v for k, v in counts.items() if k != "n"):
                 raise ValueError(f"{kind}: {counts}")
             if not check.checksum_faults(records).isEmpty():
                 raise ValueError(f"{kind}: a source doesn't have its checksum")
-            if not check.vector_faults(vectors, spec["dimension"], spec["metric"]).isEmpty():
+            if not check.vector_faults(records, spec["dimension"], spec["metric"]).isEmpty():
                 raise ValueError(f"{kind}: invalid vectors")
-            data = records.join(vectors, "ord").withColumn("corpus", F.lit(kind))
-            if files_per_corpus:
-                data = data.repartition(files_per_corpus)
-            data.write.mode("append").partitionBy("corpus").parquet(os.path.join(staging, "data"))
-            shutil.rmtree(parsed)
-        inventory = {os.path.relpath(os.path.join(d, n), staging): sha256_file(os.path.join(d, n)) for d, _, names in os.walk(os.path.join(staging, "data")) for n in names if n.endswith(".parquet")}
-        write_json(os.path.join(staging, "manifest.json"), manifest | {"generation": {"writer": WRITER, "files": inventory}})
+        manifest["corpora"] = [{k: v for k, v in c.items() if k not in ("files", "layout", "root")} for c in manifest["corpora"]]
+        listed = [(n, size) for n, size in files.walk(f"{staging}/data") if n.endswith(".parquet")]
+        inventory = ranges.digests(at, ranges.chunks(spark, [(n.removeprefix(f"{staging}/"), size) for n, size in listed]))
+        inventory.write.parquet(f"{at}/inventory")
+        shipped = {"writer": WRITER, "root": ranges.root_of(spark.read.parquet(f"{at}/inventory"))}
+        files.replace(f"{staging}/manifest.json", json.dumps(manifest | {"generation": shipped}, sort_keys=True, indent=1, ensure_ascii=False))
         return publish(index, staging)
     except BaseException:
-        shutil.rmtree(staging, ignore_errors=True)
+        files.remove(staging)
         raise
 
 
-def install_generation(folder: str, index: str) -> str:
-    """Install a shipped generation: known writer, every file as its manifest says."""
-    manifest = read_json(os.path.join(folder, "manifest.json"))
+def install_generation(spark: SparkSession, folder: str, index: str) -> str:
+    """Install a shipped generation: known writer, every chunk of every file as its inventory says, and the inventory as its manifest."""
+    manifest = json.loads(_files(folder).read("manifest.json"))
     shipped = manifest.get("generation") or {}
     if shipped.get("writer") != WRITER:
         raise ValueError("written by another version")
-    for name, digest in shipped["files"].items():
-        if not check.safe_path(name) or sha256_file(os.path.join(folder, name)) != digest:
-            raise ValueError(f"{name} is not what the manifest says")
-    os.makedirs(index, exist_ok=True)
-    staging = os.path.join(index, f"staging-{uuid.uuid4().hex}")
+    source = _files(folder)
+    inventory = spark.read.parquet(f"{source.folder}/inventory")
+    if not inventory.where(~check.is_safe_path(F.col("file"))).isEmpty() or ranges.root_of(inventory) != shipped["root"]:
+        raise ValueError("the inventory is not what the manifest says")
+    listed = [(n, size) for n, size in source.walk("data") if n.endswith(".parquet")]
+    found = ranges.digests(source.folder, ranges.chunks(spark, listed))
+    if bad := ranges.faults(inventory, found).orderBy("file", "chunk").limit(5).collect():
+        raise ValueError(f"{', '.join(f'{r.file}, chunk {r.chunk}, is {r.fault}' for r in bad)}")
+    files = _files(index)
+    files.make()
+    staging = f"staging-{uuid.uuid4().hex}"
     try:
-        shutil.copytree(folder, staging)
+        _ship(spark, source, f"{files.folder}/{staging}")
         return publish(index, staging)
     except BaseException:
-        shutil.rmtree(staging, ignore_errors=True)
+        files.remove(staging)
         raise
 
 
+def _ship(spark: SparkSession, source: Files, target: str) -> None:
+    """Data and inventory by tasks, then the manifest; leases stay behind."""
+    listed = [x for part in ("data", "inventory") for x in source.walk(part)]
+    ranges.copied(spark, source.folder, target, listed)
+    _files(target).replace("manifest.json", source.read("manifest.json"))
+
+
 def import_index(spark: SparkSession, folder: str, index: str, formats: tuple[str, ...] = (FORMAT,)) -> str:
     """A shipped generation or an interchange folder, by the manifest."""
-    return install_generation(folder, index) if "generation" in read_json(os.path.join(folder, "manifest.json")) else import_interchange(spark, folder, index, formats=formats)
+    return install_generation(spark, folder, index) if "generation" in json.loads(_files(folder).read("manifest.json")) else import_interchange(spark, folder, index, formats=formats)
 
 
-def export_generation(generation: str, target: str) -> None:
-    if os.path.exists(target):
+def export_generation(spark: SparkSession, generation: str, target: str) -> None:
+    if _files(target).exists():
         raise FileExistsError(target)
-    shutil.copytree(generation, target)
-
-
-def _write_ordered(rows: DataFrame, base: str) -> int:
-    """Write ``rows(ord, record, vector)`` as documents.jsonl and vectors.f32 in order; returns how many there are.
-
-    Tasks write a range of the order each, into parts named by their first number; only names and counts come to the driver,
-    which puts the parts together.
-    """
-    os.makedirs(base)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, n, first = os.path.join(base, f"part-{uuid.uuid4().hex}"), 0, None
-        with open(f"{name}.jsonl", "wb") as records, open(f"{name}.f32", "wb") as vectors:
-            for batch in batches:
-                if batch.num_rows:
-                    first = batch.column(0)[0].as_py() if first is None else first
-                    records.writelines(x.encode() + b"\n" for x in batch.column(1).to_pylist())
-                    one = batch.column(2)
-                    ends = one.offsets.to_numpy()
-                    vectors.write(one.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype("<f4").tobytes())
-                    n += batch.num_rows
-        if first is not None:
-            yield pa.record_batch([pa.array([first], pa.int64()), pa.array([name]), pa.array([n], pa.int64())], ["first", "name", "n"])
-
-    ranges = rows.select(F.col("ord").cast("long"), "record", F.col("vector").cast("array<float>")).repartitionByRange("ord").sortWithinPartitions("ord")
-    parts = sorted(tuple(r) for r in ranges.mapInArrow(run, "first long, name string, n long").collect())
-    for target, end in (("documents.jsonl", "jsonl"), ("vectors.f32", "f32")):
-        with open(os.path.join(base, target), "wb") as out:
-            for _, name, _ in parts:
-                with open(f"{name}.{end}", "rb") as f:
-                    shutil.copyfileobj(f, out, 1 << 20)
-    for x in os.listdir(base):  # also of attempts that failed
-        if x.startswith("part-"):
-            os.unlink(os.path.join(base, x))
-    return sum(n for *_, n in parts)
-
-
-def _digests(base: str) -> dict[str, str]:
-    return {name: sha256_file(os.path.join(base, name)) for name in ("documents.jsonl", "vectors.f32")}
-
-
-def export_interchange(spark: SparkSession, generation: str, target: str) -> None:
-    """Records and vectors in document order with fresh digests, in a folder that all executors see."""
-    if os.path.exists(target):
+    _ship(spark, _files(generation), _files(target).folder)
+
+
+def _write_ordered(rows: DataFrame, base: str, layout: str) -> dict:
+    """Write ``rows(ord, record, vector)`` in order; what the manifest says of them. Tasks write, hash and place a range each."""
+    if layout not in ("single", "parts"):
+        raise ValueError(f"unknown layout: {layout}")
+    spark = rows.sparkSession
+    _files(base).make()
+    parts = ranges.write_parts(rows, base)
+    count = sum(p["count"] for p in parts)
+    if layout == "single":
+        ranges.put_together(spark, base, parts, {"jsonl": "documents.jsonl", "f32": "vectors.f32"})
+        return {"count": count, "files": ranges.whole_digests(spark, base, ["documents.jsonl", "vectors.f32"])}
+    spark.createDataFrame(parts, PART).write.parquet(f"{_files(base).folder}/parts")
+    return {"count": count, "layout": "parts", "root": _parts_root(spark.read.parquet(f"{_files(base).folder}/parts"))}
+
+
+def export_interchange(spark: SparkSession, generation: str, target: str, layout: str = "single") -> None:
+    """Records and vectors in document order with fresh digests: ``single`` files, as other readers expect them, or ``parts`` with a table."""
+    if _files(target).exists():
         raise FileExistsError(target)
-    manifest = read_json(os.path.join(generation, "manifest.json"))
+    manifest = json.loads(_files(generation).read("manifest.json"))
     manifest.pop("generation", None)
     for spec in manifest["corpora"]:
-        base = os.path.join(target, spec["kind"])
-        if (n := _write_ordered(open_corpus(spark, generation, spec["kind"]), base)) != spec["count"]:
-            raise ValueError(f"{spec['kind']} has {n} documents instead of {spec['count']}")
-        spec["files"] = _digests(base)
-    write_json(os.path.join(target, "manifest.json"), manifest)
+        wrote = _write_ordered(open_corpus(spark, generation, spec["kind"]), f"{_files(target).folder}/{spec['kind']}", layout)
+        if wrote["count"] != spec["count"]:
+            raise ValueError(f"{spec['kind']} has {wrote['count']} documents instead of {spec['count']}")
+        spec |= wrote
+    _files(target).replace("manifest.json", json.dumps(manifest, sort_keys=True, indent=1, ensure_ascii=False))
 
 
-def write_interchange(documents: dict[str, DataFrame], specs: dict[str, dict], target: str, provenance: dict | None = None, form: str = FORMAT) -> None:
-    """Write described documents ``(ord, id, src, ..., vector)`` of each kind as an interchange folder that all executors see."""
+def write_interchange(documents: dict[str, DataFrame], specs: dict[str, dict], target: str, provenance: dict | None = None, form: str = FORMAT, layout: str = "single") -> None:
+    """Write described documents ``(ord, id, src, ..., vector)`` of each kind as an interchange folder."""
     corpora = []
     for kind, df in documents.items():
-        base = os.path.join(target, kind)
         fields = [c for c in df.columns if c not in ("ord", "vector", "checksum")]
-        n = _write_ordered(df.withColumn("checksum", adler32("src")).select("ord", F.to_json(F.struct(*fields, "checksum")).alias("record"), "vector"), base)
-        corpora.append(specs[kind] | {"kind": kind, "count": n, "files": _digests(base)})
-    write_json(os.path.join(target, "manifest.json"), {"format": form, "version": VERSION, "corpora": corpora} | ({"provenance": provenance} if provenance else {}))
+        rows = df.withColumn("checksum", adler32("src")).select("ord", F.to_json(F.struct(*fields, "checksum")).alias("record"), "vector")
+        corpora.append(specs[kind] | {"kind": kind} | _write_ordered(rows, f"{_files(target).folder}/{kind}", layout))
+    manifest = {"format": form, "version": VERSION, "corpora": corpora} | ({"provenance": provenance} if provenance else {})
+    _files(target).replace("manifest.json", json.dumps(manifest, sort_keys=True, indent=1, ensure_ascii=False))
 
 
 def spec_key(spec: dict) -> str:

@@ -43,7 +43,7 @@ class Files:
     """What the driver does with single paths, by Hadoop's file systems: any store that Spark can write to."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.jvm = spark.sparkContext._jvm
+        self.jvm, self.gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.folder = uri(folder).rstrip("/")
         self.store = self._path("").getFileSystem(self.conf)
@@ -108,3 +108,25 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+
+    def swap(self, name: str, text: str) -> None:
+        """A small file by a new one and a rename over the old: readers see one or the other."""
+        temp = f"{name}.{uuid.uuid4().hex}"
+        self.replace(temp, text)
+        fs = self.jvm.org.apache.hadoop.fs
+        kind = getattr(fs, "Options$Rename")
+        options = self.gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        fs.FileContext.getFileContext(self.store.getUri(), self.conf).rename(self._path(temp), self._path(name), options)
+
+    def size(self, name: str) -> int:
+        return self.store.getFileStatus(self._path(name)).getLen()
+
+    def modified(self, name: str) -> float:
+        """Seconds since the epoch; of a file that has gone, 0."""
+        try:
+            return self.store.getFileStatus(self._path(name)).getModificationTime() / 1000
+        except Exception as e:
+            if "FileNotFound" in str(e):
+                return 0.0
+            raise

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.store import Store
 from ..sources import interchange
 
 
@@ -27,7 +27,7 @@ class Live:
         try:
             yield df
         finally:
-            os.unlink(mark)
+            interchange.release(path, mark)
 
     def corpus(self, kind: str) -> DataFrame:
         return self._opened(kind)[1]
@@ -70,6 +70,19 @@ def incremental(blocks: DataFrame, checkpoint: str, update: Callable[[DataFrame,
     return blocks.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def incremental_store(blocks: DataFrame, checkpoint: str, store: Store, compute: Callable[[DataFrame], DataFrame], name: str, keep: Column | None = None, after: Callable[[int], None] = lambda _: None) -> StreamingQuery:
+    """Fill a keyed store from a stream of ``blocks(key, ...)``, a commit a batch called by ``name`` and the batch's number.
+
+    A batch that was committed, but not noted by the stream before it stopped, is run again and adds nothing. ``after`` runs after each commit.
+    """
+
+    def update(batch: DataFrame, number: int) -> None:
+        store.fill(batch, compute, keep, f"{name}-{number}")
+        after(number)
+
+    return incremental(blocks, checkpoint, update)
+
+
 class Updates:
     """An update loop driven by changes: a state is taken once, a failed one again after ``pause`` seconds or when the state changes."""
 

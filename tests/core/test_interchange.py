@@ -58,16 +58,16 @@ def test_round_trip(spark, tmp_path):
             assert open(tmp_path / "out" / kind / name, "rb").read() == open(os.path.join(source, kind, name), "rb").read()
     again = I.import_index(spark, str(tmp_path / "out"), index)
     assert I.current(index) == again != path and I.prune(index) == [os.path.basename(path)]
-    I.export_generation(again, str(tmp_path / "shipped"))
+    I.export_generation(spark, again, str(tmp_path / "shipped"))
     with pytest.raises(FileExistsError):
-        I.export_generation(again, str(tmp_path / "shipped"))
+        I.export_generation(spark, again, str(tmp_path / "shipped"))
     installed = I.import_index(spark, str(tmp_path / "shipped"), str(tmp_path / "other"))
     assert I.open_corpus(spark, installed, "definitions").count() == 3
     part = next(os.path.join(d, n) for d, _, names in os.walk(tmp_path / "shipped" / "data") for n in names if n.endswith(".parquet"))
     with open(part, "ab") as f:
         f.write(b"x")
     with pytest.raises(ValueError):
-        I.install_generation(str(tmp_path / "shipped"), str(tmp_path / "other"))
+        I.install_generation(spark, str(tmp_path / "shipped"), str(tmp_path / "other"))
     assert I.current(str(tmp_path / "other")) == installed
 
 

@@ -32,7 +32,7 @@ EXTRA, EXTRA_PER = 4, 50
 #: Index lists up to the first length are paired member by member, up to the second with others of the same smallest member; in longer ones all are tied to that.
 SHORT_LIST, LONG_LIST = 32, 256
 #: Sets in a block of a candidate component, and tokens in it, about.
-BLOCK, BLOCK_TOKENS = 512, 1 << 20
+BLOCK, BLOCK_TOKENS = 512, 1 << 19
 #: Members of a candidate component of several blocks that all its blocks are joined with first.
 PIVOTS = 4
 #: Positions in a block of an index list.
@@ -303,7 +303,8 @@ def _joined_blocks(documents: DataFrame, dealt: DataFrame, k: int, percent: int)
         ids, order = np.unique(ints(group.column("node")), return_index=True)  # repeated rows are one set
         mine = ints(group.column("mine"))[order]
         blobs = group.column("tokens")
-        sets = [np.frombuffer(blobs[int(x)].as_buffer(), np.uint64) for x in order]
+        sets = [np.frombuffer(blobs[int(x)].as_py(), np.uint64) for x in order]
+        del group, blobs  # the table goes before the work begins
         i, j, many = (x.as_py() for x in key[1:])
         edges = _forest(ids, link_block(sets, percent, None if i == j else mine == i))
         return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64()), "many": pa.array([many] * len(edges), pa.bool_())})

@@ -10,8 +10,9 @@ size; scoring needs one number a feature, so it is table look-ups and sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import SPACE, mix, split_batches, text_offsets, word_hashes, word_spans, written
 
 #: Hash buckets of each kind of feature.
-BITS = 14
+BITS = 18
 BUCKETS = 1 << BITS
 KINDS = 4
 #: Labelled documents that the classifier learns from, at most; they are drawn by the hash of their id.
 SAMPLE = 4000
-#: Distinct features of all of these together, at most, of 8 bytes each on the driver: the first documents of that order that have no more.
-SAMPLE_FEATURES = 16 << 20
+#: Distinct features that the driver holds at a time, of 8 bytes each; where the sample has more, each pass reads it in several parts.
+HELD_FEATURES = 16 << 20
 #: Bytes of text scored at once; a longer single text is taken alone.
 SCORE_BYTES = 1 << 18
 #: Length of a feature's vector; passes over the sample; first learning rate, which falls to 0 in equal steps.
@@ -107,26 +108,35 @@ def score(values: tuple[np.ndarray, float], column: pa.Array) -> np.ndarray:
 
 def train(samples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 1) -> Classifier:
     """Learn from (label, features, weights). Without samples every score is a half."""
+    return train_parts([lambda: samples], len(samples), seed)
+
+
+def train_parts(parts: list[Callable[[], list[tuple[int, np.ndarray, np.ndarray]]]], n: int, seed: int = 1) -> Classifier:
+    """:func:`train` on ``n`` samples of which one part is held at a time; parts come in a new order in each pass, and so do the samples of each."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-0.5, 0.5, (KINDS * BUCKETS, DIMENSION)).astype(np.float32) / DIMENSION
     out = np.zeros((DIMENSION, 2), np.float32)
     bias = np.zeros(2, np.float32)
-    steps, step = max(1, EPOCHS * len(samples)), 0
+    steps, step = max(1, EPOCHS * n), 0
+    samples = parts[0]() if len(parts) == 1 else []
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(samples)):
-            label, features, weights = samples[i]
-            rate = RATE * (1 - step / steps)
-            step += 1
-            hidden = weights @ vectors[features]
-            logits = hidden @ out + bias
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[label] -= 1
-            back = out @ p
-            out -= rate * np.outer(hidden, p)
-            bias -= rate * 0.1 * p
-            # a mean's gradient is spread over its features; the factor keeps a feature's step from vanishing in long texts
-            vectors[features] -= (rate * 20 * weights)[:, None] * back
+        for part in rng.permutation(len(parts)) if len(parts) > 1 else (0,):
+            if len(parts) > 1:
+                samples = parts[part]()
+            for i in rng.permutation(len(samples)):
+                label, features, weights = samples[i]
+                rate = RATE * (1 - step / steps)
+                step += 1
+                hidden = weights @ vectors[features]
+                logits = hidden @ out + bias
+                p = np.exp(logits - logits.max())
+                p /= p.sum()
+                p[label] -= 1
+                back = out @ p
+                out -= rate * np.outer(hidden, p)
+                bias -= rate * 0.1 * p
+                # a mean's gradient is spread over its features; the factor keeps a feature's step from vanishing in long texts
+                vectors[features] -= (rate * 20 * weights)[:, None] * back
     return Classifier(vectors, out, bias)
 
 
@@ -135,8 +145,9 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = SAMPLE_FEATURES) -> Classifier:
-    """Learn ``labels(doc_id, quality)`` from at most ``sample`` documents that aren't held out, with at most ``features`` features.
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = HELD_FEATURES) -> Classifier:
+    """Learn ``labels(doc_id, quality)`` from at most ``sample`` documents that aren't held out, whatever their length: the driver
+    holds ``held`` features at a time, or those of one id.
 
     Labels that are null or other than 0 and 1 are left out; so are labels without a document. Where an id has both labels, 1
     counts. Rows that share an id are all learned from. Other columns are not read.
@@ -154,14 +165,25 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
     table = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, n long, features array<int>, weights array<float>")
     table = written(table)
     sizes = table.groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()  # at most ``sample`` rows
-    few = sizes["doc_id"][sizes["n"].cumsum() <= features].tolist()
-    found = (table if len(few) == len(sizes) else table.where(F.col("doc_id").isin(few))).drop("n").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
-    if not found.num_rows:
-        return train([])
-    bucket_of, weight_of = (found.column(x).chunk(0) for x in ("features", "weights"))
-    ends, bucket, weight = bucket_of.offsets.to_numpy(), bucket_of.values.to_numpy(), weight_of.values.to_numpy()
-    return train([(y, bucket[a:b], weight[a:b]) for y, a, b in zip(found.column("label").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+    parts: list[list[int]] = [[]]
+    total = 0
+    for doc_id, n in zip(sizes["doc_id"], sizes["n"], strict=True):
+        if parts[-1] and total + n > held:
+            parts.append([])
+            total = 0
+        parts[-1].append(int(doc_id))
+        total += n
+
+    def load(ids: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        found = (table if len(parts) == 1 else table.where(F.col("doc_id").isin(ids))).drop("n").toArrow()
+        found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+        if not found.num_rows:
+            return []
+        bucket_of, weight_of = (found.column(x).chunk(0) for x in ("features", "weights"))
+        ends, bucket, weight = bucket_of.offsets.to_numpy(), bucket_of.values.to_numpy(), weight_of.values.to_numpy()
+        return [(y, bucket[a:b], weight[a:b]) for y, a, b in zip(found.column("label").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    return train_parts([partial(load, ids) for ids in parts], table.count())
 
 
 def score_documents(documents: DataFrame, model: Classifier, column: str = "score") -> DataFrame:
@@ -172,7 +194,7 @@ def score_documents(documents: DataFrame, model: Classifier, column: str = "scor
     a row can be: it is scored whole.
     """
     documents = documents.drop(column)
-    shared = documents.sparkSession.sparkContext.broadcast(model.values())  # KINDS * BUCKETS doubles: 0.5 MB
+    shared = documents.sparkSession.sparkContext.broadcast(model.values())  # KINDS * BUCKETS doubles: 8 MB
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

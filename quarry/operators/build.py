@@ -201,10 +201,15 @@ def incomplete_sessions(exports: DataFrame, name: str) -> DataFrame:
 
 
 def unbuilt(sessions: DataFrame, done: DataFrame, incomplete: DataFrame) -> DataFrame:
-    """(reason, sessions): sessions that aren't done or lack exports."""
-    out = sessions.join(done.withColumn("done", F.lit(True)), "session", "left").join(incomplete.withColumn("lacks", F.lit(True)), "session", "left")
+    """(session, reason): sessions that aren't done, with their ``error`` or as ``not built``, or lack exports: a row each, however many have one reason."""
+    out = sessions.join(done.select("session").distinct().withColumn("done", F.lit(True)), "session", "left").join(incomplete.select("session").distinct().withColumn("lacks", F.lit(True)), "session", "left")
     reason = F.when(F.col("done").isNull(), F.coalesce("error", F.lit("not built"))).when(F.col("lacks"), "missing exports")
-    return out.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("reason").agg(F.array_sort(F.collect_list("session")).alias("sessions"))
+    return out.select("session", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def unbuilt_counts(members: DataFrame) -> DataFrame:
+    """(reason, sessions, first): of ``unbuilt``'s rows, how many sessions have a reason and the first of them by name."""
+    return members.groupBy("reason").agg(F.count(F.lit(1)).alias("sessions"), F.min("session").alias("first"))
 
 
 def select_sessions(sessions: DataFrame, names: list[str], exclude: list[str], main: str, sets: dict[str, Column] | None = None) -> DataFrame:

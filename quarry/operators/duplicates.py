@@ -31,12 +31,36 @@ def judged(rank: Column, distance: Column, most: int = C.MAX_JUDGED, weak: float
     return (rank <= most) & (distance <= weak)
 
 
-def with_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``syntactic_similarity`` of two source columns' statements; short ones, which count 0, don't reach Python."""
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No sequence ratio of two texts is larger: matched characters are at most those that both have, each as often as the rarer has it."""
+    count = lambda t, c: F.char_length(t) - F.char_length(F.replace(t, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda s, c: s + F.when(c == "", 0).otherwise(F.least(count(a, c), count(b, c))))
+    total = F.char_length(a) + F.char_length(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * shared / total)
+
+
+def length_bound(a: Column, b: Column) -> Column:
+    """:func:`ratio_bound` by lengths alone."""
+    total = F.char_length(a) + F.char_length(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * F.least(F.char_length(a), F.char_length(b)) / total)
+
+
+def with_similarity(pairs: DataFrame, a: str, b: str, least: float | None = None) -> DataFrame:
+    """``syntactic_similarity`` of two source columns' statements; short ones count 0 and equal ones 1.
+
+    With ``least``, only pairs that reach it are returned, and those whose lengths or characters can't are left out in the JVM: the exact ratio, a
+    Python call that is quadratic in the length, runs for what is left.
+    """
     said = pairs.withColumn("_a", T.statement(F.col(a))).withColumn("_b", T.statement(F.col(b)))
-    able = T.long_enough(F.col("_a")) & T.long_enough(F.col("_b"))
-    scored = said.where(able).withColumn("syntactic_similarity", similarity("_a", "_b"))
-    return scored.unionByName(said.where(~F.coalesce(able, F.lit(False))).withColumn("syntactic_similarity", F.lit(0.0))).drop("_a", "_b")
+    able = F.coalesce(T.long_enough(F.col("_a")) & T.long_enough(F.col("_b")), F.lit(False))
+    long = said.where(able)
+    if least is not None:
+        long = long.where(length_bound(F.col("_a"), F.col("_b")) >= least).where(ratio_bound(F.col("_a"), F.col("_b")) >= least - 1e-9)
+    same = F.col("_a") == F.col("_b")
+    out = long.where(same).withColumn("syntactic_similarity", F.lit(1.0)).unionByName(long.where(~same).withColumn("syntactic_similarity", similarity("_a", "_b")))
+    if least is not None:
+        return out.where(F.col("syntactic_similarity") >= least).drop("_a", "_b")
+    return out.unionByName(said.where(~able).withColumn("syntactic_similarity", F.lit(0.0))).drop("_a", "_b")
 
 
 def tier_counts(documents: DataFrame) -> DataFrame:
@@ -115,7 +139,7 @@ def ground_truth(documents: DataFrame, relevant: DataFrame, group: int = C.TRUTH
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.ord") < F.col("b.ord")) & (F.col("a.entry") != F.col("b.entry")) & (F.col("a.relevant") | F.col("b.relevant")))
     pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.col("a.src").alias("sx"), F.col("b.src").alias("sy")).dropDuplicates(["x", "y"])
-    alike = with_similarity(pairs, "sx", "sy").where(F.col("syntactic_similarity") >= threshold).select("x", "y")
+    alike = with_similarity(pairs, "sx", "sy", threshold).select("x", "y")
     both = alike.select(F.col("x").alias("id"), F.col("y").alias("other")).unionByName(alike.select(F.col("y").alias("id"), F.col("x").alias("other")))
     return both.distinct(), skipped
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import HIT_CUTOFF
+from ..sources.shared import written
 
 METRICS = ("top_k_accuracy", "normalized_discounted_cumulative_gain", "reciprocal_rank", "rank")
 
@@ -21,15 +22,26 @@ def correct(result: Column, targets: Column) -> Column:
 def present(targets: DataFrame, corpus: DataFrame) -> DataFrame:
     """Distinct ``targets(target map)`` that some row of ``corpus(fields map)`` contains. Maps are compared by their pairs.
 
-    Joined on the target's first pair, so that no target meets all documents; the rest is checked after.
+    Of each row only the pairs that targets name are looked at, and rows with the same ones are one. A target is looked for by its pair that is
+    rarest among these, so a pair that every row has is nobody's key, unless it is a target's only one: that is there already. An empty target is
+    in any row, and in an empty corpus, too.
     """
     pairs = lambda m: F.array_sort(F.map_entries(m))
-    distinct = targets.select(pairs(F.col("target")).alias("pairs")).distinct()
-    keyed = distinct.withColumn("pair", F.get("pairs", F.lit(0)))
-    rows = corpus.select(F.col("fields"), F.explode(F.map_entries("fields")).alias("pair"))
-    found = keyed.alias("t").join(rows.alias("r"), (F.col("t.pair") == F.col("r.pair")) & F.forall(F.col("t.pairs"), lambda e: F.coalesce(F.element_at(F.col("r.fields"), e["key"]) == e["value"], F.lit(False))), "left_semi")
-    any_row = distinct.where(F.size("pairs") == 0)
-    return found.select("pairs").unionByName(any_row).select(F.map_from_entries("pairs").alias("target"))
+    distinct = targets.where("target IS NOT NULL").select(pairs(F.col("target")).alias("pairs")).distinct()
+    named = distinct.select(F.explode("pairs").alias("pair")).distinct()
+    rows = corpus.select("fields", F.monotonically_increasing_id().alias("at")).select("at", F.explode(F.map_entries("fields")).alias("pair"))
+    seen = rows.join(named, "pair", "left_semi")
+    # sets of pairs, each once: what rows have beside them, and copies, is gone here
+    sets = written(seen.groupBy("at").agg(F.array_sort(F.collect_list("pair")).alias("has")).groupBy("has").agg(F.count(F.lit(1)).alias("n")))
+    sizes = sets.select("n", F.explode("has").alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = distinct.select("pairs", F.explode("pairs").alias("pair")).join(sizes, "pair", "left")
+    keyed = counted.groupBy("pairs").agg(F.min_by("pair", F.struct(F.coalesce("n", F.lit(0)), "pair")).alias("key"), F.min(F.coalesce("n", F.lit(0))).alias("least")).where("least > 0")
+    alone = keyed.where(F.size("pairs") == 1).select("pairs")
+    several = keyed.where(F.size("pairs") > 1).select("pairs", "key")
+    holders = sets.select("has", F.explode("has").alias("key")).join(several.select("key").distinct(), "key", "left_semi")
+    found = several.alias("t").join(holders.alias("s"), (F.col("t.key") == F.col("s.key")) & (F.size(F.array_except(F.col("t.pairs"), F.col("s.has"))) == 0), "left_semi")
+    empty = distinct.where(F.size("pairs") == 0)
+    return found.select("pairs").unionByName(alone).unionByName(empty).select(F.map_from_entries("pairs").alias("target"))
 
 
 def query_metrics(results: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .asof import last_before
 
 
 def usable(releases: DataFrame, assets: DataFrame) -> DataFrame:
@@ -41,15 +42,20 @@ def changeset_counts(after: DataFrame, missing: DataFrame | None, paths: DataFra
         counts = after.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("phase") != "public").alias("local"))
     else:
         counts = after.join(missing.withColumn("lacks", F.lit(1)), "id", "left").agg(F.count(F.lit(1)).alias("n"), F.count("lacks").alias("local"))
-    changed = paths.agg(F.array_sort(F.collect_set(T.entry_of_changed_path(F.col("path")))).alias("changed"))
+    changed = changed_entries(paths).agg(F.array_sort(F.collect_list("entry")).alias("changed"))  # a row an entry
     return counts.join(F.broadcast(changed)).select((F.col("n") - F.col("local")).alias("published"), "local", "changed")
 
 
 def extend_cover(changesets: DataFrame, known: DataFrame) -> DataFrame:
     """(revision, tag, distance): new ``changesets(id, number, fingerprint)`` go to the release with equal sources; the distance counts the changesets since it.
 
-    ``known(tag, number, fingerprint)`` are the releases; of several with equal sources the newest before the changeset counts.
+    ``known(tag, number, fingerprint)`` are the releases; of several with equal sources the newest before the changeset counts. Both stand in
+    one order, along which the last release is carried, so a fingerprint that most changesets share costs no more than others.
     """
-    same = changesets.alias("c").join(known.alias("k"), (F.col("c.fingerprint") == F.col("k.fingerprint")) & (F.col("k.number") <= F.col("c.number")))
-    best = same.groupBy(F.col("c.id").alias("revision"), F.col("c.number").alias("number")).agg(F.max_by(F.col("k.tag"), F.col("k.number")).alias("tag"), F.max("k.number").alias("base"))
-    return best.select("revision", "tag", (F.col("number") - F.col("base")).cast("int").alias("distance"))
+    found = last_before(changesets.select("id", "number", "fingerprint"), known.select("fingerprint", "number", F.col("number").alias("base"), "tag"), "fingerprint", "number", ["base", "tag"])
+    return found.where("tag IS NOT NULL").select(F.col("id").alias("revision"), "tag", (F.col("number") - F.col("base")).cast("int").alias("distance"))
+
+
+def changed_entries(paths: DataFrame) -> DataFrame:
+    """(entry): the entries of ``paths(path)``, a row each."""
+    return paths.select(T.entry_of_changed_path(F.col("path")).alias("entry")).where("entry IS NOT NULL").distinct()

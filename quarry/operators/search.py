@@ -195,30 +195,41 @@ def search(corpus: DataFrame, vector: list[float], limit: int, admit: SearchFilt
     found = nearest(corpus.where(admit.prefilter(F.col("entry"), exclude)), vector, max(limit, candidates), metric)
     found = found.where(admit.admits(F.col("session"), F.col("src"))).drop("vector", "embedding_input", "description_artifact")
     if collapse_copies:
-        return collapse(found.withColumn("query_id", F.lit(0)).withColumn("key", T.statement(F.col("src"))), limit, ("distance", "id")).drop("query_id", "key")
+        return collapse(found.withColumn("query_id", F.lit(0)).withColumn("key", T.statement(F.col("src"))), limit, ("distance", "id")).drop("query_id")
     return found.orderBy("distance", "id").limit(limit)
 
 
-def collapse(hits: DataFrame, limit: int, by: tuple[str, ...] = ("rank",)) -> DataFrame:
-    """Hits of each ``query_id`` with equal ``key`` as one result with the others under ``copies``.
+def collapse_members(hits: DataFrame, limit: int, by: tuple[str, ...] = ("rank",)) -> DataFrame:
+    """(query_id, place, copy, and the hit's columns but ``key``): hits of each ``query_id`` with equal ``key`` share a place, a row a hit.
 
     Groups stand in the order of their first hit. The scan ends at the hit that would open group ``limit`` + 1, so copies
-    after that aren't attached. A group is represented by its first hit with an empty ``entry``, or its first. Only keys with their first
-    place are ranked, the first ``limit`` + 1 of each task; the hits of the chosen keys are joined to them.
+    after that aren't attached. Copy 0 represents its group: its first hit with an empty ``entry``, or its first; the others are numbered in order. Keys are
+    compared by a hash of 256 bits, which goes in their place. Only keys with their first place are ranked, and the hits of the chosen ones
+    joined to them; a group of any size is rows that are sorted, never an array.
     """
-    columns = [c for c in hits.columns if c != "query_id"]
+    columns = [c for c in hits.columns if c not in ("query_id", "key")]
     order = F.struct(*by)
-    first = hits.groupBy("query_id", "key").agg(F.min(order).alias("_first"))
+    slim = hits.select("query_id", *columns, F.when(F.col("key").isNotNull(), F.unhex(F.sha2(F.col("key").cast("string"), 256))).alias("_hash"), order.alias("_by"))
+    first = slim.groupBy("query_id", "_hash").agg(F.min("_by").alias("_first"))
     placed = first.withColumn("_group", F.row_number().over(Window.partitionBy("query_id").orderBy("_first"))).where(F.col("_group") <= limit + 1)
-    stop = placed.where(F.col("_group") == limit + 1).select("query_id", F.col("_first").alias("_stop"))
-    chosen = placed.where(F.col("_group") <= limit).join(stop, "query_id", "left").select(F.col("query_id").alias("_query"), F.col("key").alias("_key"), "_group", "_stop")
-    few = hits.withColumn("_by", order).join(chosen, F.col("query_id").eqNullSafe(F.col("_query")) & F.col("key").eqNullSafe(F.col("_key")))
+    stop = placed.where(F.col("_group") == limit + 1).select(F.col("query_id").alias("_of"), F.col("_first").alias("_stop"))
+    chosen = placed.where(F.col("_group") <= limit).join(stop, F.col("query_id").eqNullSafe(F.col("_of")), "left").select(F.col("query_id").alias("_query"), F.col("_hash").alias("_key"), "_group", "_stop")
+    few = slim.join(chosen, F.col("query_id").eqNullSafe(F.col("_query")) & F.col("_hash").eqNullSafe(F.col("_key")))
     few = few.where(F.col("_stop").isNull() | (F.col("_by") < F.col("_stop")))
-    hit = F.struct((F.col("entry") != "").cast("int").alias("_own"), "_by", *columns)
-    groups = few.groupBy("query_id", "_group").agg(F.sort_array(F.collect_list(hit)).alias("h"))
-    result = F.col("h")[0]
-    rest = F.sort_array(F.transform(F.slice("h", 2, F.size("h")), lambda x: F.struct(x["_by"].alias("_by"), *(x[c].alias(c) for c in columns))))
-    return groups.select("query_id", F.col("_group").alias("place"), *(result[c].alias(c) for c in columns), F.transform(rest, lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias("copies"))
+    own = F.min(F.struct((F.col("entry") != "").cast("int").alias("o"), F.col("_by").alias("b")))
+    heads = few.groupBy(F.col("query_id").alias("_q"), F.col("_group").alias("_g")).agg(own.alias("_head"))
+    marked = few.join(heads, F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("_group") == F.col("_g")))
+    place = Window.partitionBy("query_id", "_group").orderBy((F.col("_by") != F.col("_head.b")).cast("int"), "_by")
+    return marked.select("query_id", F.col("_group").alias("place"), (F.row_number().over(place) - 1).alias("copy"), *columns)
+
+
+def collapse(hits: DataFrame, limit: int, by: tuple[str, ...] = ("rank",)) -> DataFrame:
+    """:func:`collapse_members` as one row a group, with the others nested under ``copies``: for the hits of a search, which are few."""
+    columns = [c for c in hits.columns if c not in ("query_id", "key")]
+    rows = collapse_members(hits, limit, by)
+    groups = rows.groupBy("query_id", "place").agg(F.array_sort(F.collect_list(F.struct("copy", *columns))).alias("h"))
+    head, rest = F.col("h")[0], F.slice("h", 2, F.size("h"))
+    return groups.select("query_id", "place", *(head[c].alias(c) for c in columns), F.transform(rest, lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias("copies"))
 
 
 def with_local_lines(hits: DataFrame, files: DataFrame) -> DataFrame:

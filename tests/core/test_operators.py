@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions.constants import TIERS
 from quarry.operators import build, duplicates, evaluate, releases, report, search, validate
 from quarry.operators.search import SearchFilter
+from quarry.operators.store import Store
 
 
 def arc(spark, n=12):
@@ -188,7 +189,7 @@ def test_stores(spark, tmp_path):
     assert {r.id: r.embedding_input for r in told} == {"a": "D: said lemma a\n\nlemma a", "b": "D: said lemma b\n\nlemma b", "d": "D: said lemma a\n\nlemma a"}
     wanted = blocks.select(build.cache_key(F.lit("m"), F.col("src")).alias("key"), F.col("src").alias("text"), "id")
     embedded = build.through_store(wanted.where("id <> 'b'"), folder, lambda m: build.embed(m, build.hash_embedder(3)))
-    assert {r.id for r in embedded.collect()} == {"a", "c", "d"} and spark.read.parquet(folder).count() == 2
+    assert {r.id for r in embedded.collect()} == {"a", "c", "d"} and Store(spark, folder).read().count() == 2
     asked = []
     again = build.through_store(wanted, folder, lambda m: (asked.append(m.count()), build.embed(m, build.hash_embedder(3)))[1])
     assert again.count() == 4 and asked == [1]

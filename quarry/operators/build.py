@@ -86,7 +86,7 @@ def completed(prompt: str, generate: Callable[[str, float], Completion], cut_off
     raise Failure(error)
 
 
-def describe(wanted: DataFrame, generate: Callable[[str, float], Completion], attempts: int = 3, cut_off: Callable[[str], str] = lambda _: "fallback") -> DataFrame:
+def describe(wanted: DataFrame, generate: Callable[[str, float], Completion], attempts: int = 3, cut_off: Callable[[str], str] = lambda _: "fallback", sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(key, text, truncated, status, error) of ``wanted(key, prompt)``: status ok, truncated or failed. A failure costs its row only.
 
     ``cut_off`` tells what a cut-off completion is worth, see :func:`completed`.
@@ -97,7 +97,7 @@ def describe(wanted: DataFrame, generate: Callable[[str, float], Completion], at
             rows = []
             for key, prompt in zip(batch["key"], batch["prompt"], strict=True):
                 try:
-                    c = completed(prompt, generate, cut_off, attempts)
+                    c = completed(prompt, generate, cut_off, attempts, sleep)
                     rows.append((key, c.text, c.truncated, "truncated" if c.truncated else "ok", None))
                 except Failure as e:
                     rows.append((key, None, False, "failed", str(e)))
@@ -112,14 +112,14 @@ def has_verdict(text: str) -> str:
     return "sufficient" if m and m[1].upper() in VERDICTS else "unusable"
 
 
-def judge(pairs: DataFrame, pattern: str, generate: Callable[[str, float], Completion], attempts: int = 3, weak: float = DISTANCE) -> DataFrame:
+def judge(pairs: DataFrame, pattern: str, generate: Callable[[str, float], Completion], attempts: int = 3, weak: float = DISTANCE, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """``pairs(rank, distance, src, other_src, ...)`` with verdict, justification, judge_truncated and judge_error.
 
     Only near candidates among the first few are judged, others have nulls; equal prompts are judged once. A failed judgement has its error and no verdict.
     """
     asked = pairs.withColumn("_prompt", F.when(judged(F.col("rank"), F.col("distance"), weak=weak), T.template(pattern, first=T.excerpt(F.col("src")), second=T.excerpt(F.col("other_src")))))
     asked = asked.withColumn("_key", F.sha2("_prompt", 256))
-    told = describe(asked.where("_key IS NOT NULL").select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt")).dropDuplicates(["key"]), generate, attempts, has_verdict)
+    told = describe(asked.where("_key IS NOT NULL").select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt")).dropDuplicates(["key"]), generate, attempts, has_verdict, sleep)
     word, why = T.verdict(F.col("text"))
     ok = F.col("status") != "failed"
     told = told.select(F.col("key").alias("_key"), F.when(ok, word).alias("verdict"), F.when(ok, why).alias("justification"), F.when(ok, F.col("truncated")).alias("judge_truncated"), F.col("error").alias("judge_error"))

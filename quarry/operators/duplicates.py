@@ -153,6 +153,17 @@ def recall(truth: DataFrame, candidates: DataFrame, queries: DataFrame) -> DataF
     return out.withColumn("recall", F.try_divide("recovered", "with_truth"))
 
 
+def recall_by_group(queries: DataFrame, sizes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """:func:`recall` where the true pairs of a query are all others of its group, without making them.
+
+    ``queries(query_id, group)``, ``sizes(group, n)`` counted over all rows, and ``candidates(query_id, id, group)``; a query has truth if its group has another member.
+    """
+    own = queries.where("group IS NOT NULL").join(sizes.where("n > 1").select("group"), "group", "left_semi").select("query_id", F.col("group").alias("own"))
+    hit = candidates.where(F.col("id") != F.col("query_id")).join(own, "query_id").where(F.col("group") == F.col("own")).select(F.col("query_id").alias("q")).distinct()
+    out = own.select("query_id").distinct().join(hit.withColumn("hit", F.lit(1)), F.col("query_id") == F.col("q"), "left").agg(F.count(F.lit(1)).alias("with_truth"), F.count("hit").alias("recovered"))
+    return out.withColumn("recall", F.try_divide("recovered", "with_truth"))
+
+
 def newest_entries(documents: DataFrame, n: int) -> DataFrame:
     """(entry, date): the last date of each entry by ``ord``; the newest ``n`` by (date, entry) descending, without empty dates."""
     dates = documents.where("entry <> ''").groupBy("entry").agg(F.max_by("entry_date", "ord").alias("date"))

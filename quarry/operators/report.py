@@ -7,10 +7,14 @@ import os
 import re
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ..functions.constants import TIERS
 
+# Fixed value: what stays as it is in the target of a link, beside letters and digits.
+_URL_SAFE = ":/?#[]@!$&*+,;=%_-~."
 _SECRET_PARTS, _SECRET = ("api_key", "password"), ("authorization", "token")
 
 
@@ -21,6 +25,27 @@ def public_values(value):
     return [public_values(v) for v in value] if isinstance(value, list) else value
 
 
+def secret(name: Column) -> Column:
+    """Whether a setting of this name is a secret."""
+    low, out = F.lower(name), F.lower(name).isin(*_SECRET)
+    for part in _SECRET_PARTS:
+        out = out | F.contains(low, F.lit(part))
+    return out
+
+
+def redacted(value: Column, kind: DataType) -> Column:
+    """:func:`public_values` of a column of maps, arrays and structs: the entries and fields of secret names are gone at every depth of its type."""
+    if isinstance(kind, MapType):
+        kept = F.map_filter(value, lambda k, _: ~secret(k))
+        return kept if isinstance(kind.valueType, StringType) else F.transform_values(kept, lambda _, v: redacted(v, kind.valueType))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda v: redacted(v, kind.elementType))
+    if isinstance(kind, StructType):
+        plain = [f for f in kind.fields if not any(p in f.name.lower() for p in _SECRET_PARTS) and f.name.lower() not in _SECRET]
+        return F.when(value.isNotNull(), F.struct(*(redacted(value[f.name], f.dataType).alias(f.name) for f in plain)))
+    return value
+
+
 def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
@@ -32,8 +57,8 @@ def escape(text: str) -> str:
 
 
 def link(label: str, url: str) -> str:
-    """A link whose target stands between angle brackets, unsafe bytes percent-encoded; without a target the label alone."""
-    return f"[{escape(label)}](<{quote(url, safe='/:?#=&%+,;@~.-_')}>)" if url else escape(label)
+    """A link whose target stands between angle brackets, unsafe bytes percent-encoded; without a target, or with ``#`` for one, the label alone."""
+    return f"[{escape(label)}](<{quote(url, safe=_URL_SAFE)}>)" if url not in ("", "#") else escape(label)
 
 
 def fence(text: str, language: str = "") -> str:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vector as V
@@ -173,6 +173,40 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     return ranked(found, k)
 
 
+def places(queries: DataFrame, corpus: DataFrame, metric: str = "cosine", digits: int = 9) -> DataFrame:
+    """(query_id, rank): where a row with each query's ``own`` id and ``distance`` would stand among ``corpus(id, vector)`` by (distance, id), its own row left out.
+
+    ``queries(query_id, vector, own, distance)``. Tasks count the nearer rows, so a query costs a number a task, however far down it stands; distances are compared rounded to ``digits``.
+    """
+    n, size = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-n * (size or 1) * 8 // QUERY_BYTES))
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("nearer", LongType())])
+    found = None
+    for b in range(blocks):
+        some = queries.select("query_id", "vector", "own", "distance").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        shared = corpus.sparkSession.sparkContext.broadcast(some.toArrow().combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            if not asked.num_rows:
+                return
+            q = _matrix(asked.column("vector").combine_chunks())
+            own, limit = asked.column("own").to_numpy(), np.round(asked.column("distance").to_numpy(), digits)
+            nearer = np.zeros(len(q), np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    c, ids = _matrix(part.column(1)), part.column(0).to_numpy()
+                    for i in range(len(q)):
+                        d = np.round(_distances(q[i : i + 1], c, metric), digits)
+                        nearer[i] += int(((ids != own[i]) & ((d < limit[i]) | ((d == limit[i]) & (ids < own[i])))).sum())
+            yield pa.RecordBatch.from_arrays([asked.column("query_id").combine_chunks(), pa.array(nearer)], ["query_id", "nearer"])
+
+        part = corpus.select("id", "vector").mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("query_id").agg((F.sum("nearer") + 1).cast("int").alias("rank"))
+
+
 def ranked(found: DataFrame, k: int | None = None, by: tuple[str, ...] = ("distance", "id")) -> DataFrame:
     """``rank`` within each query; with ``k`` only the first so many."""
     out = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by)))

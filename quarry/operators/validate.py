@@ -52,11 +52,11 @@ def guard_pruning(previous: DataFrame, current: DataFrame, allow: bool = False)
     return gone, n
 
 
-def zipped(references: DataFrame, inputs: str = "inputs", vectors: str = "vectors") -> DataFrame:
-    """(ord, input, vector): input i goes with vector i; lists of different lengths raise when they are read."""
+def zipped(references: DataFrame, inputs: str = "inputs", vectors: str = "vectors", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(the columns ``keep``, ord, input, vector): input i goes with vector i; lists of different lengths raise when they are read."""
     same = F.when(F.size(inputs) == F.size(vectors), F.arrays_zip(F.col(inputs).alias("input"), F.col(vectors).alias("vector")))
     pairs = F.coalesce(same, F.raise_error(F.lit("inputs and vectors differ in number")).cast("array<struct<input:string,vector:array<double>>>"))
-    return references.select(F.posexplode(pairs).alias("ord", "pair")).select("ord", "pair.input", "pair.vector")
+    return references.select(*keep, F.posexplode(pairs).alias("ord", "pair")).select(*keep, "ord", "pair.input", "pair.vector")
 
 
 def embedding_drift(vectors: DataFrame) -> DataFrame:

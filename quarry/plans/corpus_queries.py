@@ -94,10 +94,8 @@ def reference_zip(spark, sf_dir):
     """Reference inputs and their vectors, place by place."""
     e = F.col("embedding").cast("array<double>")
     lists = _table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.lit("first"), F.lit("second")).alias("inputs"), F.array(F.slice(e, 1, 1), F.slice(e, 2, 1)).alias("vectors"))
-    one = lists.select("vec_id", F.posexplode(F.arrays_zip("inputs", "vectors")).alias("ord", "x"))
-    zipped = validate.zipped(lists.select("vec_id", "inputs", "vectors"))
-    assert zipped.columns == ["ord", "input", "vector"]
-    return one.select("vec_id", F.col("ord").cast("long").alias("ord"), F.col("x.inputs").alias("input"), F.round(F.col("x.vectors")[0], 6).alias("head"))
+    one = validate.zipped(lists, keep=("vec_id",))
+    return one.select("vec_id", F.col("ord").cast("long").alias("ord"), "input", F.round(F.col("vector")[0], 6).alias("head"))
 
 
 @query("SELECT event_id AS id, event_type AS command, NULL::INTEGER AS start_line FROM events WHERE event_type IN ('click', 'purchase')")
@@ -109,37 +107,32 @@ def selected_blocks(spark, sf_dir):
 
 @query("SELECT s_suppkey::VARCHAR AS \"ID\", 'a \"' || s_name || '\",' || chr(10) || s_nationkey AS query FROM supplier")
 def benchmark_csv(spark, sf_dir):
-    """Suppliers as a CSV with quotes, commas and line breaks, read back. A benchmark is a small file."""
-    path = os.path.join(_folder(spark), "benchmark.csv")
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f)
-        out.writerow(("ID", "query"))
-        for r in _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").toLocalIterator():
-            out.writerow((r.s_suppkey, f'a "{r.s_name}",\n{r.s_nationkey}'))
-    return interchange.read_benchmark_csv(spark, path)
+    """Suppliers as a CSV with quotes, commas and line breaks, read back."""
+    folder = shared_folder(spark)
+    text = F.concat(F.lit('a "'), "s_name", F.lit('",\n'), F.col("s_nationkey").cast("string"))
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("ID"), text.alias("query"))
+    rows.write.options(header=True, quote='"', escape='"').csv(folder)
+    return interchange.read_benchmark_csv(spark, folder)
 
 
 @query("SELECT n_name AS entry, 'Title of ' || n_name AS title, coalesce(r_name, '') AS abstract, '2020-01-' || lpad((n_nationkey + 1)::VARCHAR, 2, '0') AS date FROM nation JOIN region ON n_regionkey = r_regionkey")
 def metadata_files(spark, sf_dir):
-    """Nations as TOML files, read back."""
+    """Nations as TOML files, written and read by tasks."""
     folder = _folder(spark)
-    for r in _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).collect():
-        with open(os.path.join(folder, f"{r.n_name}.toml"), "w", encoding="utf-8") as f:
-            f.write(f'title = "Title of {r.n_name}"\nabstract = "{r.r_name}"\ndate = 2020-01-{r.n_nationkey + 1:02}\n')
+    nations = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.format_string('title = "Title of %s"\nabstract = "%s"\ndate = 2020-01-%02d\n', "n_name", "r_name", F.col("n_nationkey").cast("int") + 1)
+    ranges.write_files(nations.select(F.concat("n_name", F.lit(".toml")).alias("name"), text.alias("text")), folder)
     return interchange.read_metadata(spark, folder)
 
 
 @query("SELECT r_name AS kind, CASE WHEN r_regionkey % 2 = 0 THEN 'own ' || r_name ELSE 'common' END AS prompt FROM region")
 def prompt_files(spark, sf_dir):
     """Prompts of regions: some have their own."""
-    folder = _folder(spark)
-    rows = _table(spark, sf_dir, "region").collect()
-    own = {f"embed_{r.r_name}": f"own {r.r_name}" for r in rows if r.r_regionkey % 2 == 0}
-    for name, text in ({"embed": "common"} | own).items():
-        with open(os.path.join(folder, f"{name}.txt"), "w", encoding="utf-8") as f:
-            f.write(text)
-    prompts = interchange.read_prompts(folder)
-    return spark.createDataFrame([(r.r_name, interchange.prompt_of(prompts, "embed", r.r_name)) for r in rows], "kind string, prompt string")
+    folder, regions = _folder(spark), _table(spark, sf_dir, "region")
+    own = regions.where("r_regionkey % 2 = 0").select(F.concat(F.lit("embed_"), "r_name", F.lit(".txt")).alias("name"), F.concat(F.lit("own "), "r_name").alias("text"))
+    common = regions.limit(1).select(F.lit("embed.txt").alias("name"), F.lit("common").alias("text"))
+    ranges.write_files(own.unionByName(common), folder)
+    return interchange.prompts_for(ranges.read_files(spark, folder, ".txt"), "embed", regions.select(F.col("r_name").alias("kind")))
 
 
 # --- searches -------------------------------------------------------------------------------------------------------------
@@ -222,30 +215,37 @@ def judged_prefix(spark, sf_dir):
 @query(
     f"""WITH {_NEAR}, p AS (SELECT query_id, id, rank, d, rank <= 3 AND d <= 0.8 AS asked, length('A ' || trim(a.text[:3000], E' \\n\\t\\r') || ' B ' || trim(b.text[:3000], E' \\n\\t\\r')) AS n
   FROM near JOIN documents a ON a.doc_id = query_id JOIN documents b ON b.doc_id = id)
-SELECT query_id, id, CASE WHEN asked AND n % 3 <> 0 THEN CASE n % 3 WHEN 1 THEN 'DUPLICATE' ELSE 'RELATED' END END AS verdict, CASE WHEN asked AND n % 3 <> 0 THEN 'of ' || n END AS justification,
-  CASE WHEN asked AND n % 3 <> 0 THEN n % 3 = 2 END AS judge_truncated, asked AND n % 3 = 0 AS failed FROM p"""
+SELECT query_id, id, CASE WHEN asked AND n % 6 <> 0 THEN CASE n % 3 WHEN 1 THEN 'DUPLICATE' WHEN 2 THEN 'RELATED' ELSE 'VARIANT' END END AS verdict,
+  CASE WHEN asked AND n % 6 <> 0 THEN CASE WHEN n % 3 = 0 THEN 'warmer of ' ELSE 'of ' END || n END AS justification,
+  CASE WHEN asked AND n % 6 <> 0 THEN n % 3 = 2 END AS judge_truncated, asked AND n % 6 = 0 AS failed FROM p"""
 )
 def judge_verdicts(spark, sf_dir):
-    """A model that tells by the prompt's length: a verdict, a verdict of a cut-off answer, or a cut-off answer without one, which is no use."""
+    """A model that tells by the prompt's length: a verdict, a verdict of a cut-off answer, or a cut-off answer without one, which is no use.
+
+    Every second one of the last kind has a verdict at the second, warmer attempt; the others fail.
+    """
 
     def model(prompt: str, temperature: float) -> build.Completion:
         n = len(prompt)
-        return build.Completion("<BEGIN>VERD" if n % 3 == 0 else f"<BEGIN>VERDICT: {('duplicate', 'related')[n % 3 - 1]} of {n}", n % 3 != 1)
+        if n % 3 == 0:
+            return build.Completion(f"<BEGIN>VERDICT: variant warmer of {n}") if n % 6 and temperature > 0 else build.Completion("<BEGIN>VERD", True)
+        return build.Completion(f"<BEGIN>VERDICT: {('duplicate', 'related')[n % 3 - 1]} of {n}", n % 3 != 1)
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     near = _near(spark, sf_dir)
     first = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("src"))
     pairs = near.join(first, "query_id").join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("other_src")), "id")
-    out = build.judge(pairs, "A {first} B {second}", model, attempts=1, weak=0.8)
+    out = build.judge(pairs, "A {first} B {second}", model, attempts=2, weak=0.8, sleep=lambda _: None)
     return out.select("query_id", "id", "verdict", "justification", "judge_truncated", F.col("judge_error").isNotNull().alias("failed"))
 
 
-@query(f"""WITH {_TIERED}, shown AS (SELECT query_id, id, tier FROM tiered WHERE tier IN ('near-exact', 'possible'))
-SELECT query_id, id, tier, CASE WHEN bool_or(tier = 'near-exact') OVER (PARTITION BY query_id) THEN 'near-exact' ELSE 'possible' END AS best_tier FROM shown""")
+@query(f"""WITH {_TIERED}, shown AS (SELECT query_id, id, tier, text FROM tiered JOIN documents ON id = doc_id WHERE tier IN ('near-exact', 'possible'))
+SELECT query_id, id, tier, CASE WHEN bool_or(tier = 'near-exact') OVER (PARTITION BY query_id) THEN 'near-exact' ELSE 'possible' END AS best_tier, left(text, 600) AS src FROM shown""")
 def reported_view(spark, sf_dir):
-    """A view of two tiers: items without a candidate are gone, best tiers are those of the view."""
-    rows = _tiered(spark, sf_dir).drop("best_tier").withColumn("src", F.lit("x"))
-    return duplicates.reported(rows, tiers=("near-exact", "possible")).select("query_id", "id", "tier", "best_tier")
+    """A view of two tiers: items without a candidate are gone, best tiers are those of the view, sources are cut."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("src"))
+    rows = _tiered(spark, sf_dir).drop("best_tier").join(docs, "id")
+    return duplicates.reported(rows, tiers=("near-exact", "possible")).select("query_id", "id", "tier", "best_tier", "src")
 
 
 @query(f"""WITH {_TIERED}, t AS (SELECT query_id, count(*) AS candidates, string_agg(id::VARCHAR || ':' || tier, ',' ORDER BY rank) AS listed FROM tiered WHERE tier IS NOT NULL GROUP BY query_id) SELECT * FROM t""")
@@ -265,12 +265,10 @@ def duplicate_evidence(spark, sf_dir):
 @query(f"""WITH {_NEAR}, s AS (SELECT query_id, rank, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d + CASE WHEN id = query_id AND id % 100 = 0 THEN 1.0 ELSE 0 END, id) AS rank FROM pairs) WHERE id = query_id)
 SELECT query_id, rank::INTEGER AS self_rank FROM s WHERE query_id % 100 = 0 AND rank <> 1 ORDER BY query_id LIMIT 20""")
 def first_self_failures(spark, sf_dir):
-    """Every second query's own distance is raised by 1, so that it fails unless it is first still."""
+    """Every second query's own distance is raised by 1, so that it fails unless it is first still; its place is counted, not read off a full ranking."""
     corpus = _corpus(spark, sf_dir)
-    every = search.knn_join(_queries(corpus), corpus, corpus.count()).drop("rank")
-    own = (F.col("id") == F.col("query_id")) & (F.col("id") % 100 == 0)
-    moved = search.ranked(every.withColumn("distance", F.round("distance", 9) + F.when(own, 1.0).otherwise(0.0)))
-    selfs = duplicates.self_hits(moved, 10**9)
+    raised = _queries(corpus).where("query_id % 100 = 0").select("query_id", "vector", F.col("query_id").alias("own"), F.lit(1.0).alias("distance"))
+    selfs = search.places(raised, corpus).select("query_id", F.col("rank").alias("self_rank"), F.lit(1.0).alias("self_distance"))
     return duplicates.first_failures(selfs).select("query_id", "self_rank")
 
 
@@ -379,21 +377,23 @@ def all_numbered_lines(spark, sf_dir):
 # --- stores, sessions, checks ---------------------------------------------------------------------------------------------
 
 
-@query("SELECT source, lang, 'said of ' || source || ' ' || lang AS text, length(source || ' ' || lang) % 2 = 0 AS truncated FROM (SELECT DISTINCT source, lang FROM documents) WHERE source <> 'src3'")
+@query("SELECT doc_id, 'said of ' || n AS text, n % 2 = 0 AS truncated FROM (SELECT doc_id, source, length(source || ' ' || text) AS n FROM documents) WHERE source <> 'src3'")
 def described_through_store(spark, sf_dir):
-    """Each prompt is asked once, failures aren't kept; the second pass finds all but these in the store."""
+    """Whole texts described by a chat service: each prompt is asked once, failures aren't kept; the second pass finds all but these in the store."""
 
-    def model(prompt: str, temperature: float) -> build.Completion:
+    def service(url: str, headers: dict, body: dict) -> tuple[int, dict]:
+        prompt = body["messages"][0]["content"]
         if prompt.startswith("src3 "):
             raise OSError("no answer")
-        return build.Completion(f"said of {prompt}", len(prompt) % 2 == 0)
+        return 200, {"choices": [{"message": {"content": f"said of {len(prompt)}"}, "finish_reason": "stop" if len(prompt) % 2 else "length"}]}
 
-    folder = os.path.join(_folder(spark), "store")
-    prompt = F.concat_ws(" ", "source", "lang")
-    wanted = _table(spark, sf_dir, "documents").select("source", "lang", prompt.alias("prompt"), build.call_key(prompt, "m", "b").alias("key")).distinct()
+    folder = shared_folder(spark, "store")
+    prompt = F.concat_ws(" ", "source", "text")
+    wanted = _table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"), build.call_key(prompt, "m", "b").alias("key"))
+    model = build.generator(service, "http://x/", "m", sleep=lambda _: None)
     for _ in range(2):
-        out = build.through_store(wanted, f"file://{folder}", lambda m: build.describe(m, model, attempts=1), F.col("status") != "failed")
-    return out.select("source", "lang", "text", "truncated")
+        out = build.through_store(wanted, folder, lambda m: build.describe(m, model, attempts=1), F.col("status") != "failed")
+    return out.select("doc_id", "text", "truncated")
 
 
 @query("SELECT count(*) AS processed, 0::BIGINT AS reused, count(*) FILTER (WHERE user_id % 5 <> 0) AS generated, count(*) FILTER (WHERE user_id % 5 = 1) AS truncated, count(*) FILTER (WHERE user_id % 5 = 0) AS failed, round(count(*) / 8.0, 6) AS rate, round((2000000 - count(*)) / (count(*) / 8.0), 6) AS seconds_left FROM events")
@@ -403,21 +403,26 @@ def build_progress(spark, sf_dir):
     return build.progress(statuses, 8.0, 2_000_000).select("processed", "reused", "generated", "truncated", "failed", _r6("rate"), _r6("seconds_left"))
 
 
-@query("SELECT source, lang, [length(source || lang), length(replace(source || lang, 's', ''))]::FLOAT[] AS vector FROM (SELECT DISTINCT source, lang FROM documents)")
+@query("SELECT doc_id, [length(left(text, 8000)), length(replace(left(text, 8000), 's', ''))]::FLOAT[] AS vector FROM documents")
 def embedded_through_store(spark, sf_dir):
-    """A model behind an indexed service that answers in reverse order and fails at first, in batches."""
+    """Whole texts, cut where the embedder's input ends, by an indexed service that refuses each batch once for now and then answers in reverse order."""
+    refused: set[tuple[str, ...]] = set()
 
     def service(url: str, headers: dict, body: dict) -> tuple[int, dict]:
         if body["model"] != "m" or not url.endswith("/embeddings"):
             return 404, {}
+        if tuple(body["input"]) not in refused:
+            refused.add(tuple(body["input"]))
+            return 429, {}
+        refused.discard(tuple(body["input"]))
         data = [{"index": i, "embedding": [float(len(t)), float(len(t.replace("s", "")))]} for i, t in enumerate(body["input"])]
         return 200, {"data": data[::-1]}
 
-    folder = os.path.join(_folder(spark), "vectors")
-    text = F.concat("source", "lang")
-    wanted = _table(spark, sf_dir, "documents").select("source", "lang", text.alias("text"), build.call_key(text, "m").alias("key")).distinct()
-    out = build.through_store(wanted, f"file://{folder}", lambda m: build.embed(m, build.embedder(service, "http://x/", "m"), 7))
-    return out.select("source", "lang", "vector")
+    text = F.coalesce("text", F.lit(""))
+    wanted = _table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), build.call_key(text, "m").alias("key"))
+    model = build.embedder(service, "http://x/", "m", sleep=lambda _: None)
+    out = build.through_store(wanted, shared_folder(spark, "store"), lambda m: build.embed(m, model, 7))
+    return out.select("doc_id", "vector")
 
 
 _TREE = """t AS (SELECT 'c' || c_custkey AS session, CASE WHEN c_custkey > 0 THEN 'c' || (c_custkey - 1) // 4 END AS parent, c_mktsegment AS grp, c_custkey AS k FROM customer),
@@ -436,17 +441,20 @@ def selected_sessions(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT 'v' || o_orderkey || '-' || o_custkey % 5 AS tag, o_orderstatus = 'F' AS draft, o_orderkey % 7 = 0 AS pre, o_orderkey AS published, sha256(o_orderkey::VARCHAR) AS revision FROM orders),
-a AS (SELECT 'v' || l_orderkey || '-' || o_custkey % 5 AS tag, bool_or(l_returnflag = 'R') AS summed, sum(l_quantity::BIGINT)::BIGINT AS size FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
-SELECT tag, revision, 0 AS distance, regexp_extract(tag, '^v(.*)-', 1) AS base, regexp_extract(tag, '-([0-9]+)$', 1)::INTEGER AS number, size FROM r JOIN a USING (tag) WHERE NOT draft AND NOT pre AND summed""")
+a AS (SELECT 'v' || l_orderkey || '-' || o_custkey % 5 AS tag, bool_or(l_returnflag = 'R') AS summed, sum(l_quantity::BIGINT)::BIGINT AS size FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+good AS (SELECT tag, revision, size, published FROM r JOIN a USING (tag) WHERE NOT draft AND NOT pre AND summed),
+own AS (SELECT tag, revision, 0 AS distance, size FROM good UNION ALL SELECT tag, sha256('later ' || published), CASE WHEN published % 2 = 0 THEN 0 ELSE (published % 5)::INTEGER END, size FROM good WHERE published % 3 = 0)
+SELECT tag, revision, distance, regexp_extract(tag, '^v(.*)-', 1) AS base, regexp_extract(tag, '-([0-9]+)$', 1)::INTEGER AS number, size FROM own""")
 def covered_releases(spark, sf_dir):
-    """Orders as releases, their items as assets, flag R as the checksums: final ones, their own revisions, and their tags' parts."""
+    """Orders as releases, their items as assets, flag R as the checksums: final ones, their own revisions and those listed for them, and their tags' parts."""
     orders = _table(spark, sf_dir, "orders")
     tag = F.concat(F.lit("v"), F.col("o_orderkey").cast("string"), F.lit("-"), (F.col("o_custkey") % 5).cast("string"))
     own = orders.select(tag.alias("tag"), (F.col("o_orderstatus") == "F").alias("draft"), (F.col("o_orderkey") % 7 == 0).alias("prerelease"), F.col("o_orderkey").alias("published"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("revision"))
     items = _table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     assets = items.select(tag.alias("tag"), F.when(F.col("l_returnflag") == "R", "SHA256SUMS").otherwise("part").alias("name"), F.col("l_quantity").cast("long").alias("size"))
     good = releases.usable(own, assets)
-    listed = spark.createDataFrame([("x", "no such tag", 3)], "revision string, tag string, distance int")
+    i = F.col("o_orderkey")  # every third order lists a later revision, with a distance or without; those of orders that aren't final don't count
+    listed = orders.where(i % 3 == 0).select(F.sha2(F.concat(F.lit("later "), i.cast("string")), 256).alias("revision"), tag.alias("tag"), F.when(i % 2 != 0, (i % 5).cast("int")).alias("distance"))
     base, number = T.release_tag(F.col("tag"), "v")
     return releases.covered(good, listed).join(good.select("tag", "size"), "tag").select("tag", "revision", "distance", base.alias("base"), number.alias("number"), "size")
 
@@ -489,18 +497,22 @@ def corpus_checks(spark, sf_dir):
 
 @query("""WITH n AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a/b' WHEN 1 THEN '../b' WHEN 2 THEN 'a//b' WHEN 3 THEN '/a' ELSE 'a$b' END || page_id AS path FROM pages) SELECT page_id, page_id % 5 = 0 AS safe FROM n""")
 def safe_paths(spark, sf_dir):
-    """Paths of pages as names of files; as many as there are files in a manifest."""
-    kinds = ("a/b", "../b", "a//b", "/a", "a$b")
-    rows = [(r.page_id, validate.safe_path(f"{kinds[r.page_id % 5]}{r.page_id}")) for r in _table(spark, sf_dir, "pages").select("page_id").toLocalIterator()]
-    return spark.createDataFrame(rows, "page_id long, safe boolean")
+    """Paths of pages as names of files."""
+    i = F.col("page_id")
+    start = F.when(i % 5 == 0, "a/b").when(i % 5 == 1, "../b").when(i % 5 == 2, "a//b").when(i % 5 == 3, "/a").otherwise("a$b")
+    return _table(spark, sf_dir, "pages").select("page_id", validate.is_safe_path(F.concat(start, i.cast("string"))).alias("safe"))
 
 
-@query("SELECT customer AS id, CASE WHEN customer % 2 = 0 THEN 1 END AS rest FROM (SELECT c_custkey AS customer FROM customer)")
+@query("SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN ['rest'] ELSE ['props', 'rest'] END AS names, CASE WHEN event_id % 3 = 0 THEN ['user'] ELSE [] END AS deep, props AS kept FROM events")
 def redacted_settings(spark, sf_dir):
-    """Settings without their secrets, at any depth."""
-    rows = [(r.c_custkey, report.public_values({"token": "x", "rest": 1, "deep": [{"My_API_KEY": 2}]} if r.c_custkey % 2 == 0 else {"Authorization": "y", "db_password": 1})) for r in _table(spark, sf_dir, "customer").select("c_custkey").toLocalIterator()]
-    assert all(json.dumps(v) in ('{"rest": 1, "deep": [{}]}', "{}") for _, v in rows)
-    return spark.createDataFrame([(k, v.get("rest")) for k, v in rows], "id long, rest int")
+    """Events as settings, without their secrets at any depth."""
+    i, props = F.col("event_id"), F.col("props")
+    inner = F.array(F.create_map(F.when(i % 3 == 0, "user").otherwise("My_API_KEY"), props))
+    top = F.create_map(F.when(i % 2 == 0, "Authorization").otherwise("props"), inner, F.lit("rest"), inner, F.lit("db_password"), inner)
+    rows = _table(spark, sf_dir, "events").select(i.alias("id"), F.struct(top.alias("settings"), props.alias("token"), props.alias("kept")).alias("all"))
+    public = rows.select("id", report.redacted(F.col("all"), rows.schema["all"].dataType).alias("all"))
+    assert public.schema["all"].dataType.fieldNames() == ["settings", "kept"]
+    return public.select("id", F.array_sort(F.map_keys("all.settings")).alias("names"), F.map_keys(F.col("all.settings")["rest"][0]).alias("deep"), "all.kept")
 
 
 ORACLES["adler32_checksums"] = """WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents)

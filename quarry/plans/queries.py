@@ -234,11 +234,11 @@ def base_name_sizes(spark, sf_dir):
 @query(f"""WITH {_NEAR}, truth AS (SELECT a.id, b.id AS other FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id AND a.id % 50 = 0)
 SELECT count(DISTINCT t.id) AS with_truth, count(DISTINCT n.query_id) AS recovered, round(count(DISTINCT n.query_id) / count(DISTINCT t.id), 6) AS recall FROM truth t LEFT JOIN near n ON n.query_id = t.id AND n.id = t.other""")
 def truth_recall(spark, sf_dir):
-    """How many queries find a vector with their own label."""
+    """How many queries find a vector with their own label; labels are counted, their pairs are never made."""
     corpus = _corpus(spark, sf_dir)
-    a, b = corpus.where("id % 50 = 0").alias("a"), corpus.alias("b")
-    truth = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
-    return duplicates.recall(truth, _near(spark, sf_dir), _queries(corpus)).select("with_truth", "recovered", _r6("recall"))
+    sizes = corpus.groupBy(F.col("label").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    found = duplicates.recall_by_group(_queries(corpus).select("query_id", F.col("query_label").alias("group")), sizes, _near(spark, sf_dir).select("query_id", "id", F.col("label").alias("group")))
+    return found.select("with_truth", "recovered", _r6("recall"))
 
 
 @query("SELECT 'C' || o_custkey AS entry, strftime(max(o_orderdate), '%Y-%m-%d') AS date FROM orders GROUP BY o_custkey ORDER BY max(strftime(o_orderdate, '%Y-%m-%d')) DESC, entry DESC LIMIT 10")
@@ -314,13 +314,14 @@ def prompt_template(spark, sf_dir):
     return docs.select("doc_id", F.sha2(text, 256).alias("prompt"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'x<BEGIN>VERDICT: duplicate as ' || role || '<END>z' WHEN 1 THEN 'VERDICT : Related. ' || role WHEN 2 THEN 'verdict: none ' || role ELSE 'VERDICT: what ' || role END AS raw FROM conversations),
+@query("""WITH t AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN 'x<BEGIN>VERDICT: duplicate as ' || text || '<END>z' WHEN 1 THEN 'VERDICT : Related. ' || text WHEN 2 THEN 'verdict: none ' || text ELSE 'VERDICT: what ' || text END AS raw FROM conversations),
 m AS (SELECT *, CASE WHEN contains(raw, '<BEGIN>') THEN split_part(split_part(raw, '<BEGIN>', 2), '<END>', 1) ELSE raw END AS said FROM t)
 SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'DUPLICATE' WHEN 1 THEN 'RELATED' ELSE 'UNKNOWN' END AS verdict,
-  CASE WHEN turn % 4 IN (0, 1) THEN trim(regexp_replace(said, '^VERDICT\\s*:\\s*[A-Za-z]+', '')) ELSE said END AS reason FROM m""")
+  left(CASE WHEN turn % 4 IN (0, 1) THEN trim(regexp_replace(said, '^VERDICT\\s*:\\s*[A-Za-z]+', ''), E' \\n\\t\\r') ELSE trim(said, E' \\n\\t\\r') END, 300) AS reason FROM m""")
 def verdict_parse(spark, sf_dir):
-    role = F.col("role")
-    raw = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("x<BEGIN>VERDICT: duplicate as "), role, F.lit("<END>z"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("VERDICT : Related. "), role)).when(F.col("turn") % 4 == 2, F.concat(F.lit("verdict: none "), role)).otherwise(F.concat(F.lit("VERDICT: what "), role))
+    """Conversations' texts as what a judge says for its verdict, marked, plain, misspelt and unknown."""
+    i, text = F.col("turn") % 4, F.col("text")
+    raw = F.when(i == 0, F.concat(F.lit("x<BEGIN>VERDICT: duplicate as "), text, F.lit("<END>z"))).when(i == 1, F.concat(F.lit("VERDICT : Related. "), text)).when(i == 2, F.concat(F.lit("verdict: none "), text)).otherwise(F.concat(F.lit("VERDICT: what "), text))
     word, reason = T.verdict(raw)
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", word.alias("verdict"), reason.alias("reason"))
 

@@ -13,7 +13,9 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,17 +61,24 @@ def prompt_of(prompts: dict[str, str], key: str, kind: str) -> str:
     return prompts.get(f"{key}_{kind}", prompts.get(key, ""))
 
 
+def prompts_for(prompts: DataFrame, key: str, kinds: DataFrame) -> DataFrame:
+    """(kind, prompt) of ``kinds(kind)`` by ``prompts(name, text)``: a kind's own prompt, else the common one, else an empty one."""
+    own = prompts.select(F.col("name").alias("own"), F.col("text").alias("mine"))
+    common = prompts.where(F.col("name") == key).agg(F.max("text").alias("common"))
+    found = kinds.select("kind").join(own, F.col("own") == F.concat(F.lit(f"{key}_"), F.col("kind")), "left").join(F.broadcast(common))
+    return found.select("kind", F.coalesce("mine", "common", F.lit("")).alias("prompt"))
+
+
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """(entry, title, abstract, date) of the TOML files of a folder, a small table; missing keys are empty."""
+    """(entry, title, abstract, date) of the TOML files of a folder, parsed by tasks; missing keys are empty."""
     import tomllib
 
-    rows = []
-    for n in sorted(os.listdir(folder)):
-        if n.endswith(".toml"):
-            with open(os.path.join(folder, n), "rb") as f:
-                t = tomllib.load(f)
-            rows.append((n[:-5], str(t.get("title", "")), str(t.get("abstract", "")), str(t.get("date", ""))))
-    return spark.createDataFrame(rows, "entry string, title string, abstract string, date string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tomllib.loads(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"entry": batch.column(0), **{k: pa.array([str(t.get(k, "")) for t in found], pa.string()) for k in ("title", "abstract", "date")}})
+
+    return ranges.read_files(spark, folder, ".toml").mapInArrow(run, "entry string, title string, abstract string, date string")
 
 
 def read_benchmark_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,20 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 
 
 def local_path(at: str) -> str | None:
-    parts = urlparse(at)
-    return unquote(parts.path) if parts.scheme in ("", "file") else None
+    """The path of a file URI or a plain path; None for other stores. As in Hadoop's paths, nothing in it is an escape."""
+    if not re.match(r"[a-zA-Z][a-zA-Z0-9+.\-]*:", at):
+        return at
+    m = re.match(r"file:(?://[^/]*)?(/.*)$", at, re.S)
+    return m[1] if m else None
 
 
 def _store(at: str) -> tuple[pafs.FileSystem, str]:
     path = local_path(at)
-    return (pafs.LocalFileSystem(), path) if path is not None else pafs.FileSystem.from_uri(at)
+    if path is not None:
+        return pafs.LocalFileSystem(), path
+    root, rest = re.match(r"([^:]+://[^/]*)/*(.*)$", at, re.S).groups()
+    store, base = pafs.FileSystem.from_uri(f"{root}/")
+    return store, f"{base.rstrip('/')}/{rest}"
 
 
 def opened(at: str) -> pa.NativeFile:
@@ -137,6 +144,30 @@ def copied(spark: SparkSession, source: str, target: str, files: list[tuple[str,
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write ``rows(name, text)`` as a file each, by tasks; returns how many."""
+    base = uri(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                temp = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with create(temp) as out:
+                    out.write(text.encode())
+                store, path = _store(temp)
+                store.move(path, _store(f"{base}/{name}")[1])
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return rows.select("name", "text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """(name, text): the files of a folder that end in ``suffix``, whole, by Spark's reader; the name is without it."""
+    rows = spark.read.option("pathGlobFilter", f"*{suffix}").text(uri(folder), wholetext=True)
+    name = F.url_decode(F.replace(F.element_at(F.split("_metadata.file_path", "/"), -1), F.lit("+"), F.lit("%2B")))  # paths stand there as URIs
+    return rows.select(F.left(name, F.char_length(name) - len(suffix)).alias("name"), F.col("value").alias("text"))
+
+
 # --- records and vectors --------------------------------------------------------------------------------------------------
 
 

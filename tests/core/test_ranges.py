@@ -131,3 +131,11 @@ def test_safe_paths_by_one_pattern(spark):
     paths = ["a", "a/b", "/a", "a//b", "a/", "a/../b", "..", ".", "a/.", ".a", "a.b/..c", "a\\b", "~a", "a$b", "", "a\0b", "a b", "ä/ö", "a/..", "./a", "a\nb"]
     rows = spark.createDataFrame([(p,) for p in paths] + [(None,)], "p string").select("p", is_safe_path(F.col("p")).alias("ok")).collect()
     assert {r.p: r.ok for r in rows} == {p: safe_path(p) for p in paths} | {None: False}
+
+
+def test_small_texts_by_tasks(spark, tmp_path):
+    names = ["a.txt", "b c.txt", "d+e.txt", "f%20g.txt", "ä.txt", "x.toml"]
+    rows = spark.createDataFrame([(n, f"line of {n}\nand\r\nmore") for n in names], "name string, text string")
+    assert R.write_files(rows, str(tmp_path)) == 6 and sorted(os.listdir(tmp_path)) == sorted(names)
+    got = {r.name: r.text for r in R.read_files(spark, str(tmp_path), ".txt").collect()}
+    assert got == {n.removesuffix(".txt"): f"line of {n}\nand\r\nmore" for n in names[:-1]}

@@ -47,6 +47,8 @@ class Files:
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.folder = uri(folder).rstrip("/")
         self.store = self._path("").getFileSystem(self.conf)
+        if self.store.getScheme() == "file":
+            self.store = self.store.getRaw()  # without hidden checksums beside files that others may edit
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
@@ -55,15 +57,18 @@ class Files:
         return self.store.exists(self._path(name))
 
     def names(self, name: str = "") -> list[str]:
-        """The entries of a folder; none if there is no such folder."""
-        return sorted(s.getPath().getName() for s in self.store.listStatus(self._path(name))) if self.exists(name) else []
+        """The entries of a folder but hidden ones; none if there is no such folder."""
+        found = (s.getPath().getName() for s in self.store.listStatus(self._path(name))) if self.exists(name) else ()
+        return sorted(n for n in found if not n.startswith("."))
 
     def walk(self, name: str = "") -> list[tuple[str, int]]:
-        """(path within the folder, bytes) of all files below."""
+        """(path within the folder, bytes) of all files below but hidden ones."""
         out, todo = [], [name]
         while todo:
             at = todo.pop()
             for s in self.store.listStatus(self._path(at)):
+                if s.getPath().getName().startswith("."):
+                    continue
                 inner = f"{at}/{s.getPath().getName()}".lstrip("/")
                 if s.isDirectory():
                     todo.append(inner)

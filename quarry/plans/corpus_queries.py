@@ -19,6 +19,7 @@ from ..operators import build, duplicates, evaluate, releases, report, search, v
 from ..operators.search import SearchFilter
 from ..sources import interchange, ranges
 from ..sources.shared import Files, shared_folder
+from ..streaming.live import Live
 from .catalog import ORACLES, query
 from .queries import _NEAR, _ORDER, _STOP, _TIERED, _V, _corpus, _near, _queries, _r6, _table, _tiered, _vector
 
@@ -62,6 +63,26 @@ def interchange_round_trip(spark, sf_dir):
     return out
 
 
+@query("SELECT count(*) AS held, count(*) FILTER (WHERE vec_id % 2 = 0) AS now, 0::BIGINT AS pruned_while_held, 1::BIGINT AS pruned_after, 'v' || min(vec_id) FILTER (WHERE vec_id % 2 = 0) AS point FROM embeddings")
+def live_generation(spark, sf_dir):
+    """A reader holds a generation while another is published and old ones are pruned; then it is gone. The new one is read at one point."""
+    rows = _corpus(spark, sf_dir).select(F.col("id").alias("ord"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), F.lit("all").alias("kind"), F.lit("source").alias("src"), "entry", F.lit("said").alias("llm_description"), F.lit("said").alias("embedding_input"), "vector")
+    spec = {"all": {"dimension": 64, "metric": "cosine", "recipe": {"model": "m", "add_metadata": False, "prompts": {"embed": "{doc_src}"}}}}
+    base = _folder(spark)
+    first = rows.agg(F.min(F.when(F.col("ord") % 2 == 0, F.col("ord")))).first()[0]
+    for name, some in (("a", rows), ("b", rows.where("ord % 2 = 0"))):
+        interchange.write_interchange({"all": some}, spec, os.path.join(base, name), layout="parts")
+    index = os.path.join(base, "index")
+    interchange.import_interchange(spark, os.path.join(base, "a"), index)
+    live = Live(spark, index)
+    with live.held("all") as corpus:
+        interchange.import_interchange(spark, os.path.join(base, "b"), index)
+        kept, held = len(interchange.prune(index)), corpus.count()
+    gone = len(interchange.prune(index))
+    now = live.corpus("all")
+    return spark.createDataFrame([(held, now.count(), kept, gone, interchange.point(now, f"v{first}").first().id)], "held long, now long, pruned_while_held long, pruned_after long, point string")
+
+
 @query("SELECT 'vectors.f32' AS file, (256 * count(*) // 2) // 65536 AS chunk, 'changed' AS fault FROM embeddings")
 def spoilt_chunk(spark, sf_dir):
     """One byte amid all vectors is changed after their chunks were digested; tasks find the chunk."""

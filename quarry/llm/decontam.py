@@ -133,7 +133,8 @@ def find_contained(documents: DataFrame, benchmark: DataFrame, k: int = 5, perce
 
     What counts are the item's distinct shingles of ``k`` words (of all its words if it has fewer), words being lowered runs of letters
     and digits. Items without words match nothing. Null and empty texts hold nothing; repeated ids give a
-    row for each pair of rows; either table may be empty; other columns are not read. No shuffle.
+    row for each pair of rows; either table may be empty; texts may be of any length, each is read whole within one batch; other columns are
+    not read, whatever their names. No shuffle.
     """
     spark = documents.sparkSession
     schema = "item_id long, doc_id long, n_shingles long, n_found long, containment double"

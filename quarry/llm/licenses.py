@@ -368,7 +368,8 @@ def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, licenses, sentences): for each row, the licences that its whole text names or holds, and the known sentences' identifiers.
 
     Both are arrays in the order of the text, empty for null and empty texts and where nothing is known; a text can
-    have sentences and no licence. Repeated and null ids give a row each; other columns are not read; the table may be empty.
+    have sentences and no licence. Repeated and null ids give a row each; other columns are not read, whatever their names; the table may
+    be empty; a text may be as long as a row can be and is read to its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,7 +123,7 @@ def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, ke
 
     A line's key is the line without ASCII white space at both ends and with A-Z lowered. Keys of at least ``min_chars``
     code points found under at least ``min_docs`` ids lose their lines: all of them, or all but the first in order of
-    ``doc_id`` and position (``keep='first'``). With ``copies='one'``, rows with equal texts count as one document and keep or
+    ``doc_id``, null first, then of the texts' hashes where rows share an id, then of position (``keep='first'``). With ``copies='one'``, rows with equal texts count as one document and keep or
     lose the same lines. Null and empty texts are one empty line and stay, or become, an empty text. Rows that share an id are one
     document when keys are counted, yet each row loses its own lines and counts them; null ids count as one document. Repeated rows stay
     repeated. Other columns are carried along, whatever their names, except that ``n_lines`` and ``n_dropped`` are replaced if

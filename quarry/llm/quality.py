@@ -153,7 +153,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int
     holds ``held`` features at a time, or those of one id.
 
     Labels that are null or other than 0 and 1 are left out; so are labels without a document. Where an id has both labels, 1
-    counts. Rows that share an id are all learned from. Other columns are not read.
+    counts. Rows that share an id are all learned from. Null and empty texts have no features; very long ones are read whole, in parts.
+    Without labelled documents, as with an empty table, every score is 0.5. Other columns are not read.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("label"))
     drawn = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)

@@ -167,7 +167,7 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str, end_id
 
     ``end_id`` is appended to each document. Null texts are empty and so hold the end id alone; rows with a null id are left out;
     repeated ids give a document for each row, in the order of a hash of their texts. Other columns are not read. Memory is bounded
-    by a batch of texts: ids go to the file as they are made. ``encode_special_tokens`` as for :class:`Encoder`.
+    by a batch of texts, or one longer text: ids go to the file as they are made. An empty table has an empty manifest and no files. ``encode_special_tokens`` as for :class:`Encoder`.
     """
     spark = documents.sparkSession
 
@@ -224,7 +224,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
 
 
 def token_files(documents: DataFrame, vocabulary: str, end_id: int | None = 0, folder: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
-    """Write the files (in a new shared folder unless one is named) and read them back."""
+    """Write the files (in a new shared folder unless one is named) and read them back: a row for each row with an id, none for an empty table."""
     spark = documents.sparkSession
     folder = folder or shared_folder(spark)
     write_token_files(documents, folder, vocabulary, end_id, encode_special_tokens)

@@ -70,7 +70,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, level:
 
     The index has a row for each page: page_id, url, payload_digest, file, offset, length. Of pages with equal payloads of
     at least ``min_bytes`` bytes the largest page_id keeps the payload; with repeated page ids every row of that id does.
-    Null html is an empty payload, a null url an empty one; rows with a null page_id are left out.
+    Null html is an empty payload, a null url an empty one; rows with a null page_id are left out. A payload may be as long as a row can
+    be; an empty table has an empty index; other columns are not read, whatever their names.
     """
     digested = with_digests(pages.where("page_id IS NOT NULL"))
     # what pages with one payload have in common is a maximum: partial sums leave a row for each payload and task
@@ -181,6 +182,7 @@ def resolved(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, min_bytes: int = 1000, folder: str | None = None) -> DataFrame:
     """Write the archives (in a new shared folder unless one is named) and read every record back, revisits by the responses they refer to.
 
-    A row for each row of ``pages`` with a page_id, repeated ids included; null html is an empty payload.
+    A row for each row of ``pages`` with a page_id, repeated ids included; null html is an empty payload; nothing for an empty table.
+    Other columns are not read, whatever their names.
     """
     return resolved(written(read_records(write_archives(pages, folder or shared_folder(pages.sparkSession), min_bytes))))

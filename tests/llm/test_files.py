@@ -14,7 +14,7 @@ from quarry.llm.files import create, mapped
 from quarry.llm.queries import op7_token_files
 from quarry.llm.tokenfile import Encoder, read_token_files, write_token_files
 from quarry.llm import warc
-from quarry.llm.warc import coalesced, read_records, write_archives
+from quarry.llm.warc import coalesced, read_records, round_trip, write_archives
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ENCODER = Encoder(PATH)
@@ -118,3 +118,14 @@ def test_warc_repeated_ids_and_hot_payloads(spark, monkeypatch):
         monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
         got = warc.round_trip(df).collect()
         assert sorted(((r.page_id, r.url, r.payload_bytes, r.refers_to) for r in got), key=str) == want
+
+
+def test_warc_with_columns_named_as_its_own(spark):
+    big = "z" * 3_000_000
+    names = ["keeper", "n", "payload_digest", "file", "offset", "length", "record_type", "refers_to"]
+    rows = [(1, "u", big, *"abcdefgh"), (2, "u", big, *"abcdefgh"), (3, None, None, *[None] * 8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"{x} string" for x in names))
+    got = {x.page_id: (x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in round_trip(df, min_bytes=1000).collect()}
+    digest = hashlib.sha1(big.encode()).hexdigest()
+    assert got == {1: (3_000_000, digest, "revisit", 2), 2: (3_000_000, digest, "response", None), 3: (0, hashlib.sha1(b"").hexdigest(), "response", None)}
+    assert round_trip(df.limit(0)).count() == 0

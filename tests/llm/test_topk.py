@@ -62,3 +62,15 @@ def test_search_block_bounds():
     a, b, s, _ = topk.search_block(queries, -1 - np.arange(20), least, rows, ids, basis, 4, 10)
     assert {(int(x), int(y)) for x, y in zip(a, b, strict=True)} == {(i, j) for i in range(20) for j in range(500) if scores[i, j] >= least[i]}
     assert all(scores[x, y] == z for x, y, z in zip(a, b, s, strict=True)) and math.isfinite(least.sum())
+
+
+def test_columns_named_as_its_own(spark):
+    names = ["length2", "asks", "top", "place", "score", "rank"]
+    df = spark.createDataFrame([(i, [i, -i, 1], *[i] * 6) for i in range(30)], "vec_id long, v array<long>, " + ", ".join(f"{x} int" for x in names))
+    ask = F.col("asks") % 10 == 0
+    told = lambda d: sorted((x.query_id, x.rank, x.vec_id, x.score) for x in top_inner_products(d, ask, 3).collect())
+    want = []
+    for q in (0, 10, 20):
+        best = sorted((-(2 * q * c + 1), c) for c in range(30) if c != q)[:3]
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    assert told(df) == want

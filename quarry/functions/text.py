@@ -39,6 +39,7 @@ def strip_command(source: Column, commands: tuple[str, ...] = COMMANDS) -> Colum
 
 def strip_name(source: Column) -> Column:
     """Without a leading ``name [attributes]:``, of which a space is left."""
+    # fixed value: how a source block writes a name and its attributes
     return F.regexp_replace(source, r"^\s*[A-Za-z_][A-Za-z0-9_'.]*\s*(?:\[[^\]]*\])?\s*:(?!:)", " ")
 
 
@@ -61,6 +62,7 @@ def mentions(text: Column, token: str, symbols: Mapping[str, str] | None = None)
     """Whether a text mentions a token: a name as a whole component, anything else as a part. ``symbols`` decode written symbols."""
     token = (symbols or {}).get(token, token)
     if all(c.isalnum() or c in "_'." for c in token):
+        # fixed values: what may stand in a name, and what may not stand beside it
         quoted = "".join(c if c.isalnum() or c == "_" else "\\" + c for c in token)
         return text.rlike(rf"(?<![\p{{L}}\p{{N}}_']){quoted}(?![\p{{L}}\p{{N}}_'])")
     return F.contains(text, F.lit(token))

@@ -37,10 +37,16 @@ BLOCK, BLOCK_TOKENS = 512, 1 << 19
 PIVOTS = 4
 #: Positions in a block of an index list.
 LIST_BLOCK = 64
-#: Documents in the sample that orders tokens by frequency. Any order gives the same links; this one only makes lists short.
+#: Documents in the sample that orders tokens by frequency, at least. Any order gives the same links; this one only makes lists short.
 ORDER_SAMPLE = 20_000
+#: The sample has so many members of a long list on average, however many documents there are: else long lists would be taken for rare tokens.
+ORDER_HITS = 10
 #: Tokens found in so many sampled documents count as frequent; at most so many are kept for the order.
 ORDER_LEAST, ORDER_MOST = 3, 500_000
+#: Lists of middle length that give more pairs a member than this tie them instead, so that the rows grow with the lists, not with their square.
+DENSE = 16
+#: Pairs of middle lists that a task gathers before it hands them on.
+PAIR_ROWS = 200_000
 #: The lists of middle length that share their smallest member go to so many tasks at most, by token.
 HUB_PARTS = 8
 
@@ -63,16 +69,20 @@ def _sets(keyed: DataFrame, k: int) -> DataFrame:
 
 
 def frequent_tokens(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens ascending, sampled count) of frequent shingles, from a sample bounded by ``ORDER_SAMPLE`` rows drawn by the hash of the id."""
+    """(tokens ascending, sampled count) of frequent shingles, from a sample drawn by the hash of the id: ``ORDER_SAMPLE`` rows, or the share of all in which long lists show.
+
+    What comes to the driver is at most ``ORDER_MOST`` pairs of numbers, as Arrow columns.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in split_batches(batches):
             yield pa.record_batch([pa.array(shingle_sets(batch, k)[1].view(np.int64))], ["token"])
 
     n = documents.count()
-    few = texts(documents).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, ORDER_SAMPLE / max(n, 1))))
-    top = few.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= ORDER_LEAST).orderBy(F.desc("count"), "token").limit(ORDER_MOST).toPandas()
-    tokens, counts = top["token"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    share = min(1.0, max(ORDER_SAMPLE / max(n, 1), ORDER_HITS / LONG_LIST))
+    few = texts(documents).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * share))
+    top = few.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= ORDER_LEAST).orderBy(F.desc("count"), "token").limit(ORDER_MOST).toArrow()
+    tokens, counts = ints(top.column("token")).view(np.uint64), ints(top.column("count"))
     order = np.argsort(tokens)
     return tokens[order], counts[order]
 
@@ -149,8 +159,19 @@ def _middle_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
     """(a, b, na, nb, shared, sure) from lists of middle length that come by their smallest member.
 
     The lists of a group of near copies come together. Their common tokens are counted for some lists at a time: pairs
-    that already share enough are tied, by a forest, and for them nothing more is counted; only for others do counts go on.
+    that already share enough are tied, by a forest, and for them nothing more is counted; only for others do counts go on. Where
+    these are more than ``DENSE`` a member, they are tied, too: a candidate more never changes the links.
     """
+    names = ["a", "b", "na", "nb", "shared", "sure"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def counted(out: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(out)
+        codes, first, back = np.unique(rows[:, :2], axis=0, return_index=True, return_inverse=True)
+        total = np.bincount(back.ravel(), rows[:, 4], len(codes)).astype(np.int64)
+        kept = np.concatenate((rows[first, :4], total[:, None]), 1)
+        return pa.record_batch([*(pa.array(kept[:, c]).cast(t) for c, t in enumerate(kinds)), pa.array(np.zeros(len(kept), bool))], names)
+
     for batch in batches:
         hubs = batch.column(0).to_numpy(zero_copy_only=False)
         one = batch.column(1)
@@ -164,9 +185,17 @@ def _middle_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
                 x = up[x]
             return x
 
-        out: list[np.ndarray] = []
         tied: list[tuple[int, int]] = []
-        at = 0
+
+        def tie(own: np.ndarray, which: np.ndarray, up=up, root=root, tied=tied) -> None:
+            for i, j in np.argwhere(which).tolist():
+                x, y = root(int(own[i])), root(int(own[j]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    tied.append((int(own[i]), int(own[j])))
+
+        out: list[np.ndarray] = []
+        gathered, at = 0, 0
         while at < len(hubs):
             # some lists of one hub whose members are at most BLOCK, or one list
             seen, to = set(docs[ends[at] : ends[at + 1]].tolist()), at + 1
@@ -187,28 +216,25 @@ def _middle_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             low, high = np.minimum.outer(n, n), np.maximum.outer(n, n)
             ok = np.triu((shared > 0) & (100 * low >= percent * high), 1)
             need = np.minimum(EXTRA + low // EXTRA_PER, -(-percent * (low + high) // (100 + percent)))
-            for i, j in np.argwhere(ok & (shared >= need)).tolist():
-                x, y = root(int(own[i])), root(int(own[j]))
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                    tied.append((int(own[i]), int(own[j])))
+            tie(own, ok & (shared >= need))
             group = np.array([root(x) for x in own.tolist()])
-            i, j = np.nonzero(ok & (group[:, None] != group[None, :]))
-            out.append(np.stack((own[i], own[j], n[i], n[j], shared[i, j]), 1))
-        names = ["a", "b", "na", "nb", "shared", "sure"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            open_ = ok & (group[:, None] != group[None, :])
+            if open_.sum() > DENSE * len(own):
+                tie(own, open_)
+                continue
+            i, j = np.nonzero(open_)
+            if len(i):
+                out.append(np.stack((own[i], own[j], n[i], n[j], shared[i, j]), 1))
+                gathered += len(i)
+            if gathered >= PAIR_ROWS:
+                yield counted(out)
+                out, gathered = [], 0
         if tied:
             t = np.array(tied)
             zero = pa.array(np.zeros(len(t), np.int32))
             yield pa.record_batch([pa.array(t[:, 0]), pa.array(t[:, 1]), zero, zero, zero, pa.array(np.ones(len(t), bool))], names)
         if out:
-            rows = np.concatenate(out)
-            codes, back, _ = np.unique(rows[:, :2], axis=0, return_inverse=True, return_counts=True) if len(rows) else (rows[:, :2], np.zeros(0, np.int64), None)
-            total = np.bincount(back.ravel(), rows[:, 4], len(codes)).astype(np.int64)
-            first = np.full(len(codes), len(rows))
-            np.minimum.at(first, back.ravel(), np.arange(len(rows)))
-            kept = np.concatenate((rows[first, :4], total[:, None]), 1) if len(codes) else rows
-            yield pa.record_batch([*(pa.array(kept[:, c]).cast(t) for c, t in enumerate(kinds)), pa.array(np.zeros(len(kept), bool))], names)
+            yield counted(out)
 
 
 def link_block(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:

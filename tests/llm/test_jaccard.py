@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import jaccard
@@ -117,3 +118,33 @@ def test_rows_that_share_ids(spark):
     assert got == [(0, 0), (0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (2, 2), (3, 1), (4, 2), (5, 5), (6, 6)]
     kept = [(i.doc_id, i.text) for i in first_of_classes(df, 4, 85).collect()]
     assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[2], rows[5], rows[7], rows[8], rows[9], rows[10], rows[11]], key=str)
+
+
+def test_order_sees_long_lists_however_many_documents(spark, monkeypatch):
+    """The sample grows with the table once a fixed one would no longer show tokens whose lists are long."""
+    monkeypatch.setattr(jaccard, "ORDER_SAMPLE", 20)
+    monkeypatch.setattr(jaccard, "LONG_LIST", 40)
+    rows = [(i, f"a b c d{i % 50}") for i in range(4000)]  # each shingle of 80 documents
+    tokens, counts = jaccard.frequent_tokens(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    assert len(tokens) == 50 and counts.min() >= 3
+
+
+def test_middle_lists_give_rows_in_proportion(monkeypatch):
+    """Near copies in lists of which each pair shares one only: pairs are at most DENSE a member, others are tied."""
+    r = random.Random(3)
+    lists = [sorted(r.sample(range(400), 40)) for _ in range(60)]
+    hub = pa.array([0] * len(lists), pa.int64())
+    one = pa.array([[{"doc": d, "n": 150} for d in x] for x in lists], pa.list_(pa.struct([("doc", pa.int64()), ("n", pa.int32())])))
+    monkeypatch.setattr(jaccard, "PAIR_ROWS", 50)
+    got = pa.Table.from_batches(jaccard._middle_pairs([pa.record_batch([hub, one], ["hub", "one"])], 80)).to_pylist()
+    assert len(got) <= jaccard.DENSE * 400
+    up = list(range(400))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for g in got:
+        up[root(g["b"])] = root(g["a"])
+    assert all(root(x) == root(y[0]) for y in lists for x in y)

@@ -185,6 +185,9 @@ def test_session_sets_and_order(spark):
     got = build.select_sessions(s, ["all-y"], [], "Main", {"all-y": s["group"] == "y"})
     assert sorted((r.session, r.depth) for r in got.collect()) == [("C", 3), ("D", 1)]
     assert [r.session for r in build.select_sessions(s, ["all"], ["B"], "Main").collect() if r.session in "BC"] == []
+    chain = spark.range(1, 1500).selectExpr("'n' || id AS session", "'n' || (id - 1) AS parent", "'x' AS group")  # more ancestors than rows that a recursion may make
+    assert [r.depth for r in build.select_sessions(chain, ["n1499", "n3"], ["n5"], "n0").collect()] == [3]
+    assert [r.depth for r in build.select_sessions(chain, ["n1499"], [], "n0").collect()] == [1499]
     cycle = spark.createDataFrame([("A", "B", "x"), ("B", "A", "x")], "session string, parent string, group string")
     with pytest.raises(Exception):
         build.select_sessions(cycle, ["all"], [], "Main").collect()

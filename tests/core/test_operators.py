@@ -3,6 +3,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,20 @@ def test_knn_join(spark, monkeypatch, metric):
     assert search.knn_join(queries.limit(0), corpus, 3).count() == 0
 
 
+def test_hits_kept_by_a_task():
+    """Memory is numbers a query and hit, however many hits come: names may be texts, ties go by name."""
+    rng = np.random.default_rng(1)
+    best, every = search.Best(5, 3), []
+    for _ in range(20):
+        q = np.sort(rng.integers(0, 4, 50))
+        d, names = rng.integers(0, 9, 50) / 8, [f"n{x}" for x in rng.permutation(1000)[:50]]
+        best.take(q, d, pa.array(names))
+        every += zip(q.tolist(), d.tolist(), names, strict=True)
+    assert best.distance.nbytes == best.names.nbytes == 5 * 3 * 8
+    got = [tuple(r.values()) for r in pa.Table.from_batches(best.rows(pa.array([0, 1, 2, 3, 4]))).to_pylist()]
+    assert [(q, d, n) for q, n, d in got] == [x for q in range(5) for x in sorted(e for e in every if e[0] == q)[:3]]
+
+
 def test_local_files(spark):
     hits = spark.createDataFrame([("R/a.x", "b", 2), ("R/../a.x", "b", 1), ("Q/a.x", "b", 1), ("R/z.x", "b", 1)], "file string, src string, start_line int")
     files = spark.createDataFrame([("R/a.x", "/r/a.x", "b\nb\nb")], "file string, local_file string, content string")

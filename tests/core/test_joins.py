@@ -80,6 +80,19 @@ def test_few_pairs_reach_python_and_none_is_lost(spark):
     assert left < len(every) / 4
 
 
+def test_a_common_subsequence_bounds_the_ratio():
+    from quarry.functions.arrow import common_subsequence, reaches, sequence_ratio
+
+    assert common_subsequence("abcbdab", "bdcaba") == 4 and common_subsequence("", "x") == common_subsequence("x", "") == 0
+    r = random.Random(2)
+    for _ in range(300):
+        a = "".join(r.choices("abcdé ", k=r.randrange(1, 300)))
+        b = "".join(c for c in a if r.random() < 0.9) + "".join(r.choices("abc", k=r.randrange(9)))
+        x = sequence_ratio(a, b)
+        assert x <= 2 * common_subsequence(a, b) / (len(a) + len(b)) + 1e-12 and reaches(a, b, x)
+    assert not reaches("".join(r.choices("abcdefgh", k=2000)), "".join(r.choices("abcdefgh", k=2000)), 0.85)
+
+
 def test_a_large_group_of_copies_is_rows(spark):
     n = 20_000
     hits = spark.range(n).select(F.lit(1).alias("query_id"), F.col("id"), F.when(F.col("id") == 17, "").otherwise("E").alias("entry"), F.when(F.col("id") % 1000 == 999, F.concat(F.lit("k"), F.col("id").cast("string"))).otherwise("long key " * 20).alias("key"), F.col("id").alias("rank"))

@@ -5,11 +5,12 @@ features in it; a softmax layer turns that into class probabilities. Kinds: word
 words (a pair's hash; equal neighbours all have the same one), and the three and four characters long pieces of words, a
 word being taken with a mark before and behind it. Characters are code points, so no piece splits one.
 Training is stochastic gradient descent in numpy on the driver, over a sample of labelled documents of bounded
-size; scoring needs one number a feature, so it is table look-ups and sums.
+size, whose features lie in a temporary file; scoring needs one number a feature, so it is table look-ups and sums.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -28,7 +29,7 @@ BUCKETS = 1 << BITS
 KINDS = 4
 #: Labelled documents that the classifier learns from, at most; they are drawn by the hash of their id.
 SAMPLE = 4000
-#: Distinct features that the driver holds at a time, of 8 bytes each; where the sample has more, each pass reads it in several parts.
+#: Distinct features that the driver has at a time in a temporary file, of 8 bytes each; where the sample has more, each pass reads it in several parts.
 HELD_FEATURES = 16 << 20
 #: Bytes of text scored at once; a longer single text is taken alone.
 SCORE_BYTES = 1 << 18
@@ -143,6 +144,26 @@ def train_parts(parts: list[Callable[[], list[tuple[int, np.ndarray, np.ndarray]
     return Classifier(vectors, out, bias)
 
 
+def _held(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """``rows(doc_id, label, n, features, weights)`` as :func:`train` takes them, in order of id and label.
+
+    Rows come a partition at a time and go on to a temporary file, of which the arrays are maps: it is read as training needs it and takes
+    no memory that the system can't have back.
+    """
+    found: list[tuple[int, int, int, int]] = []  # id, label, place in the file, features
+    with tempfile.TemporaryFile(prefix="features-") as f:
+        at = 0
+        for doc_id, label, n, features, weights in rows.select("doc_id", "label", "n", "features", "weights").toLocalIterator():
+            f.write(features)
+            f.write(weights)
+            found.append((doc_id, label, at, n))
+            at += 8 * n
+        f.flush()
+        data = np.asarray(np.memmap(f, np.uint8, "r", shape=(at,)) if at else np.zeros(0, np.uint8))  # the map outlives the file's name
+    found.sort(key=lambda x: x[:2])
+    return [(label, data[at : at + 4 * n].view(np.int32), data[at + 4 * n : at + 8 * n].view(np.float32)) for _, label, at, n in found]
+
+
 def held_out(doc_id="doc_id"):
     """Documents never learned from: crc32 of the id in decimal, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -150,7 +171,7 @@ def held_out(doc_id="doc_id"):
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = HELD_FEATURES) -> Classifier:
     """Learn ``labels(doc_id, quality)`` from at most ``sample`` documents that aren't held out, whatever their length: the driver
-    holds ``held`` features at a time, or those of one id.
+    has ``held`` features at a time in a temporary file, or those of one id.
 
     Labels that are null or other than 0 and 1 are left out; so are labels without a document. Where an id has both labels, 1
     counts. Rows that share an id are all learned from. Null and empty texts have no features; very long ones are read whole, in parts.
@@ -162,32 +183,23 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in split_batches(batches, limit=SCORE_BYTES):
             found = list(_counted(batch, 1))
-            ends = pa.array(np.cumsum([0, *(len(f) for f, _ in found)]), pa.int32())
             size = pa.array([len(f) for f, _ in found], pa.int64())
-            yield pa.record_batch([batch.column(0), batch.column(2), size, *(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]))) for k in (0, 1))], ["doc_id", "label", "n", "features", "weights"])
+            yield pa.record_batch([batch.column(0), batch.column(2), size, *(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))], ["doc_id", "label", "n", "features", "weights"])
 
-    table = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, n long, features array<int>, weights array<float>")
+    table = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, n long, features binary, weights binary")
     table = written(table)
-    sizes = table.groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()  # at most ``sample`` rows
+    sizes = table.groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most ``sample`` rows
     parts: list[list[int]] = [[]]
     total = 0
-    for doc_id, n in zip(sizes["doc_id"], sizes["n"], strict=True):
+    for doc_id, n in sizes:
         if parts[-1] and total + n > held:
             parts.append([])
             total = 0
-        parts[-1].append(int(doc_id))
+        parts[-1].append(doc_id)
         total += n
 
     def load(ids: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        found = (table if len(parts) == 1 else table.where(F.col("doc_id").isin(ids))).drop("n").toArrow()
-        if not found.num_rows:
-            return []
-        found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-        if found.column("features").num_chunks > 1:
-            found = found.combine_chunks()
-        bucket_of, weight_of = (found.column(x).chunk(0) for x in ("features", "weights"))
-        ends, bucket, weight = bucket_of.offsets.to_numpy(), bucket_of.values.to_numpy(), weight_of.values.to_numpy()
-        return [(y, bucket[a:b], weight[a:b]) for y, a, b in zip(found.column("label").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return _held(table if len(parts) == 1 else table.where(F.col("doc_id").isin(ids)))
 
     return train_parts([partial(load, ids) for ids in parts], table.count())
 

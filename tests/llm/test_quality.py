@@ -1,5 +1,7 @@
 """The classifier's score against plain Python, feature by feature, and training in parts."""
 
+import mmap
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -90,3 +92,34 @@ def test_tables_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = Q.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert Q.fit(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).bias.tolist() == model.bias.tolist() == [0.0, 0.0]
+
+
+def test_the_driver_maps_the_features_of_its_sample(spark):
+    """They come by partitions and lie in a file, so they neither fill the driver's heap at once nor stay in its Python's memory."""
+    texts = {i: f"word{i} other{i % 5} things é" * (1 + i % 3) for i in range(1, 60)}
+    docs = spark.createDataFrame([*texts.items(), (7, None)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    parts, seen = Q.train_parts, []
+
+    def looked_at(loads, n, seed=1):
+        seen.extend(loads[0]())
+        return parts(loads, n, seed)
+
+    Q.train_parts = looked_at
+    try:
+        Q.fit(docs, labels)
+    finally:
+        Q.train_parts = parts
+
+    def mapped(a):
+        while a is not None and not isinstance(a, (np.memmap, mmap.mmap)):
+            a = a.base
+        return a is not None
+
+    learned = [r.doc_id for r in docs.where(~Q.held_out()).orderBy("doc_id").collect()]
+    assert [y for y, _, _ in seen] == [i % 2 for i in learned]
+    assert all(mapped(f) and mapped(w) and f.dtype == np.int32 and w.dtype == np.float32 for _, f, w in seen)
+    whole = [s for s, i in zip(seen, learned, strict=True) if i != 7]
+    for (_, f, w), i in zip(whole, [i for i in learned if i != 7], strict=True):
+        want = list(Q._counted(pa.record_batch([pa.array([texts[i]])], ["text"]), 0))[0]
+        assert f.tolist() == want[0].tolist() and w.tolist() == want[1].tolist()

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from .shared import Files, uri
 CHUNK_BYTES = 32 << 20
 #: Bytes and rows of a batch of records.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
+#: Bytes of a batch that are made into lines at once: Python's copies of them take several times that.
+SLICE_BYTES = 1 << 20
 
 
 def local_path(at: str) -> str | None:
@@ -297,6 +300,18 @@ def read_ranges(spark: SparkSession, plan: list[Range], dimension: int, columns:
     return spark.read.format("quarry_records").schema(", ".join(f"{c} {kinds[c]}" for c in columns)).option("dimension", dimension).option("plan", json.dumps(rows)).load()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows of (ord, record, vector) in slices of at most ``SLICE_BYTES`` and ``BATCH_ROWS`` rows, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy() + 4 * pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy()
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))), at + BATCH_ROWS)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 _PART = "first long, name string, count long, record_bytes long, vector_bytes long, record_sha256 string, vector_sha256 string"
 
 
@@ -311,18 +326,17 @@ def write_parts(rows: DataFrame, base: str, parts: int | None = None) -> list[di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, n, first, lengths, sums = f"part-{uuid.uuid4().hex}", 0, None, [0, 0], [hashlib.sha256(), hashlib.sha256()]
         with create(f"{folder}/{name}.jsonl") as records, create(f"{folder}/{name}.f32") as vectors:
-            for batch in batches:
-                if batch.num_rows:
-                    first = batch.column(0)[0].as_py() if first is None else first
-                    one = batch.column(2)
-                    ends = one.offsets.to_numpy()
-                    lines = b"".join(x.encode() + b"\n" for x in batch.column(1).to_pylist())
-                    floats = one.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype("<f4").tobytes()
-                    for i, (out, data) in enumerate(((records, lines), (vectors, floats))):
-                        out.write(data)
-                        sums[i].update(data)
-                        lengths[i] += len(data)
-                    n += batch.num_rows
+            for batch in _slices(batches):
+                first = batch.column(0)[0].as_py() if first is None else first
+                one = batch.column(2)
+                ends = one.offsets.to_numpy()
+                lines = b"".join(x.encode() + b"\n" for x in batch.column(1).to_pylist())
+                floats = one.values[ends[0] : ends[-1]].to_numpy(zero_copy_only=False).astype("<f4", copy=False).tobytes()
+                for i, (out, data) in enumerate(((records, lines), (vectors, floats))):
+                    out.write(data)
+                    sums[i].update(data)
+                    lengths[i] += len(data)
+                n += batch.num_rows
         if n:
             yield pa.RecordBatch.from_pydict({"first": [first], "name": [name], "count": [n], "record_bytes": [lengths[0]], "vector_bytes": [lengths[1]], "record_sha256": [sums[0].hexdigest()], "vector_sha256": [sums[1].hexdigest()]})
 

@@ -5,6 +5,7 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,26 @@ def test_small_texts_by_tasks(spark, tmp_path):
     assert R.write_files(rows, str(tmp_path)) == 6 and sorted(os.listdir(tmp_path)) == sorted(names)
     got = {r.name: r.text for r in R.read_files(spark, str(tmp_path), ".txt").collect()}
     assert got == {n.removesuffix(".txt"): f"line of {n}\nand\r\nmore" for n in names[:-1]}
+
+
+def test_slices_of_a_batch_are_small_and_whole(monkeypatch):
+    monkeypatch.setattr(R, "SLICE_BYTES", 100)
+    records = ["a" * n for n in (0, 10, 300, 40, 40, 40, 1, 0)] + [None]
+    batch = pa.RecordBatch.from_pydict({"ord": pa.array(range(9)), "record": pa.array(records, pa.string()), "vector": pa.array([[1.0, 2.0]] * 9, pa.list_(pa.float32()))})
+    found = list(R._slices(iter([batch.slice(0, 0), batch, batch.slice(3, 2)])))
+    assert [i for b in found for i in b.column(0).to_pylist()] == [*range(9), 3, 4]
+    size = lambda b: sum(len(x or "") for x in b.column(1).to_pylist()) + 8 * b.num_rows
+    assert all(size(b) <= 100 or b.num_rows == 1 for b in found) and len(found) == 5
+
+
+def test_parts_are_written_slice_by_slice(spark, tmp_path):
+    """A batch's lines and floats aren't made all at once, so a worker's memory doesn't follow the batch."""
+    rows = spark.range(200).selectExpr("id AS ord", "concat('é', repeat('x', cast(id AS int) * 40)) AS record", "array(cast(id AS float), 0.5f) AS vector")
+    R.SLICE_BYTES, held = 1000, R.SLICE_BYTES
+    try:
+        parts = R.write_parts(rows, str(tmp_path / "p"), 3)
+    finally:
+        R.SLICE_BYTES = held
+    lines = b"".join((tmp_path / "p" / f"{p['name']}.jsonl").read_bytes() for p in parts)
+    floats = b"".join((tmp_path / "p" / f"{p['name']}.f32").read_bytes() for p in parts)
+    assert lines.decode() == "".join(f"é{'x' * 40 * i}\n" for i in range(200)) and np.frombuffer(floats, "<f4").tolist() == [x for i in range(200) for x in (i, 0.5)]
